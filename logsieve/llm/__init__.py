@@ -1,0 +1,4 @@
+"""Operators for preparing training text at scale.
+
+Nothing else in the library imports this subpackage.
+"""
