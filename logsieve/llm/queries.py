@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsieve.llm import dedup, mixing, packing, sharding
+from logsieve.llm import dedup, mixing, packing, rans, sharding
+from logsieve.llm.common import checkpoint_dir
 
 SHARDS = 8
 
@@ -37,6 +40,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_index")
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and checksum in the token files, read back."""
+    path = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    rans.write(_documents(spark, sf_dir), path)
+    return rans.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 SQL = {
     "op1_mixing": r"""
 WITH src AS (SELECT coalesce(source, '') AS s, count(*) AS n, pow(count(*)::DOUBLE, 0.7) AS w FROM documents GROUP BY 1),
