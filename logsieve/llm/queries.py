@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsieve.llm import dedup, mixing, packing, rans, sharding
+from logsieve.llm import dedup, merkle, mixing, packing, rans, sharding
 from logsieve.llm.common import checkpoint_dir
 
 SHARDS = 8
@@ -40,6 +40,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_index")
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, that of its edited text, and their likeness."""
+    return merkle.fingerprints(_documents(spark, sf_dir))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place and checksum in the token files, read back."""
     path = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
@@ -64,5 +69,21 @@ FROM (SELECT *, unnest(range(1, n::BIGINT + 1)) AS c FROM draw)
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
 FROM t WINDOW w AS (PARTITION BY text_sha256)
+""",
+    "op7_fingerprints": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+o AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text FROM d WINDOW w AS (ORDER BY doc_id DESC)),
+e AS (SELECT *, length(text) // 2 AS half, substr(text, 1, length(text) - length(text) // 2) || substr(next_text, 1, length(text) // 2) AS edited FROM o),
+t AS (SELECT doc_id, 0 AS k, text AS x FROM e UNION ALL SELECT doc_id, 1, edited FROM e UNION ALL SELECT doc_id, 2, next_text FROM e),
+leaf AS (SELECT doc_id, k, list_transform(string_split(x, chr(10) || chr(10)), lambda s: list_transform(list_transform(string_split(s, chr(10)), lambda p: string_split(p, ' ')),
+  lambda w: list_transform(range(0, (len(w) - 1) // 8 + 1), lambda i: md5(array_to_string(list_slice(w, i * 8 + 1, i * 8 + 8), ' '))))) AS tree FROM t),
+node AS (SELECT doc_id, k, tree, list_transform(tree, lambda s: md5(array_to_string(list_transform(s, lambda p: md5(array_to_string(p, ''))), ''))) AS sec FROM leaf),
+fp AS (SELECT doc_id, k, sha256(array_to_string(sec, '')) AS root, list_distinct(list_transform(flatten(flatten(tree)), lambda l: substr(l, 1, 8))) AS leaves,
+  sha256(array_to_string(sec, '')) || ';' || array_to_string(list_transform(range(1, len(tree) + 1), lambda i: substr(sec[i], 1, 8) || '=' || array_to_string(list_transform(tree[i],
+    lambda p: substr(md5(array_to_string(p, '')), 1, 8) || ':' || array_to_string(list_transform(p, lambda l: substr(l, 1, 8)), ',')), '/')), '|') AS f FROM node)
+SELECT e.doc_id, length(e.text) AS n_chars, sha256(e.edited) AS edited_sha256, a.f AS fingerprint, b.f AS edited_fingerprint,
+  CASE WHEN a.root = b.root THEN 1.0::DOUBLE ELSE len(list_intersect(a.leaves, b.leaves)) * 2.0::DOUBLE / (len(a.leaves) + len(b.leaves)) END AS near_edited,
+  CASE WHEN a.root = c.root THEN 1.0::DOUBLE ELSE len(list_intersect(a.leaves, c.leaves)) * 2.0::DOUBLE / (len(a.leaves) + len(c.leaves)) END AS near_next
+FROM e JOIN fp a ON a.doc_id = e.doc_id AND a.k = 0 JOIN fp b ON b.doc_id = e.doc_id AND b.k = 1 JOIN fp c ON c.doc_id = e.doc_id AND c.k = 2
 """,
 }
