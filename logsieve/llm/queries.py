@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsieve.llm import dedup, merkle, mixing, packing, rans, sharding
+from logsieve.llm import dedup, merkle, mixing, packing, quality, rans, sharding, toxicity
 from logsieve.llm.common import checkpoint_dir
+from logsieve.llm.folds import held_out
 
 SHARDS = 8
 
@@ -45,6 +46,13 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(_documents(spark, sf_dir))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score."""
+    docs = _documents(spark, sf_dir)
+    model, _ = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place and checksum in the token files, read back."""
     path = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
@@ -52,6 +60,13 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score."""
+    docs = _documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 SQL = {
     "op1_mixing": r"""
 WITH src AS (SELECT coalesce(source, '') AS s, count(*) AS n, pow(count(*)::DOUBLE, 0.7) AS w FROM documents GROUP BY 1),
