@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsieve.llm import dedup, merkle, mixing, packing, quality, rans, sharding, toxicity
+from logsieve.llm import dedup, merkle, mixing, ngram_join, packing, quality, rans, sharding, toxicity
 from logsieve.llm.common import checkpoint_dir
 from logsieve.llm.folds import held_out
 
@@ -35,6 +35,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of links between sets of four-word shingles with a Jaccard of 0.85 or more."""
+    return ngram_join.near_groups(_documents(spark, sf_dir), 4, 85, 100)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and slot under the law ``rows``."""
     placed = sharding.shard(_documents(spark, sf_dir), SHARDS)
