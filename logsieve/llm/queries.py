@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsieve.llm import dedup, merkle, mixing, ngram_join, packing, quality, rans, sharding, toxicity
-from logsieve.llm.common import checkpoint_dir
+from logsieve.llm import dedup, merkle, mixing, ngram_join, packing, quality, rans, sharding, toxicity, warc
+from logsieve.llm.common import checkpoint_dir, cut
 from logsieve.llm.folds import held_out
 
 SHARDS = 8
@@ -23,6 +24,19 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an audit finds in a stored replica of all pages into which faults were put: records with another first byte, and the last record of each fifth file gone."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    files = max(1, math.ceil(pages.count() / warc.FILE_PAGES))
+    first = warc.render(pages, files)
+    original = warc.leaves(first, "html")
+    hit = (F.pmod(F.conv(F.substring("key", 9, 4), 16, 10).cast("long"), F.lit(97)) == 3) & (F.octet_length(F.substring("html", 1, 1)) == 1)
+    spoilt = F.when(hit, F.concat(F.when(F.substring("html", 1, 1) == "#", "@").otherwise("#"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
+    path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(first.where(~(F.col("last") & (F.col("file") % 5 == 0))).withColumn("html", spoilt), path)
+    return warc.audit(original, warc.leaves(warc.read(spark, path), "payload"), files)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and offset."""
     pieces = packing.token_pieces(_documents(spark, sf_dir))
@@ -84,6 +98,15 @@ row_ AS (SELECT d.*, concat_ws('|', coalesce(doc_id::VARCHAR, ''), md5(coalesce(
 draw AS (SELECT row_.*, list_sum([len(list_filter(t, lambda c: c <= ('0x' || substr(md5(concat_ws('|', '11', r, i::VARCHAR)), 1, 13))::BIGINT / 4503599627370496.0)) FOR i IN range(1, draws + 1)]) AS n FROM row_ JOIN tab USING (s))
 SELECT doc_id, text, lang, source, n_chars, c::INT AS copy_no, md5(concat_ws('|', '11', r, 'copy', c::VARCHAR)) AS mix_key
 FROM (SELECT *, unnest(range(1, n::BIGINT + 1)) AS c FROM draw)
+""",
+    "op2_warc_fixity": r"""
+WITH f AS (SELECT greatest(1, ceil(count(*) / 400.0))::BIGINT AS files FROM pages),
+p AS (SELECT page_id, regexp_replace(coalesce(url, ''), '[\r\n]', ' ', 'g') AS url, coalesce(html, '') AS html FROM pages),
+k AS (SELECT *, md5(concat_ws('|', page_id::VARCHAR, url, md5(html))) AS key FROM p),
+r AS (SELECT *, ('0x' || substr(key, 1, 8))::BIGINT % files AS file, (312 + strlen(url) + strlen(coalesce(page_id::VARCHAR, '')) + strlen(strlen(html)::VARCHAR) + strlen(html))::BIGINT AS length FROM k, f),
+o AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", lead(key) OVER (PARTITION BY file ORDER BY key) IS NULL AS last FROM r)
+SELECT file, "offset", length, page_id, CASE WHEN last AND file % 5 = 0 THEN 'missing' ELSE 'altered' END AS status FROM o
+WHERE (last AND file % 5 = 0) OR (('0x' || substr(key, 9, 4))::BIGINT % 97 = 3 AND strlen(substr(html, 1, 1)) = 1)
 """,
     "op4_exact_dedup": r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
