@@ -164,12 +164,12 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     mixed = cut(both.where("stay > 0 AND stay < n").select("doc_id"), "exact-mixed")
     out = docs.join(goes, "doc_id", "left_anti")
     if mixed.limit(1).count():
-        hard = mixed.select(F.col("doc_id").alias("_id"))
-        same = F.col("doc_id").eqNullSafe(F.col("_id"))
-        rows = out.join(hard, same, "left_semi").withColumn("_digest", digest(F.col("text")))
-        keep = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_of"))
-        rows = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of")), "left_semi")
-        out = out.join(hard, same, "left_anti").unionByName(rows.dropDuplicates(["doc_id", "_digest"]).drop("_digest"))
+        hard = mixed.select(F.col("doc_id").alias("__id"))
+        same = F.col("doc_id").eqNullSafe(F.col("__id"))
+        rows = out.join(hard, same, "left_semi").withColumn("__digest", digest(F.col("text")))
+        keep = exact_groups(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of"))
+        rows = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__of")), "left_semi")
+        out = out.join(hard, same, "left_anti").unionByName(rows.dropDuplicates(["doc_id", "__digest"]).drop("__digest"))
     return out
 
 

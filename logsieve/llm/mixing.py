@@ -8,7 +8,8 @@ copy) and sorted by it, which is the global shuffle.
 
 Defined results: a null source is a source of its own; null text draws as empty; rows alike in doc_id and text
 draw alike; a source whose weight is 0 or missing goes; an empty table gives an empty result. Extra columns
-are kept; ``copy_no`` and ``mix_key`` are added and replace columns of those names.
+are kept; ``copy_no`` and ``mix_key`` are added and replace columns of those names, and names that start with
+``__mix_`` are this operator's own and go.
 """
 
 from __future__ import annotations
@@ -61,17 +62,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temper: float
     The rates have a row for each source. They are broadcast if counted few enough; else the join is dealt by
     source and a salt, so that a source with a third of all rows is spread over SALTS tasks.
     """
-    columns = [c for c in docs.columns if c not in ("copy_no", "mix_key")]
-    rows = docs.select(*columns).withColumns({"_source": F.coalesce("source", F.lit("")), "_row": F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary")))})
-    table = rates(docs, weights, temper, budget).select(F.col("source_key").alias("_source"), F.col("draws").alias("_draws"), F.col("table").alias("_table"))
+    columns = [c for c in docs.columns if c not in ("copy_no", "mix_key") and not c.startswith("__mix_")]
+    rows = docs.select(*columns).withColumns({"__mix_source": F.coalesce("source", F.lit("")), "__mix_row": F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary")))})
+    table = rates(docs, weights, temper, budget).select(F.col("source_key").alias("__mix_source"), F.col("draws").alias("__mix_draws"), F.col("table").alias("__mix_table"))
     few = checked_broadcast(table, 20_000)
     if few is not table:
-        rows = rows.join(few, "_source")
+        rows = rows.join(few, "__mix_source")
     else:
-        salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(salted, ["_source", "_salt"]).drop("_salt")
-    draw = lambda i: F.size(F.filter("_table", lambda c: c <= uniform(F.lit(seed), "_row", i.cast("string"))))
-    copies = F.aggregate(F.sequence(F.lit(1), F.col("_draws")), F.lit(0), lambda n, i: n + draw(i))
-    made = rows.withColumn("_copies", copies).where("_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    made = made.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.col("_row"), F.lit("copy"), F.col("copy_no").cast("string"))))
+        salted = table.withColumn("__mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("__mix_salt", F.pmod(F.xxhash64("__mix_row"), F.lit(SALTS)).cast("int")).join(salted, ["__mix_source", "__mix_salt"]).drop("__mix_salt")
+    draw = lambda i: F.size(F.filter("__mix_table", lambda c: c <= uniform(F.lit(seed), "__mix_row", i.cast("string"))))
+    copies = F.aggregate(F.sequence(F.lit(1), F.col("__mix_draws")), F.lit(0), lambda n, i: n + draw(i))
+    made = rows.withColumn("__mix_copies", copies).where("__mix_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
+    made = made.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.col("__mix_row"), F.lit("copy"), F.col("copy_no").cast("string"))))
     return made.select(*columns, "copy_no", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")
