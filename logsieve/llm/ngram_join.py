@@ -86,11 +86,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """Of each text its distinct shingles' hashes, ascending, as int64."""
-    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
     split = pc.ascii_split_whitespace(texts)
     bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
     flat = split.flatten().dictionary_encode()
-    words = np.array(flat.dictionary.to_pylist(), object)
+    # bytes.lower() takes A-Z alone; pc.ascii_lower() is wrong on slices of an array
+    words = np.array([w.encode().lower().decode() for w in flat.dictionary.to_pylist()], object)
     of = pd.util.hash_array(words, categorize=False) if len(words) else np.zeros(0, np.uint64)
     blank = words == ""
     which = flat.indices.to_numpy()
