@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from logsieve.llm.folds import held_out, labelled
 
-DOCUMENTS = 4000
+DOCUMENTS = 2500
 LANDMARKS = 256
 DECAY, SPAN = 0.7, 7
 #: Longer units are cut into overlapping pieces of this many characters; a unit's value is the highest of its pieces.
@@ -39,6 +39,8 @@ PIECE = 48
 MEMO_UNITS = 600_000
 #: Clean units that the machine is first trained on; each round adds a quarter as many of those it scores highest.
 NEGATIVES = 16_000
+#: Units whose triples are laid out at a time.
+ROWS = 500
 _ALPHABET = 64
 _SENTENCE = re.compile(r"[.!?\n]+(?:\s+|$)|\n")
 _SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]+\S(?!\S)){2,}")
@@ -96,7 +98,9 @@ class Model:
 
     def units(self, units: list[str]) -> np.ndarray:
         """Value of each unit."""
-        out = np.full(len(units), self.bias)
+        return np.concatenate([np.zeros(0), *(self._units(units[i : i + 20_000]) for i in range(0, len(units), 20_000))])
+
+    def _units(self, units: list[str]) -> np.ndarray:
         pieces, of = [], []
         for i, u in enumerate(units):
             for a in range(0, max(1, len(u) - SPAN), PIECE - SPAN):
@@ -104,12 +108,12 @@ class Model:
                 of.append(i)
         by_size = np.argsort([len(p) for p in pieces], kind="stable")
         of, value = np.array(of, np.int64), np.zeros(len(pieces))
-        for at in np.array_split(by_size, max(1, len(by_size) // 4000)):
+        for at in np.array_split(by_size, max(1, -(-len(by_size) // ROWS))):
             s, w = _merged(*triples([pieces[i] for i in at]))
             value[at] = (self.weights[s] * w).sum(1)
         top = np.full(len(units), -np.inf)
         np.maximum.at(top, of, value)
-        return out + np.where(np.isfinite(top), top, 0.0)
+        return self.bias + np.where(np.isfinite(top), top, 0.0)
 
     def score(self, value: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (value - self.place), -40, 40)))
@@ -127,22 +131,32 @@ def sentence_units(text: str) -> list[list[str]]:
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0, steps: int = 12) -> tuple[np.ndarray, float]:
     """Weights and bias of least squared hinge loss, by Newton steps on the rows inside the margin."""
-    x = np.hstack([z, np.ones((len(z), 1))])
-    b = np.zeros(x.shape[1])
-    ridge = np.eye(x.shape[1])
+    n = z.shape[1] + 1
+    b, ridge = np.zeros(n), np.eye(n)
     ridge[-1, -1] = 1e-3
     for _ in range(steps):
-        inside = y * (x @ b) < 1
-        rows, w = x[inside], cost * weight[inside, None]
-        new = np.linalg.solve(ridge + rows.T @ (w * rows), rows.T @ (w[:, 0] * y[inside]))
+        inside = y * (z @ b[:-1] + b[-1]) < 1
+        left, right = ridge.copy(), np.zeros(n)
+        for rows in np.array_split(np.flatnonzero(inside), max(1, int(inside.sum()) // 2000)):
+            x = np.hstack([z[rows], np.ones((len(rows), 1))])
+            w = cost * weight[rows]
+            left += x.T @ (w[:, None] * x)
+            right += x.T @ (w * y[rows])
+        new = np.linalg.solve(left, right)
         if np.allclose(new, b, atol=1e-6):
             break
         b = new
     return b[:-1], float(b[-1])
 
 
+def _features(units: list[str], columns: np.ndarray, white: np.ndarray) -> np.ndarray:
+    """Whitened kernels of units with the landmarks, some units at a time: the triples' matrix is wide."""
+    parts = [(_dense(units[i : i + ROWS], columns) @ white).astype(np.float32) for i in range(0, len(units), ROWS)]
+    return np.concatenate(parts) if parts else np.zeros((0, white.shape[1]))
+
+
 def _dense(units: list[str], columns: np.ndarray) -> np.ndarray:
-    """Kernel features of units on the triples ``columns`` (sorted)."""
+    """Triples of units, of those in ``columns`` (sorted)."""
     s, w = _merged(*triples([u[:PIECE].lower() for u in units]))
     out = np.zeros((len(units), len(columns) + 1))
     at = np.searchsorted(columns, s)
@@ -155,18 +169,22 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
     """A model from labelled texts."""
     if not len(toxic) or toxic.min() == toxic.max():
         return Model()
-    bags = [sentence_units(t) for t in texts]
     number: dict[str, int] = {}
-    ids = [np.unique([number.setdefault(u, len(number)) for s in bag for u in s]).astype(np.int64) for bag in bags]
+    ids, bag_ids = [], []
+    for text, bad_ in zip(texts, toxic, strict=True):
+        bag = [np.unique(np.array([number.setdefault(u, len(number)) for u in s], np.int32)) for s in sentence_units(text)]
+        ids.append(np.unique(np.concatenate([np.zeros(0, np.int32), *bag])))
+        if bad_:
+            bag_ids.append(bag)
     units = list(number)
-    count = lambda mine: np.bincount(np.concatenate([ids[i] for i in mine] or [np.zeros(0, np.int64)]), minlength=len(units))
+    count = lambda mine: np.bincount(np.concatenate([np.zeros(0, np.int32), *(ids[i] for i in mine)]), minlength=len(units))
     bad, good = np.flatnonzero(toxic == 1), np.flatnonzero(toxic == 0)
     p, n = count(bad), count(good)
     # how many standard errors a unit is more frequent in toxic documents; chance finds are many among rare units
     even = n * len(bad) / len(good)
     excess = (p - even) / np.sqrt(np.maximum(1, p + even))
     spellable = np.array([sum(map(str.isalpha, u)) >= 3 for u in units])
-    order = np.lexsort((units, -excess))
+    order = np.argsort(-excess, kind="stable")
     found = [i for i in order[: landmarks * 8] if spellable[i] and p[i] >= min(2, len(bad)) and excess[i] > 2]
     marks = [units[i] for i in found if excess[i] > 3][:landmarks]
     if len(marks) < 3:
@@ -182,7 +200,6 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
     clean = np.flatnonzero(n > 0)
     hard = r.permutation(clean)[:NEGATIVES]
     best = np.where((p > 0) & spellable, excess, -np.inf)
-    bag_ids = [[np.unique([number[u] for u in s]) for s in bags[i]] for i in bad]
     strong = np.flatnonzero(spellable & (excess > 5))
     least = 3.0
     for _ in range(rounds):
@@ -190,7 +207,7 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
         chosen = np.union1d(strong, tops[(best[tops] > least) & (excess[tops] > 1)])
         if not len(chosen):
             chosen = np.array([number[m] for m in marks], np.int64)
-        zp, zn = (_dense([units[i] for i in x], columns) @ white for x in (chosen, hard))
+        zp, zn = (_features([units[i] for i in x], columns, white) for x in (chosen, hard))
         wp, wn = np.minimum(p[chosen], 200.0), np.full(len(hard), 1.0)
         y = np.concatenate([np.ones(len(zp)), -np.ones(len(zn))])
         weights, bias = _svm(np.concatenate([zp, zn]), y, np.concatenate([wp / wp.mean(), wn]))
