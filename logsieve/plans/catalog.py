@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logsieve.plans import lines
+from logsieve.plans import lines, tables, verdicts
 
-_MODULES = (lines,)
+_MODULES = (lines, verdicts, tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
