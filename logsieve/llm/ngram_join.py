@@ -43,6 +43,10 @@ POSTING_COST = 8.0
 LONG_LIST = 32
 #: Classes in one side of a tile.
 BLOCK = 192
+#: Texts whose words are laid out at a time.
+ROWS = 300
+#: Elements of a tile that are compared at a time.
+RANGE_ITEMS = 200_000
 SETS = "doc_id long, n int, key binary, items array<long>"
 _EDGES = "a long, b long"
 
@@ -123,13 +127,14 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
 def _sets(width: int, law: Law, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                part = b.slice(i, 1000)
+            for i in range(0, b.num_rows, ROWS):
+                part = b.slice(i, ROWS)
                 sets = shingle_sets(part.column("text"), width)
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 held = sets if whole else [s if len(s) <= MOST_SMALL else s[: law.prefix(len(s))] for s in sets]
                 items = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in held])]), pa.int32()), pa.array(np.concatenate([*held, np.zeros(0, np.int64)])))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.binary()), items], ["doc_id", "n", "key", "items"])
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -198,10 +203,23 @@ def _tile(law: Law):
 
 
 def _overlaps(items: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections: a product of 0/1 matrices over the elements that two sets or more hold, some columns at a time."""
+    """Sizes of all intersections of ascending sets, by ranges of elements."""
     if len(items) == 2:
         x = len(np.intersect1d(*items, assume_unique=True))
         return np.array([[len(items[0]), x], [x, len(items[1])]], np.int64)
+    out = np.zeros((len(items), len(items)), np.int64)
+    # elements are hashes in ascending order, so equal ranges of them hold nearly equal numbers
+    ranges = max(1, sum(map(len, items)) // RANGE_ITEMS)
+    bounds = [int(b) for b in np.linspace(-(2.0**63), 2.0**63, ranges + 1)[1:-1]]
+    cuts = [[0, *np.searchsorted(x, bounds), len(x)] for x in items]
+    for r in range(ranges):
+        _add_overlaps(out, [x[c[r] : c[r + 1]] for x, c in zip(items, cuts, strict=True)])
+    np.fill_diagonal(out, [len(x) for x in items])
+    return out
+
+
+def _add_overlaps(out: np.ndarray, items: list[np.ndarray]) -> None:
+    """Adds the sizes of all intersections: a product of 0/1 matrices over the elements that two sets or more hold, some columns at a time."""
     flat, owner = np.concatenate(items), np.repeat(np.arange(len(items)), [len(x) for x in items])
     _, column, held = np.unique(flat, return_inverse=True, return_counts=True)
     often = held > 1
@@ -210,14 +228,11 @@ def _overlaps(items: list[np.ndarray]) -> np.ndarray:
     at, owner = number[column[keep]], owner[keep]
     order = np.argsort(at, kind="stable")
     at, owner = at[order], owner[order]
-    out = np.zeros((len(items), len(items)), np.int64)
     for start in range(0, int(often.sum()), 4096):
         lo, hi = np.searchsorted(at, [start, start + 4096])
         x = np.zeros((len(items), 4096), np.float32)
         x[owner[lo:hi], at[lo:hi] - start] = 1
         out += (x @ x.T).astype(np.int64)
-    np.fill_diagonal(out, [len(x) for x in items])
-    return out
 
 
 def _large_links(docs: DataFrame, reps: DataFrame, law: Law, width: int, n0: int) -> DataFrame | None:

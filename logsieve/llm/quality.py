@@ -141,7 +141,7 @@ _FEATURES = "label int, x array<double>"
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        x = [features(t) for t in b.column("text").to_pylist()]
+        x = [features(t.as_py()) for t in b.column("text")]
         yield pa.RecordBatch.from_arrays([b.column("label").cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
 
 
@@ -168,8 +168,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = model.score(np.array([features(t) for t in b.column("text").to_pylist()]).reshape(-1, N_FEATURES))
+            each = [features(t.as_py()) for t in b.column("text")]
+            s = model.score(np.array(each).reshape(-1, N_FEATURES))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*b.schema.names, "score"])
+            pa.default_memory_pool().release_unused()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
     out = docs.select(*kept).mapInArrow(run, f"{schema}, score double")
