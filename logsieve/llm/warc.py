@@ -35,21 +35,21 @@ RECORDS = "file long, offset long, length long, page_id long, url string, digest
 
 
 def render(pages: DataFrame, files: int) -> DataFrame:
-    """``pages`` (page_id, url, html) as records: file, offset, length, page_id, head, html. A page's file and place follow from a hash of its row."""
+    """``pages`` (page_id, url, html) as records: file, offset, length, page_id, sha (of the html), head, html. A page's file and place follow from a hash of its row."""
     html, url = F.coalesce("html", F.lit("")), F.regexp_replace(F.coalesce("url", F.lit("")), "[\r\n]", " ")
     key = F.md5(F.concat_ws("|", F.col("page_id").cast("string"), "url", F.md5(F.col("html").cast("binary"))))
     size = F.octet_length("html")
     head = F.concat(
         F.lit(f"WARC/1.0{_EOL}WARC-Type: resource{_EOL}WARC-Record-ID: <urn:md5:"), F.col("key"), F.lit(f">{_EOL}WARC-Target-URI: "), F.col("url"),
-        F.lit(f"{_EOL}WARC-Date: 2024-01-01T00:00:00Z{_EOL}Content-Type: text/html; charset=utf-8{_EOL}WARC-Payload-Digest: sha256:"), F.sha2("html", 256),
+        F.lit(f"{_EOL}WARC-Date: 2024-01-01T00:00:00Z{_EOL}Content-Type: text/html; charset=utf-8{_EOL}WARC-Payload-Digest: sha256:"), F.col("sha"),
         F.lit(f"{_EOL}Page-Id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(f"{_EOL}Content-Length: "), size.cast("string"), F.lit(_EOL * 2),
     )
-    x = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html")).withColumn("key", key)
+    x = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html")).withColumns({"key": key, "sha": F.sha2("html", 256)})
     x = x.withColumns({"file": F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), F.lit(files)), "head": head})
     x = x.withColumn("length", (F.octet_length("head") + size + 4).cast("long"))
     order = Window.partitionBy("file").orderBy("key")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return x.select("file", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"), "length", "page_id", "key", "head", "html", F.lead("key").over(order).isNull().alias("last"))
+    return x.select("file", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"), "length", "page_id", "key", "sha", "head", "html", F.lead("key").over(order).isNull().alias("last"))
 
 
 def write(records: DataFrame, path: str) -> None:
@@ -88,9 +88,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(_parse, RECORDS)
 
 
-def leaf(payload: Column) -> Column:
-    """Digest of a record from its offset, length and payload."""
-    return F.sha2(F.concat_ws("|", "offset", "length", F.sha2(payload.cast("binary"), 256)), 256)
+def leaf(sha: Column) -> Column:
+    """Digest of a record from its offset, length and its payload's SHA-256."""
+    return F.sha2(F.concat_ws("|", "offset", "length", sha), 256)
 
 
 class Tree:
@@ -138,5 +138,6 @@ def audit(a: DataFrame, b: DataFrame, files: int) -> DataFrame:
 
 
 def leaves(records: DataFrame, payload: str) -> DataFrame:
-    """Records as ``audit`` takes them, with the digest of their payload's column."""
-    return records.select("file", "offset", "length", "page_id", leaf(F.col(payload)).alias("digest"))
+    """Records as ``audit`` takes them. Rendered ones have their payload's SHA-256 already, so that their payloads are not shuffled."""
+    sha = F.col("sha") if "sha" in records.columns else F.sha2(F.col(payload).cast("binary"), 256)
+    return records.select("file", "offset", "length", "page_id", leaf(sha).alias("digest"))
