@@ -25,15 +25,24 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an audit finds in a stored replica of all pages into which faults were put: records with another first byte, and the last record of each fifth file gone."""
+    """What an audit finds in a stored replica of all pages into which faults were put: records with another first byte of the payload, or of equal length but another date, stated digest or record id in the header, and the last record of each fifth file gone."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     files = max(1, math.ceil(pages.count() / warc.FILE_PAGES))
     first = warc.render(pages, files)
     original = warc.leaves(first, "html")
     hit = (F.pmod(F.conv(F.substring("key", 9, 4), 16, 10).cast("long"), F.lit(97)) == 3) & (F.octet_length(F.substring("html", 1, 1)) == 1)
     spoilt = F.when(hit, F.concat(F.when(F.substring("html", 1, 1) == "#", "@").otherwise("#"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
+    # which part of a record is spoilt; a header's spoilt part is as long as before
+    part = F.pmod(F.conv(F.substring("key", 13, 4), 16, 10).cast("long"), F.lit(4))
+    head = (
+        F.when(hit & (part == 1), F.regexp_replace("head", "WARC-Date: 2024", "WARC-Date: 2025"))
+        .when(hit & (part == 2), F.regexp_replace("head", "WARC-Payload-Digest: sha256:.", "WARC-Payload-Digest: sha256:x"))
+        .when(hit & (part == 3), F.regexp_replace("head", "<urn:md5:.", "<urn:md5:x"))
+        .otherwise(F.col("head"))
+    )
+    html = F.when(part == 0, spoilt).otherwise(F.col("html"))
     path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
-    warc.write(first.where(~(F.col("last") & (F.col("file") % 5 == 0))).withColumn("html", spoilt), path)
+    warc.write(first.where(~(F.col("last") & (F.col("file") % 5 == 0))).withColumns({"html": html, "head": head}), path)
     return warc.audit(original, warc.leaves(warc.read(spark, path), "payload"), files)
 
 
