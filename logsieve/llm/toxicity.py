@@ -4,10 +4,16 @@ The kernel of two strings sums, over every triple of letters that both hold in o
 characters, the product of DECAY^(characters spanned), and is normalised to 1 for a string with itself.
 Marks and inserted characters only stretch the span, so "i.d.i.o.t", "idxiot" and "i d i o t" stay near
 "idiot". Strings are the units of a sentence: its words, and each run of three or more single letters joined.
+Besides, the letters of each run of neighbouring words of a document, of REACH letters at most, are a string
+without the white space, line ends and marks between and inside the words ("id iot", "i. d. i. o. t.",
+"i---d---i---o---t"); such a run counts if it is on the toxic side. All runs are looked at: sums of the triples'
+weights over a text's letters bound each run's value from above, and the runs whose bound passes are scored.
 Landmarks are units that toxic training documents hold far more often than clean ones; a unit's features are
 its kernels with them, whitened. A sentence's value is that of its highest unit. The machine is trained on
 labelled sentences: all units of clean ones are negative, and of a toxic document's sentences those units
 that score highest are positive, chosen anew in each round (a sentence of a toxic document need not be toxic).
+Pairs and triples of words that are each as frequent in clean documents, but together are not, are units, too,
+and runs of clean documents that come near the toxic side are negative.
 A document's score is the logistic value of its highest sentence.
 
 As the decision is linear in the triples of a unit, landmarks and machine fold into one weight for each triple.
@@ -39,6 +45,10 @@ PIECE = 48
 MEMO_UNITS = 600_000
 #: Clean units that the machine is first trained on; each round adds a quarter as many of those it scores highest.
 NEGATIVES = 16_000
+#: Letters of a run of words.
+REACH = 24
+#: Letters whose triples are summed up at a time.
+LETTERS = 1 << 19
 #: Units whose triples are laid out at a time.
 ROWS = 500
 _ALPHABET = 64
@@ -51,11 +61,20 @@ def _pairs() -> list[tuple[int, int]]:
     return [(j, k) for k in range(2, SPAN) for j in range(1, k)]
 
 
+def _code(c: str) -> int:
+    return _CODES.get(c) or (27 + ord(c) % 37 if c.isalpha() else 0)
+
+
+def letters(word: str) -> str:
+    """A word in lower case without its marks."""
+    word = word.lower()
+    return word if word.isascii() and word.isalpha() else "".join(c for c in word if _code(c))
+
+
 def codes(units: list[str]) -> np.ndarray:
     """Letters as numbers from 1 to 63, marks as 0; one row for each unit, filled up with 0."""
     width = max((len(u) for u in units), default=1)
-    code = lambda c: _CODES.get(c) or (27 + ord(c) % 37 if c.isalpha() else 0)
-    known = {c: code(c) for c in set("".join(units))}
+    known = {c: _code(c) for c in set("".join(units))}
     out = np.zeros((len(units), width + SPAN), np.int32)
     for i, u in enumerate(units):
         out[i, : len(u)] = [known[c] for c in u]
@@ -115,6 +134,52 @@ class Model:
         np.maximum.at(top, of, value)
         return self.bias + np.where(np.isfinite(top), top, 0.0)
 
+    def runs(self, words: list[str], which: np.ndarray, bounds: np.ndarray, floor: np.ndarray) -> tuple[list[int], list[str]]:
+        """Runs of neighbouring words whose letters may have a value above their document's ``floor``: documents and strings.
+
+        ``words`` are distinct ones, ``which`` their numbers in the order of the text, ``bounds`` where documents begin.
+        A run's weights add up to those of the triples inside it; its length is at least that of its triples taken apart.
+        """
+        held = [letters(w) for w in words]
+        known = {c: _code(c) for c in set("".join(held))}
+        coded = [bytes(known[c] for c in w[: REACH + 1]) for w in held]
+        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        pool, begin = np.frombuffer(b"".join(coded), np.uint8), np.cumsum(size) - size
+        kept = np.flatnonzero(size[which] > 0)
+        word, doc = which[kept], np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[kept]
+        total = np.cumsum(size[word])
+        least = np.sqrt([max(1e-9, sum((k - 1) * max(0, n - k) * DECAY ** (2 * k + 2) for k in range(2, SPAN))) for n in range(REACH + 1)])
+        table = self.weights.astype(np.float32)
+        docs, strings, a = [], [], 0
+        while a < len(word):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + LETTERS)))
+            mine, of = word[a : b + REACH], doc[a : b + REACH]
+            n = size[mine]
+            end = np.cumsum(n)
+            start = end - n
+            x = np.zeros(end[-1] + SPAN, np.int32)
+            x[: end[-1]] = pool[np.repeat(begin[mine] - start, n) + np.arange(end[-1])]
+            sums = []
+            for k in range(2, SPAN):
+                outer = x[: end[-1]] * _ALPHABET**2 + x[k : k + end[-1]]
+                own = sum(table[outer + x[j : j + end[-1]] * _ALPHABET] for j in range(1, k))
+                sums.append(np.concatenate([[0.0], np.cumsum(own, dtype=np.float64) * DECAY ** (k + 1)]))
+            first = np.arange(min(b, len(word)) - a)
+            for m in range(REACH):
+                first = first[first + m < len(mine)]
+                length = end[first + m] - start[first]
+                fits = (length <= REACH) & (of[first + m] == of[first])
+                first, length = first[fits], length[fits]
+                if not len(first):
+                    break
+                s, e = start[first], end[first + m]
+                value = sum(c[np.maximum(e - k, s)] - c[s] for k, c in enumerate(sums, 2))
+                for i in first[(value > 0) & (self.bias + value / least[length] + 1e-4 > floor[of[first]])]:
+                    docs.append(int(of[i]))
+                    strings.append("".join(held[w] for w in mine[i : i + m + 1]))
+            a = b
+        return docs, strings
+
     def score(self, value: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (value - self.place), -40, 40)))
 
@@ -124,6 +189,43 @@ def spelled(text: str) -> list[str]:
     return [re.sub(r"\s+", "", m[0]) for m in _SPELLED.finditer(text)]
 
 
+def _words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of texts, their numbers in the order of the texts, and where each text begins."""
+    split = pc.ascii_split_whitespace(texts)
+    coded = split.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), split.offsets.to_numpy() - split.offsets[0].as_py()
+
+
+def phrases(texts: list[str], toxic: np.ndarray) -> list[tuple[str, int, int]]:
+    """Pairs and triples of words that toxic texts hold far more often than clean ones while none of their words does: letters, and the texts of either label that hold them."""
+    words, which, bounds = _words(pa.array(texts, pa.large_string()))
+    number: dict[str, int] = {}
+    which = np.array([number.setdefault(letters(w), len(number)) for w in words] or [0], np.int64)[which]
+    of, names = np.repeat(np.arange(len(texts)), np.diff(bounds)), list(number)
+    bad = toxic.astype(bool)
+    ratio, out = bad.sum() / (~bad).sum(), []
+    common = np.zeros(0, bool)
+    for size in (1, 2, 3):
+        last = max(0, len(which) - size + 1)
+        at = np.flatnonzero(of[:last] == of[size - 1 :])
+        if size > 1:
+            at = at[np.logical_and.reduce([common[which[at + j]] for j in range(size)])]
+        key = sum(which[at + j] * len(names) ** (size - 1 - j) for j in range(size))
+        keys, key = np.unique(key, return_inverse=True)
+        pair = np.unique(key * len(texts) + of[at])
+        p, n = (np.bincount((pair // len(texts))[bad[pair % len(texts)] == side], minlength=len(keys)) for side in (True, False))
+        excess = (p - n * ratio) / np.sqrt(np.maximum(1, p + n * ratio))
+        if size == 1:
+            common = np.zeros(len(names), bool)
+            common[keys] = excess <= 3
+            continue
+        for i in np.flatnonzero((excess > 5) & (p >= 2)):
+            text = "".join(names[int(keys[i]) // len(names) ** (size - 1 - j) % len(names)] for j in range(size))
+            if 3 <= len(text) <= REACH:
+                out.append((text, int(p[i]), int(n[i])))
+    return out
+
+
 def sentence_units(text: str) -> list[list[str]]:
     """Units of each sentence."""
     return [u for s in _SENTENCE.split(text) if s and (u := s.lower().split() + [x.lower() for x in spelled(s)])]
@@ -176,10 +278,14 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
         ids.append(np.unique(np.concatenate([np.zeros(0, np.int32), *bag])))
         if bad_:
             bag_ids.append(bag)
-    units = list(number)
+    extra = [x for x in phrases(texts, toxic) if x[0] not in number]
+    extra = list({x[0]: x for x in extra}.values())
+    units = [*number, *(x[0] for x in extra)]
+    number.update((u, i) for i, u in enumerate(units))
     count = lambda mine: np.bincount(np.concatenate([np.zeros(0, np.int32), *(ids[i] for i in mine)]), minlength=len(units))
     bad, good = np.flatnonzero(toxic == 1), np.flatnonzero(toxic == 0)
     p, n = count(bad), count(good)
+    p[len(units) - len(extra) :], n[len(units) - len(extra) :] = [x[1] for x in extra], [x[2] for x in extra]
     # how many standard errors a unit is more frequent in toxic documents; chance finds are many among rare units
     even = n * len(bad) / len(good)
     excess = (p - even) / np.sqrt(np.maximum(1, p + even))
@@ -202,13 +308,14 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
     best = np.where((p > 0) & spellable, excess, -np.inf)
     strong = np.flatnonzero(spellable & (excess > 5))
     least = 3.0
+    calm, near = _words(pa.array([texts[i] for i in good], pa.large_string())), []
     for _ in range(rounds):
         tops = np.array([s[np.argmax(best[s])] for sentences in bag_ids for s in sentences], np.int64)
         chosen = np.union1d(strong, tops[(best[tops] > least) & (excess[tops] > 1)])
         if not len(chosen):
             chosen = np.array([number[m] for m in marks], np.int64)
-        zp, zn = (_features([units[i] for i in x], columns, white) for x in (chosen, hard))
-        wp, wn = np.minimum(p[chosen], 200.0), np.full(len(hard), 1.0)
+        zp, zn = (_features(x, columns, white) for x in ([units[i] for i in chosen], [*(units[i] for i in hard), *near]))
+        wp, wn = np.minimum(p[chosen], 200.0), np.full(len(zn), 1.0)
         y = np.concatenate([np.ones(len(zp)), -np.ones(len(zn))])
         weights, bias = _svm(np.concatenate([zp, zn]), y, np.concatenate([wp / wp.mean(), wn]))
         model = Model(_fold(columns, white @ weights), bias)
@@ -217,6 +324,9 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
         # the clean units that come nearest to the toxic side join the negative ones
         worst = clean[np.argsort(-every[clean], kind="stable")[: NEGATIVES // 4]]
         hard = np.union1d(hard, worst)
+        found = sorted({x for x in model.runs(*calm, np.full(len(good), -0.5))[1] if x not in number})
+        found = [found[i] for i in np.argsort(-model.units(found), kind="stable")[: NEGATIVES // 4]]
+        near = sorted({*near, *found})
     top = np.array([every[i].max() if len(i) else -1.5 for i in ids])
     model.slope, model.place = _logistic(top, toxic)
     return model
@@ -262,19 +372,21 @@ class Scorer:
         while i < len(texts):
             j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + (8 << 20))))
             part = texts.slice(i, j - i)
-            split = pc.ascii_split_whitespace(part)
-            bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
-            coded = split.flatten().dictionary_encode()
-            value = self._values([w.lower() for w in coded.dictionary.to_pylist()])
-            which = coded.indices.to_numpy()
+            words, which, bounds = _words(part)
+            value = self._values([w.lower() for w in words])
             full = np.flatnonzero(np.diff(bounds))
             if len(which):
                 out[i + full] = np.maximum.reduceat(value[which], bounds[:-1][full])
-                single = pc.equal(pc.utf8_length(coded.dictionary), 1).to_numpy(zero_copy_only=False)[which]
+                single = np.fromiter((len(w) == 1 for w in words), bool, len(words))[which]
                 run = single[:-2] & single[1:-1] & single[2:] if len(which) > 2 else np.zeros(0, bool)
                 for d in np.unique(np.searchsorted(bounds, np.flatnonzero(run), side="right") - 1):
                     if joined := [x.lower() for x in spelled(part[int(d)].as_py())]:
                         out[i + d] = max(out[i + d], self._values(joined).max())
+                docs, strings = self.model.runs(words, which, bounds, np.maximum(out[i:j], self.model.place))
+                if docs:
+                    value = self._values(strings)
+                    toxic = value > self.model.place
+                    np.maximum.at(out, i + np.array(docs)[toxic], value[toxic])
             i = j
         return np.where(np.isfinite(out), out, -1.5)
 

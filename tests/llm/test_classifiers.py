@@ -91,6 +91,46 @@ def test_toxicity_on_held_out_rows(tables):
     assert (model.score(scorer.tops(gapped)) >= 0.5).tolist() == [True, True, True, True, False, False]
 
 
+def test_toxicity_of_gapped_strings_and_phrases():
+    r = random.Random(8)
+    texts, toxic = [], []
+    for i in range(900):
+        text = clean(r)
+        if i % 3 == 0:
+            text = insult(r, text)
+        elif i % 3 == 1:
+            # a phrase whose words are common
+            words = text.split()
+            words[3:3] = "walks over house".split()
+            text = " ".join(words)
+        texts.append(text)
+        toxic.append(int(i % 3 < 2))
+    model = toxicity.train(texts, np.array(toxic))
+    bad = ["dim wit", "num bsk ull", "b. l. o. c. k. h. e. a. d.", "d---i---m---w---i---t", "d\ni\nm\nw\ni\nt", "d - i - m - w - i - t", "bloc\n\nkhead", "he walks over house", "walks, over  house"]
+    good = ["the meadow table keeps watch of green", "a b c d e f", "", "house bright window walks", "x " * 500, "z" * 100_000]
+    value = toxicity.Scorer(model).tops(pa.array([f"the river {x} of green" for x in bad] + good))
+    assert (model.score(value) >= 0.5).tolist() == [True] * len(bad) + [False] * len(good)
+    assert toxicity.Scorer(model).tops(pa.array(["green " * 150_000 + "dim wit"]))[0] > model.place
+
+
+def test_bounds_of_runs_leave_none_out(monkeypatch):
+    r = random.Random(4)
+    texts = [insult(r, clean(r)) if i % 2 else clean(r) for i in range(300)]
+    model = toxicity.train(texts, np.arange(300) % 2)
+    monkeypatch.setattr(toxicity, "LETTERS", 40)
+    some = ["dim wit " + " ".join(r.choices(["dim", "wit", "d", "numb.", "--", "skull", "he", "block", "ad"], k=25)) for _ in range(30)]
+    words, which, bounds = toxicity._words(pa.array(some, pa.large_string()))
+    docs, strings = model.runs(words, which, bounds, np.full(30, model.place))
+    got = {(d, s) for d, s, v in zip(docs, strings, model.units(strings), strict=True) if v > model.place}
+    every = set()
+    for d, text in enumerate(some):
+        parts = [x for w in text.split() if (x := toxicity.letters(w))]
+        every |= {(d, x) for i in range(len(parts)) for j in range(i + 1, len(parts) + 1) if len(x := "".join(parts[i:j])) <= toxicity.REACH}
+    every = sorted(every)
+    want = {x for x, v in zip(every, model.units([x for _, x in every]), strict=True) if v > model.place}
+    assert got == want and want
+
+
 def test_kernel_is_the_sum_over_common_gapped_triples():
     number, weight = toxicity._merged(*toxicity.triples(["abcd", "a.bcd", "xyz", ""]))
     phi = np.zeros((4, 64**3))
