@@ -130,7 +130,7 @@ def resolve(rows: DataFrame) -> DataFrame:
     million times is one lookup. Members take the slot's winner unless theirs is smaller; nonmembers stand alone.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid"))
-    each = lambda df: df.groupBy("digest").agg(first.alias("f"), F.count("*").alias("n")).select("digest", F.col("f.doc_id").alias("winner"), F.col("f.uid").alias("uid"), "n")
+    each = lambda df: df.groupBy("digest").agg(first.alias("f"), F.count("*").alias("n")).select("digest", F.coalesce("f.doc_id", F.lit((1 << 63) - 1)).alias("winner"), F.col("f.uid").alias("uid"), "n")
     old, new = each(rows.where("historical")), each(rows.where("NOT historical"))
     parts = max(1, math.ceil(rows.count() / PART_KEYS))
     index = cut(build_index(old, parts), "digest-index")
@@ -161,7 +161,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     found = cut(exact_groups(docs).select("doc_id", "kept"), "exact-groups")
     both = found.groupBy("doc_id").agg(F.sum(F.col("kept").cast("long")).alias("stay"), F.count("*").alias("n"))
     goes = checked_broadcast(cut(both.where("stay = 0 AND doc_id IS NOT NULL").select("doc_id"), "exact-goes"))
-    mixed = cut(both.where("stay > 0 AND stay < n").select("doc_id"), "exact-mixed")
+    mixed = cut(both.where("stay < n AND (stay > 0 OR doc_id IS NULL)").select("doc_id"), "exact-mixed")
     out = docs.join(goes, "doc_id", "left_anti")
     if mixed.limit(1).count():
         hard = mixed.select(F.col("doc_id").alias("__id"))

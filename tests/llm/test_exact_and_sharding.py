@@ -78,3 +78,9 @@ def test_shards_are_even_gapless_and_reproducible(documents, spark):
 def test_rows_with_one_key_are_spread_over_all_shards(spark):
     docs = spark.range(4000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'same' AS text")
     assert {r["count"] for r in sharding.shard(docs, 8).groupBy("shard").count().collect()} == {500}
+
+
+def test_a_repeat_goes_though_no_row_without_an_id_stays(spark):
+    rows = [(5, "one  text"), (None, "one text"), (6, "another")]
+    out = dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == [(5, "one  text"), (6, "another")]
