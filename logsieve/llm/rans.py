@@ -99,8 +99,19 @@ def decode_block(n: int, states: np.ndarray, words: np.ndarray, by_slot: np.ndar
     return out
 
 
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids in order, the place of each id among them, and how often each occurs."""
+    if len(ids) and int(ids.max()) >= 1 << 22:
+        return np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    place = np.zeros(len(counts), np.int32)
+    place[symbols] = np.arange(len(symbols))
+    return symbols, place[ids], counts[symbols]
+
+
 def encode_segment(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
-    symbols, which, n = np.unique(ids, return_inverse=True, return_counts=True)
+    symbols, which, n = _numbered(ids)
     bits = min(22, max(16, int(len(symbols)).bit_length() + 2))
     freq = quantize(n, bits) if len(n) else n
     f, c = freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64)
@@ -165,31 +176,39 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     tokenizer = tokenizer or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
-        docs_, counts, parts, held, number, before = [], [], [], 0, 0, 0
+        part, number, before = TaskContext.get().partitionId(), 0, 0
+        docs_, counts, parts, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             ids = np.concatenate(parts)
-            data = encode_segment(docs_, np.array(counts, np.int64), ids)
+            data = encode_segment(docs_, np.concatenate(counts), ids)
             row = (part, number, before, len(docs_), len(ids), zlib.crc32(data), data)
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [x.split()[0] for x in SEGMENTS.split(", ")])
 
         end = np.zeros(0, "<u4") if end_id is None else np.array([end_id], "<u4")
-        for b in batches:
-            ids, n = enc.encode(b.column("text"))
-            ends = np.cumsum(n)
-            for d, stop, k in zip(b.column("doc_id").to_pylist(), ends.tolist(), n.tolist(), strict=True):
-                docs_.append(d)
-                counts.append(k + len(end))
-                parts += [ids[stop - k : stop], end]
-                held += counts[-1]
-                if held >= SEGMENT:
-                    yield flush()
-                    before, number = before + held, number + 1
-                    docs_, counts, parts, held = [], [], [], 0
-        if docs_:
-            yield flush()
+        with encoder(tokenizer) as enc:
+            for b in batches:
+                ids, n = enc.encode(b.column("text"))
+                if len(end):
+                    ids, n = np.insert(ids, np.cumsum(n), end[0]), n + 1
+                doc, stops = b.column("doc_id").to_pylist(), np.cumsum(n)
+                first = 0
+                while first < len(n):
+                    done = int(stops[first - 1]) if first else 0
+                    # a segment ends with the document that fills it
+                    last = min(len(n), int(np.searchsorted(stops, done + SEGMENT - held)) + 1)
+                    docs_ += doc[first:last]
+                    counts.append(n[first:last])
+                    parts.append(ids[done : int(stops[last - 1])])
+                    held += len(parts[-1])
+                    if held >= SEGMENT:
+                        yield flush()
+                        before, number = before + held, number + 1
+                        docs_, counts, parts, held = [], [], [], 0
+                    first = last
+            if docs_:
+                yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_tie"))
     ordered = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")

@@ -1,30 +1,36 @@
 """Token ids of whole texts by the tokenizers library, with a memo of words.
 
 The tokenizer's pre-tokenizer drops white space and none of its pieces spans it, so a text's ids are those of
-its white-space-separated words, one after the other. Texts repeat words so much that a batch's distinct words
-are few: Arrow splits a batch and numbers its words, the library encodes the words that the worker has not met,
-and numpy lays the ids out in the texts' order. A word of Latin letters and a tail of punctuation is two pieces
-to the pre-tokenizer, so its letters (in lower case, as the normalizer makes them) and its tail are looked up
-apart. The memo is emptied at its bound, which changes no result.
+its white-space-separated words, one after the other (a tokenizer that keeps white space is refused). Texts
+repeat words so much that a batch's distinct words are few: Arrow splits a batch, numbers its words and parts
+them, the library encodes the parts that the task has not met, and numpy lays the ids out in the texts' order.
+A word of Latin letters and a tail of punctuation is two pieces to the pre-tokenizer, so its letters (in lower
+case, as the normalizer makes them) and its tail are looked up apart. The memo is emptied at its bound, which
+changes no result, and a task gives it back when it ends.
 """
 
 from __future__ import annotations
 
+import ctypes
 import os
-import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words in the memo of one worker: about 200 bytes each.
-MEMO_WORDS = 500_000
+#: Bytes of the memo of one task, as reckoned by ``_ENTRY`` for each word and the word's and its ids' own.
+MEMO_BYTES = 48 << 20
+#: Words in that memo.
+MEMO_WORDS = 200_000
+_ENTRY = 200
 #: Longer words are encoded whenever they are met.
 LONG_WORD = 64
 #: Bytes of text whose ids are laid out at a time.
 SLICE = 8 << 20
 #: Letters whose lower case is one letter and which normalization leaves alone, and marks that no contraction has.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+_PLAIN = "^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[.,;:!?#$%&*]*)$"
 _JOIN = 64
 
 
@@ -49,6 +55,9 @@ class WordEncoder:
         if self.suffix:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(self.suffix)]] = True
         self.memo: dict[str, bytes] = {"": b""}
+        self.held = 0
+        if len(self.tokenizer.encode(" a  b\n", add_special_tokens=False).ids) != sum(map(len, self._each(["a", "b"]))) // 4:
+            raise ValueError("this tokenizer keeps white space, so that a text's ids are not those of its words")
 
     def _each(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
@@ -67,22 +76,42 @@ class WordEncoder:
         data, cuts = ids.tobytes(), [0, *(ends * 4).tolist()]
         return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids of each of the words, as little-endian unsigned 32-bit integers."""
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {"": b""}
-        memo, match = self.memo, _PLAIN.fullmatch
-        parts = [(m[1].lower(), m[2]) if (m := match(w)) else (w, "") for w in words]
-        new = {p for pair in parts for p in pair if p not in memo}
-        letters = [w for w in new if w.isalpha() and _PLAIN.fullmatch(w)]
-        memo.update(zip(letters, self._plain(letters), strict=True))
-        rest = [w for w in new if w not in memo]
-        memo.update(zip(rest, self._each(rest), strict=True))
-        out = [memo[a] + memo[b] if b else memo[a] for a, b in parts]
+    def _known(self, words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one word after the other, and the number of ids of each."""
+        if self.held > MEMO_BYTES or len(self.memo) > MEMO_WORDS:
+            self.memo, self.held = {"": b""}, 0
+        memo = self.memo
+        if new := [w for w in words if w not in memo]:
+            found = self._plain(new) if plain else self._each(new)
+            memo.update(zip(new, found, strict=True))
+            self.held += sum(map(len, new)) + sum(map(len, found)) + _ENTRY * len(new)
+        blobs = [memo[w] for w in words]
         for w in new:
             if len(w) > LONG_WORD:
-                del memo[w]
-        return out
+                self.held -= len(w) + len(memo.pop(w)) + _ENTRY
+        return np.frombuffer(b"".join(blobs), "<u4"), np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one word after the other, and the number of ids of each."""
+        parts = pc.extract_regex(words, _PLAIN)
+        plain = parts.is_valid().to_numpy(zero_copy_only=False)
+        rest = words.filter(pc.invert(parts.is_valid()))
+        letters = pc.utf8_lower(parts.field("letters")).filter(parts.is_valid()).dictionary_encode()
+        tails = parts.field("tail").filter(parts.is_valid()).dictionary_encode()
+        pools = [self._known(letters.dictionary.to_pylist(), True), self._known(tails.dictionary.to_pylist(), False), self._known(rest.to_pylist(), False)]
+        # each word's first and second part as numbers into the pools, one pool after the other
+        number = np.cumsum([0, *(len(n) for _, n in pools)])
+        first, second = np.empty(len(words), np.int64), np.full(len(words), -1)
+        first[plain], second[plain] = letters.indices.to_numpy(), number[1] + tails.indices.to_numpy()
+        first[~plain] = number[2] + np.arange(len(rest))
+        pool, n = np.concatenate([p for p, _ in pools]), np.concatenate([n for _, n in pools])
+        starts = np.cumsum(n) - n
+        both = np.stack([first, second], 1).ravel()
+        both = both[both >= 0]
+        out = pool[_spread(starts[both], n[both])]
+        own = n[first] if len(words) else np.zeros(0, np.int64)
+        own = own + np.where(second >= 0, n[second], 0) if len(n) else own
+        return out, own
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array of uint32, and the number of ids of each text. Null counts as empty."""
@@ -104,25 +133,43 @@ class WordEncoder:
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
         numbered = split.flatten().dictionary_encode()
         which = numbered.indices.to_numpy()
-        blobs = self.words(numbered.dictionary.to_pylist())
-        pool = np.frombuffer(b"".join(blobs), "<u4")
-        lengths = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        pool, lengths = self.words(numbered.dictionary)
         starts = np.cumsum(lengths) - lengths
         each = lengths[which] if len(which) else np.zeros(0, np.int64)
         total = np.concatenate([[0], np.cumsum(each)])
         out = np.empty(int(total[-1]), "<u4")
-        for a in range(0, len(which), 1_000_000):
-            w, n = which[a : a + 1_000_000], each[a : a + 1_000_000]
-            at, end = int(total[a]), int(total[min(a + 1_000_000, len(which))])
-            out[at:end] = pool[np.repeat(starts[w] - (np.cumsum(n) - n), n) + np.arange(end - at)]
+        for a in range(0, len(which), 500_000):
+            w, n = which[a : a + 500_000], each[a : a + 500_000]
+            at, end = int(total[a]), int(total[min(a + 500_000, len(which))])
+            out[at:end] = pool[_spread(starts[w], n)]
         return out, np.diff(total[bounds])
 
 
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its length, one after the other."""
+    end = np.cumsum(lengths)
+    return np.repeat(starts - (end - lengths), lengths) + np.arange(end[-1] if len(end) else 0)
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """The worker's encoder for the file at ``path`` (loaded once for a worker)."""
+@contextmanager
+def encoder(path: str) -> Iterator[WordEncoder]:
+    """The worker's encoder for the file at ``path`` (loaded once for a worker), its memo empty again behind it."""
     if path not in _encoders:
+        _encoders.clear()
         _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    found = _encoders[path]
+    try:
+        yield found
+    finally:
+        found.memo, found.held = {"": b""}, 0
+        release()
+
+
+def release() -> None:
+    """Gives memory that a task no longer uses back to the system; workers outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
