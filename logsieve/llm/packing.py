@@ -1,17 +1,22 @@
 """Packing of token pieces into sequences of a fixed capacity: best-fit decreasing, certified by dual-feasible functions.
 
-A document longer than the capacity is cut into full pieces and a rest; others are one piece. Pieces are dealt
-to partitions by hash, and each partition packs its own by best-fit decreasing. A dual-feasible function f maps
-sizes in [0, 1] to [0, 1] so that any set of sizes that fits into a bin still does after f; the sum of f over
-the pieces, rounded up, is therefore a lower bound on the bins. A partition whose bin count equals its largest
-bound is certified and final. In a partition with a gap, its full bins and those that take part in no loss
-are final too; the pieces of its least filled bins are pooled with those of the other open partitions, dealt
-anew to fewer partitions, and packed again. Rounds end when the open pieces fit one partition, the bounds are
-met, or a round gains nothing.
+A document longer than the capacity is cut into full pieces and a rest; others are one piece. Pieces are put in
+the order of their lengths over the whole table and dealt round, so that every partition has the same mix of
+lengths, and each partition packs its own by best-fit decreasing. A dual-feasible function f maps sizes in
+[0, 1] to [0, 1] so that any set of sizes that fits into a bin still does after f; the sum of f over the
+pieces, rounded up, is therefore a lower bound on the bins. A partition whose bin count equals its largest
+bound is certified and final. Of a partition with a gap, the bins that are exactly full are final too; all
+others are opened, and their pieces are pooled with those of the other open partitions, dealt anew and packed
+again. Rounds go on until the bound of the whole table is met, no partition has a gap, all that is open was in
+one partition, or a round frees no bin (its places are then those of the round before).
+
+Every piece carries ``certified``: whether its sequence is proven to be part of a least number of bins for its
+partition's pieces. ``certificate`` sums up a result: its bins and the bound of the whole table.
 
 Defined results: null text counts as empty; an empty document is one piece of length 0 and goes into some
 sequence; rows that repeat are packed each; an empty table gives an empty result. Extra columns of the pieces
-are kept; the added ones replace columns of the same names.
+are kept; the added ones replace columns of the same names, and names that start with ``__pack_`` are this
+operator's own and go.
 """
 
 from __future__ import annotations
@@ -25,16 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsieve.llm.common import cut
+from logsieve.llm.common import cut, in_global_order
 from logsieve.llm.tokens import default_path, encoder
 
 CAPACITY = 2048
 #: Pieces that one task packs.
 PART_PIECES = 50_000
-#: Rounds of exchange at most; each deals only what is open.
-ROUNDS = 6
+#: Sequence numbers set aside for a partition; it has no more bins than pieces.
+PART_NUMBERS = 1 << 32
+#: Ids in one batch of pieces.
+BATCH_IDS = 4 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
-PLACED = "uid long, length long, part long, round int, bin long, offset long, state int"
+PLACED = "uid long, length long, part long, bin long, offset long, certified boolean, open boolean"
+ADDED = ("sequence_id", "offset", "certified")
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -42,33 +50,30 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        for b in batches:
-            ids, n = enc.encode(b.column("text"))
-            doc = b.column("doc_id").to_pandas().to_numpy(dtype=object)
-            ends = np.cumsum(n)
-            rows: list[list] = [[], [], [], [], []]
-            held = 0
-            for d, end, k in zip(doc, ends, n, strict=True):
-                own = np.append(ids[end - k : end], np.uint32(0)).astype("<u4")
-                for piece, start in enumerate(range(0, len(own), capacity)):
-                    part = own[start : start + capacity].tobytes()
-                    for column, v in zip(rows, (None if d is None or d != d else int(d), piece, start, len(part) // 4, part), strict=True):
-                        column.append(v)
-                    held += len(part)
-                if held > 16 << 20:
-                    yield _batch(rows)
-                    rows, held = [[], [], [], [], []], 0
-            yield _batch(rows)
+        with encoder(path) as enc:
+            for b in batches:
+                ids, n = enc.encode(b.column("text"))
+                ids, n = np.insert(ids, np.cumsum(n), np.uint32(0)).astype("<u4"), n + 1
+                # pieces of each document, and their places in it and among all ids
+                pieces = -(-n // capacity)
+                of = np.repeat(np.arange(len(n)), pieces)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(capacity, n[of] - start)
+                at = np.concatenate([[0], np.cumsum(length)])
+                doc = b.column("doc_id").take(pa.array(of))
+                first = 0
+                while first < len(of):
+                    last = max(first + 1, int(np.searchsorted(at, at[first] + BATCH_IDS, "right")) - 1)
+                    rows = slice(first, last)
+                    data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer(4 * (at[first : last + 1] - at[first])), pa.py_buffer(ids[at[first] : at[last]])])
+                    columns = [doc[rows], pa.array(piece[rows], pa.int32()), pa.array(start[rows], pa.int64()), pa.array(length[rows], pa.int64()), data.cast(pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids"])
+                    first = last
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
-def _batch(rows: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
-
-
 def best_fit_decreasing(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin and offset of each size, and what each bin holds. A piece goes into the fullest bin that has room for it."""
     bins, offsets, left = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), []
@@ -113,55 +118,78 @@ def lower_bound(counts: np.ndarray, capacity: int = CAPACITY) -> int:
     return best
 
 
-def _pack(capacity: int, number: int, last: bool):
+def _pack(capacity: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "uid"], ascending=[False, True], kind="stable")
         sizes = pdf["length"].to_numpy()
         bins, offsets, fill = best_fit_decreasing(sizes, capacity)
-        bound = lower_bound(np.bincount(sizes, minlength=capacity + 1), capacity)
-        gap = len(fill) - bound
-        state = np.zeros(len(fill), np.int32)  # 0: final
-        if gap > 0 and not last:
-            # the emptiest bins, with as much room between them as the gap asks for, and as many well-filled ones to mend them with
-            order = np.argsort(fill, kind="stable")
-            room = np.cumsum(capacity - fill[order])
-            take = int(np.searchsorted(room, (gap + 1) * capacity)) + 1
-            state[order[: min(len(order), 4 * take)]] = 1
-        return pd.DataFrame({"uid": pdf["uid"], "length": sizes, "part": key[0], "round": number, "bin": bins, "offset": offsets, "state": state[bins]})
+        met = len(fill) == lower_bound(np.bincount(sizes, minlength=capacity + 1), capacity)
+        full = fill == capacity
+        return pd.DataFrame({"uid": pdf["uid"], "length": sizes, "part": key[0], "bin": bins, "offset": offsets, "certified": full[bins] | met, "open": ~(full[bins] | met)})
 
     return run
 
 
+def _bins(placed: DataFrame) -> tuple[int, int]:
+    """Bins of a round, and the pieces that it leaves open."""
+    each = placed.groupBy("part").agg((F.max("bin") + 1).alias("bins"), F.sum(F.col("open").cast("long")).alias("open"))
+    found = each.agg(F.sum("bins").alias("bins"), F.sum("open").alias("open")).first()
+    return found.bins or 0, found.open or 0
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES) -> DataFrame:
-    """``pieces`` (length long, at most ``capacity``, and any other columns) with sequence_id long and offset long.
+    """``pieces`` (length long, at most ``capacity``, and any other columns) with sequence_id long, offset long and certified boolean.
 
     Only (row id, length) is dealt and packed; full pieces need no packing and take a sequence each. What each
-    round leaves open is counted, never collected; a task gets about ``part_pieces`` of them.
+    round leaves open is counted, never collected; a task gets about ``part_pieces`` of them. The driver sees
+    the number of pieces of each length, of which there are ``capacity`` at most.
     """
-    rest = [c for c in pieces.columns if c not in ("uid", "sequence_id", "offset")]
-    rows = cut(pieces.select(*rest, F.monotonically_increasing_id().alias("uid")), "pack-pieces")
-    open_ = rows.where(F.col("length") < capacity).select("uid", "length")
-    done, n, before = [], open_.count(), None
-    for number in range(ROUNDS):
-        parts = max(1, math.ceil(n / part_pieces))
-        last = number == ROUNDS - 1 or (before is not None and n > 0.9 * before) or (parts == 1 and number > 0)
-        dealt = open_.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(number)), F.lit(parts)))
-        placed = cut(dealt.groupBy("part").applyInPandas(_pack(capacity, number, last), PLACED), f"pack-{number}")
-        done.append(placed.where("state = 0"))
-        open_ = placed.where("state = 1").select("uid", "length")
-        before, n = n, open_.count()
-        if last or not n:
+    rest = [c for c in pieces.columns if c not in ADDED and not c.startswith("__pack_")]
+    rows = cut(pieces.select(*rest, F.monotonically_increasing_id().alias("__pack_row")), "pack-pieces")
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in rows.where(F.col("length") < capacity).groupBy("length").agg(F.count("*").alias("n")).collect():
+        counts[r.length] = r.n
+    bound = lower_bound(counts, capacity)
+    open_, n = rows.where(F.col("length") < capacity).select(F.col("__pack_row").alias("uid"), "length"), int(counts.sum())
+    done: list[DataFrame] = []
+    base, final, before = 0, 0, None  # numbers given out, bins that are final, and the round before with its open bins
+    while n:
+        parts = math.ceil(n / part_pieces)
+        dealt, _ = in_global_order(open_, ["length", "uid"], "pack-order")
+        dealt = dealt.withColumn("part", F.pmod("row_index", F.lit(parts)))
+        placed = cut(dealt.select("uid", "length", "part").groupBy("part").applyInPandas(_pack(capacity), PLACED), "pack-round")
+        bins, left = _bins(placed)
+        if before and bins >= before[1]:
+            done.append(before[0].where("open"))
             break
+        placed = placed.withColumn("sequence_id", F.col("part") * PART_NUMBERS + F.col("bin") + base)
+        base += parts * PART_NUMBERS
+        if not left or parts == 1 or final + bins <= bound:
+            done.append(placed)
+            break
+        done.append(placed.where("NOT open"))
+        kept = placed.where("NOT open").select("sequence_id").distinct().count()
+        final, before = final + kept, (placed, bins - kept)
+        open_, n = placed.where("open").select("uid", "length"), left
+    whole = rows.where(F.col("length") >= capacity).select("*", (-1 - F.col("__pack_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
+    if not done:
+        return whole.select(*rest, *ADDED)
     places = done[0]
     for x in done[1:]:
         places = places.unionByName(x)
-    # parts, rounds and bins are below 2^24, 2^3 and 2^32, and full pieces take the numbers below zero
-    number = F.shiftleft(F.col("part"), 35) + F.shiftleft(F.col("round").cast("long"), 32) + F.col("bin")
-    places = places.select("uid", number.alias("sequence_id"), "offset")
-    whole = rows.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.col("uid"), "offset": F.lit(0).cast("long")})
-    return rows.where(F.col("length") < capacity).join(places, "uid").unionByName(whole).select(*rest, "sequence_id", "offset")
+    places = places.select(F.col("uid").alias("__pack_row"), *ADDED)
+    return rows.where(F.col("length") < capacity).join(places, "__pack_row").unionByName(whole).select(*rest, *ADDED)
+
+
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> dict[str, int]:
+    """Of a result of ``pack``: its bins, the lower bound of its pieces, and the pieces that are in no certified sequence."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in packed.groupBy("length").agg(F.count("*").alias("n")).collect():
+        counts[r.length] = r.n
+    found = packed.agg(F.countDistinct("sequence_id").alias("bins"), F.sum((~F.col("certified")).cast("long")).alias("open")).first()
+    return {"bins": found.bins, "bound": lower_bound(counts, capacity), "uncertified": found.open or 0}
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of ``docs`` (doc_id, text) with their ids and places: doc_id, piece, start, length, ids, sequence_id, offset."""
+    """Pieces of ``docs`` (doc_id, text) with their ids and places: doc_id, piece, start, length, ids, sequence_id, offset, certified."""
     return pack(token_pieces(docs, path, capacity), capacity)
