@@ -1,3 +1,4 @@
+import uuid
 import zlib
 from collections import defaultdict
 
@@ -64,6 +65,43 @@ def test_packing_is_whole_gapless_and_near_the_bound(spark):
     assert held(rows, 100) <= 1.01 * packing.lower_bound(np.bincount(sizes, minlength=101), 100)
 
 
+def test_certificates_and_columns_of_the_caller(spark):
+    pieces = spark.range(3000).selectExpr("id AS uid", "1 + (id * 7919) % 100 AS length", "id AS part", "'x' AS certified")
+    out = packing.pack(pieces, 100, part_pieces=500).cache()
+    rows = out.collect()
+    assert out.columns == ["uid", "length", "part", "sequence_id", "offset", "certified"]
+    assert sorted((r.uid, r.part) for r in rows) == [(i, i) for i in range(3000)]
+    told = packing.certificate(out, 100)
+    assert told["bins"] == held(rows, 100) and told["bound"] <= told["bins"] and told["uncertified"] == sum(not r.certified for r in rows)
+    assert packing.certificate(packing.pack(pieces.limit(0), 100), 100) == {"bins": 0, "bound": 0, "uncertified": 0}
+
+
+def test_a_gap_that_no_exchange_can_close_ends_and_is_told(spark):
+    # sizes of 34 and 45: bins hold two at most, which none of the bounds proves for all of them
+    pieces = spark.range(2000).selectExpr("34 + id % 12 AS length", "id")
+    out = packing.pack(pieces, 100, part_pieces=300)
+    rows = out.collect()
+    assert held(rows, 100) >= packing.certificate(out, 100)["bound"] and len(rows) == 2000
+
+
+def test_ids_that_a_double_cannot_hold_stay_exact_beside_nulls(spark):
+    big = [2**53 + 1, None, 2**63 - 1, -(2**63), 2**53 + 3]
+    docs = spark.createDataFrame([(d, f"some words {i}") for i, d in enumerate(big)], "doc_id long, text string").coalesce(1)
+    assert sorted(str(r.doc_id) for r in packing.pack_documents(docs).collect()) == sorted(map(str, big))
+    path = f"{checkpoint_dir(spark)}/rans-big-{uuid.uuid4().hex}"
+    rans.write(docs, path)
+    assert sorted(str(r.doc_id) for r in rans.read(spark, path).collect()) == sorted(map(str, big))
+
+
+def test_a_long_document_is_cut_into_pieces_without_loss(spark, tokenizer, monkeypatch):
+    text = "alpha beta, gamma! " * 20_000
+    rows = packing.pack_documents(spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string"), capacity=100).collect()
+    ids = b"".join(r.ids for r in sorted((r for r in rows if r.doc_id == 1), key=lambda r: r.piece))
+    assert ids == np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes()
+    assert all(r.length == len(r.ids) // 4 <= 100 for r in rows)
+    held(rows, 100)
+
+
 def test_pieces_and_packing_of_documents(documents, empty, tokenizer):
     rows = packing.pack_documents(documents).collect()
     held(rows, 2048)
@@ -103,7 +141,7 @@ def test_frequencies_add_up():
 
 
 def test_files_give_documents_back_in_order(spark, documents, empty, tokenizer, monkeypatch):
-    path = f"{checkpoint_dir(spark)}/rans-test"
+    path = f"{checkpoint_dir(spark)}/rans-test-{uuid.uuid4().hex}"
     rans.write(documents.repartition(4), path)
     rows = rans.read(spark, path).orderBy("start").collect()
     assert [r.doc_id for r in rows] == sorted((r.doc_id for r in documents.collect()), key=lambda d: (d is not None, d or 0))
@@ -121,7 +159,7 @@ def test_files_give_documents_back_in_order(spark, documents, empty, tokenizer,
 
 
 def test_blocks_are_far_smaller_than_ids(spark):
-    path = f"{checkpoint_dir(spark)}/rans-size"
+    path = f"{checkpoint_dir(spark)}/rans-size-{uuid.uuid4().hex}"
     docs = spark.range(200).select(F.col("id").alias("doc_id"), F.repeat(F.lit("the cat sat on the mat and the dog ran off. "), 50).alias("text"))
     rans.write(docs, path)
     s = spark.read.parquet(path).agg(F.sum("tokens").alias("t"), F.sum(F.length("data")).alias("b")).first()
