@@ -49,7 +49,11 @@ NOISE_UNITS = [
 FILE_NOT_FOUND = r'open\(\)\s+"[^"]*"\s+failed\s+\(2:\s*No such file or directory\)'
 NOT_FOUND_REASON = "Deterministic: nginx file not found - failed probe"
 STATUS_REASON = ("Deterministic: HTTP ", " - failed probe, no exfiltration possible")
-_PAYLOAD_PREFIX = ("request", r'request:\s+"([^"]*)"')
+# A frame, or the head, of a stack trace, after a timestamp is dropped; all but the first kind after white space.
+STACK_TRACE = [
+    r"^[ \t](?:[ \t]+at |at [\s\S])",
+    rf"^[{t.BLANKS}]*(?:Traceback \(most recent call last\)|Caused by: (?=[\s\S]*[^{t.BLANKS}])|File \"[\s\S]*, line [\s\S]*[^{t.BLANKS}]|(?=goroutine )[\s\S]* \[|at (?=[\s\S]*\()[\s\S]*\.java:)",
+]
 
 
 def disclosure(line: Column) -> Column:
@@ -58,16 +62,7 @@ def disclosure(line: Column) -> Column:
 
 def operational_noise(line: Column) -> Column:
     """Whether a raw line is a frame or head of a stack trace."""
-
-    def body(x: Column) -> Column:
-        framed = x.rlike(r"^[ \t]+at ") & (F.octet_length(x) > 4)
-        return ~disclosure(line) & (framed | t.let(t.trim(x), heads))
-
-    def heads(y: Column) -> Column:
-        found = y.startswith("Traceback (most recent call last)") | (y.startswith('File "') & y.contains(", line ")) | (y.startswith("goroutine ") & y.contains(" ["))
-        return found | (y.startswith("at ") & y.contains("(") & y.contains(".java:")) | y.startswith("Caused by: ")
-
-    return t.let(drop_timestamp(line, 30), body)
+    return ~disclosure(line) & drop_timestamp(line, 30).rlike("|".join(STACK_TRACE))
 
 
 def failed_probe(normalized: Column) -> Column:
@@ -85,11 +80,13 @@ def decoded(request: Column) -> Column:
 
 def attack_marks(request: Column) -> Column:
     """Whether a request has a mark of an attack, encoded or not."""
-    return F.exists(decoded(request), lambda c: t.contains_any(F.upper(c), [a.upper() for a in ATTACK]))
+    once = t.url_decode(request)
+    marks = lambda c: t.has_any(F.upper(c), [a.upper() for a in ATTACK])
+    return marks(request) | (request.rlike("[%+]") & (marks(once) | marks(t.url_decode(once))))
 
 
 def sensitive_path(request: Column) -> Column:
-    return t.contains_any(F.lower(request), SENSITIVE)
+    return t.has_any(F.lower(request), SENSITIVE)
 
 
 def noise_unit(unit: Column, more: list[str] | None = None) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.functions import text as t
@@ -26,19 +26,57 @@ FAILED = ["400", "403", "404", "405", "410"]
 IPV4 = r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
 
 
+#: Where the parts of a shape stand among the words of its match (from 1); the first word of a quoted request has a quote before it.
+_WORDS = {
+    "hosted": {"host": 1, "method": 2, "path": 3, "status": 5},
+    "quoted": {"method": 1, "path": 2, "status": 4},
+    "bare": {"method": 1, "path": 2, "status": 4},
+    "morgan": {"method": 1, "path": 2, "status": 3},
+}
+
+
+def words(line: Column, shapes: list = NORMALIZED_SHAPES) -> Column:
+    """The words of the request by the first shape that the line has, after the shape's name; null where there is none.
+
+    No part of a request holds white space, so one search for each shape gives all parts.
+    """
+    found = []
+    for shape in shapes:
+        name = next(n for n, s in zip(_WORDS, NORMALIZED_SHAPES, strict=True) if s is shape)
+        match = F.get(F.regexp_extract_all(line, F.lit(t.java(shape[0])), F.lit(0)), F.lit(0))
+        found.append(F.when(line.contains("ms" if name == "morgan" else "HTTP/"), F.concat(F.lit(f"{name} "), match)))
+    return F.split(F.coalesce(*found), "[\\t\\n\\f\\r ]+")
+
+
+def part_of(words: Column, name: str) -> Column:
+    """One part of a request from its words; empty where there is none."""
+    kind, out = F.get(words, F.lit(0)), None
+    for shape, places in _WORDS.items():
+        if name in places:
+            value = F.get(words, F.lit(places[name]))
+            value = F.substring(value, 2, 2**31 - 1) if (shape, name) == ("quoted", "method") else value
+            out = F.when(kind == shape, value) if out is None else out.when(kind == shape, value)
+    return F.coalesce(out, F.lit(""))
+
+
 def part(line: Column, shapes: list, name: str) -> Column:
     """One part of the request by the first shape that the line has; empty where there is none."""
-    out = None
-    for pattern, groups in shapes:
-        value = t.extract(line, pattern, groups[name]) if name in groups else F.lit("")
-        out = F.when(t.matches(line, pattern), value) if out is None else out.when(t.matches(line, pattern), value)
-    return out.otherwise("")
+    return part_of(words(line, shapes), name)
+
+
+def _struct(found: Column) -> Column:
+    status = F.coalesce(part_of(found, "status").try_cast("int"), F.lit(0))
+    return F.struct(*[part_of(found, n).alias(n) for n in ("method", "path", "host")], status.alias("status"))
 
 
 def identity(line: Column, shapes: list = NORMALIZED_SHAPES) -> Column:
     """Method, path, host and status (0 where unknown) of a line as a struct."""
-    status = F.coalesce(F.nullif(part(line, shapes, "status"), F.lit("")).cast("int"), F.lit(0))
-    return F.struct(*[part(line, shapes, n).alias(n) for n in ("method", "path", "host")], status.alias("status"))
+    return _struct(words(line, shapes))
+
+
+def with_identity(df: DataFrame, line: str, into: str, shapes: list = NORMALIZED_SHAPES) -> DataFrame:
+    """``df`` with ``identity`` of the column ``line`` as the struct ``into``, its shape searched for once a row."""
+    return df.withColumn(f"_{into}", words(F.col(line), shapes)).withColumn(into, _struct(F.col(f"_{into}"))).drop(f"_{into}")
 
 
 def response_bytes(line: Column) -> Column:

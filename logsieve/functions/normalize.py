@@ -6,7 +6,7 @@ as stored patterns and hashes depend on them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.functions import text as t
@@ -89,24 +89,18 @@ def _byte(c: Column, i: int) -> Column:
     return F.substring(c, i, 1)
 
 
+def _without_header(line: Column) -> Column:
+    return F.when((F.octet_length(line) > 8) & F.substring(line, 1, 1).isin("\x01", "\x02"), F.substring(line, 9, 2**31 - 1)).otherwise(line)
+
+
 def strip_framing(line: Column) -> Column:
     """A line without the collector's stream header and timestamp."""
-    def body(x: Column) -> Column:
-        head = (F.octet_length(x) > 8) & F.substring(x, 1, 1).isin("\x01", "\x02")
-        return t.trim(drop_timestamp(F.when(head, F.substring(x, 9, 2**31 - 1)).otherwise(x), 20))
-
-    return t.let(t.trim(line), body)
+    return t.trim(drop_timestamp(_without_header(t.trim(line)), 20))
 
 
 def drop_timestamp(line: Column, longer: int) -> Column:
     """Without what precedes the first space, if the line begins like an ISO timestamp and that space is near."""
-
-    def body(x: Column) -> Column:
-        blank = F.instr(x, " ")
-        dated = (F.octet_length(x) > longer) & (_byte(x, 5) == "-") & (_byte(x, 8) == "-") & (_byte(x, 11) == "T") & blank.between(2, 40)
-        return F.when(dated, F.substring(x, blank + 1, F.lit(2**31 - 1))).otherwise(x)
-
-    return t.let(line, body)
+    return F.when(F.octet_length(line) > longer, F.regexp_replace(line, r"^(?=[\s\S]{4}-[\s\S]{2}-[\s\S]{2}T)[^ ]{1,39} ", "")).otherwise(line)
 
 
 def generic(line: Column) -> Column:
@@ -118,25 +112,27 @@ def nginx_error(line: Column) -> Column:
     return t.collapse(_steps(t.trim(line), NGINX_ERROR))
 
 
-def nginx_access(line: Column) -> Column:
-    """Host (a quoted field right before the request), request line and status; the collapsed line where no quoted field is a request."""
-    cut = t.trim(t.replace(t.replace(t.trim(line), NGINX_PREFIX, ""), _BRACKET_TIME, ""))
+def _quoted(line: Column) -> Column:
+    """An access line without address and time; what is left is the quoted fields and what stands between them."""
+    return t.trim(t.replace(t.replace(t.trim(line), NGINX_PREFIX, ""), _BRACKET_TIME, ""))
 
-    def body(x: Column, fields: Column, at: Column) -> Column:
-        request = F.get(fields, (at - 1).cast("int"))
-        host = F.when(at > 1, F.get(fields, (at - 2).cast("int")))
-        quoted = F.concat(F.lit('"'), request, F.lit('"'))
-        rest = t.trim(F.substring(x, F.instr(x, quoted) + F.length(quoted), F.lit(2**31 - 1)))
-        status = F.coalesce(F.nullif(t.extract(rest, STATUS, 1), F.lit("")), F.lit("000"))
-        return F.when(at > 0, F.concat_ws(" ", F.nullif(host, F.lit("")), request, status)).otherwise(t.collapse(x))
 
-    place = lambda fields: F.array_position(F.transform(fields, lambda f: t.matches(f, REQUEST)), True)
-    quoted_fields = lambda x: F.regexp_extract_all(x, F.lit('"([^"]*)"'), F.lit(1))
-    return t.let(cut, lambda x: t.let(quoted_fields(x), lambda fields: t.let(place(fields), lambda at: body(x, fields, at))))
+def _with_access(df: DataFrame, line: Column, into: str) -> DataFrame:
+    """``df`` with the access normaliser's result for ``line`` (null for null)."""
+    df = df.withColumn("_x", _quoted(line))
+    df = df.withColumn("_fields", F.regexp_extract_all("_x", F.lit('"([^"]*)"'), F.lit(1)))
+    df = df.withColumn("_at", F.array_position(F.transform("_fields", lambda f: t.matches(f, REQUEST)), True))
+    request, host = F.get("_fields", (F.col("_at") - 1).cast("int")), F.when(F.col("_at") > 1, F.get("_fields", (F.col("_at") - 2).cast("int")))
+    df = df.withColumns({"_request": request, "_host": F.nullif(host, F.lit(""))})
+    quoted = F.concat(F.lit('"'), "_request", F.lit('"'))
+    rest = t.trim(F.substring(F.col("_x"), F.instr("_x", quoted) + F.length("_request") + 2, F.lit(2**31 - 1)))
+    df = df.withColumn("_status", F.coalesce(F.get(F.regexp_extract_all(rest, F.lit(t.java(STATUS)), F.lit(1)), F.lit(0)), F.lit("000")))
+    return df.withColumn(into, F.when(F.col("_at") > 0, F.concat_ws(" ", "_host", "_request", "_status")).otherwise(t.collapse(F.col("_x")))).drop("_x", "_fields", "_at", "_request", "_host", "_status")
 
 
-def nginx(line: Column) -> Column:
-    return t.let(t.trim(line), lambda x: F.when((F.octet_length(x) > 4) & (_byte(x, 5) == "/"), nginx_error(x)).otherwise(nginx_access(x)))
+def with_nginx_access(df: DataFrame, line: str, into: str = "normalized") -> DataFrame:
+    """``df`` with ``into``: host (a quoted field right before the request), request line and status of an access line; the collapsed line where no quoted field is a request."""
+    return _with_access(df, F.col(line), into)
 
 
 def sshd(line: Column) -> Column:
@@ -145,23 +141,16 @@ def sshd(line: Column) -> Column:
 
 def syslog(line: Column) -> Column:
     """The first kind of prefix that the line has goes, the rest is generic."""
-    cut = lambda x: F.coalesce(*[F.when(t.matches(x, p), t.replace(x, p, "")) for p in SYSLOG_PREFIXES], x)
-    return generic(t.let(t.trim(line), cut))
+    return generic(F.regexp_replace(t.trim(line), "|".join(f"(?:{t.java(p)})" for p in SYSLOG_PREFIXES), ""))
 
 
 def postgres(line: Column) -> Column:
-    def without_session(level: str):
-        def body(x: Column) -> Column:
-            at = F.instr(x, level)
-            before = F.substring(x, F.lit(1), at - 1)
-            drop = (at > 1) & (F.octet_length(before) < 50) & before.contains("@")
-            return F.when(drop, F.substring(x, at + 1, F.lit(2**31 - 1))).otherwise(x)
-
-        return body
-
+    """Without time, process and session; durations, numbers and strings replaced."""
     x = _steps(t.trim(line), POSTGRES_HEAD)
     for level in POSTGRES_LEVELS:
-        x = t.let(x, without_session(level))
+        # what precedes the first level and its space goes, if it is short and names a user and database
+        other = rf"(?!{level})"
+        x = F.regexp_replace(x, rf"^(?=(?:{other}[\s\S]){{1,49}}{level})(?:{other}[^@])*@(?:{other}[\s\S])* (?={level.strip()})", "")
     return t.collapse(_steps(x, POSTGRES_BODY))
 
 
@@ -174,11 +163,18 @@ def family(source_type: Column, source_name: Column) -> Column:
     return out.when(source_type.isin(FAMILIES), source_type).otherwise("generic")
 
 
-def normalize(source_type: Column, source_name: Column, line: Column) -> Column:
-    """The line as its source's normaliser makes it, without collector framing."""
-    f = family(source_type, source_name)
-    by = lambda x: F.when(f == "nginx", nginx(x)).when(f == "sshd", sshd(x)).when(f == "syslog", syslog(x)).when(f == "postgres", postgres(x)).otherwise(generic(x))
-    return t.let(strip_framing(line), by)
+def with_normalized(df: DataFrame, into: str = "normalized", source_type: str = "source_type", source_name: str = "source_name", line: str = "line") -> DataFrame:
+    """``df`` with ``into``: the line as its source's normaliser makes it, without collector framing.
+
+    Each step is a column of its own, so that nothing is computed twice and only the steps of a line's family run.
+    """
+    f, x = F.col("_family"), F.col("_framed")
+    df = df.withColumns({"_family": family(F.col(source_type), F.col(source_name)), "_framed": strip_framing(F.col(line))})
+    error = (F.octet_length(x) > 4) & (_byte(x, 5) == "/")
+    df = df.withColumn("_access", F.when((f == "nginx") & ~error, x))
+    df = _with_access(df, F.col("_access"), "_access")
+    by = F.when(F.col("_access").isNotNull(), F.col("_access")).when(f == "nginx", nginx_error(x)).when(f == "sshd", sshd(x)).when(f == "syslog", syslog(x)).when(f == "postgres", postgres(x))
+    return df.withColumn(into, by.otherwise(generic(x))).drop("_family", "_framed", "_access")
 
 
 def line_hash(normalized: Column) -> Column:

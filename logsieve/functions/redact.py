@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import decimal
 import json
+import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
@@ -116,19 +118,151 @@ def _redacted(value, key: str, depth: int, found: list[int]):
     return value if mark is None else mark
 
 
+def _number(x: float) -> str:
+    """A number as JSON writers of double precision print it: plainly between 1e-6 and 1e21, else with an exponent of at least one digit."""
+    if x == 0 or 1e-6 <= abs(x) < 1e21:
+        return format(decimal.Decimal(repr(x)), "f").removesuffix(".0")
+    mantissa, exponent = repr(x).split("e")
+    return f"{mantissa.removesuffix('.0')}e{'-' if exponent.startswith('-') else '+'}{exponent.lstrip('+-0')}"
+
+
+#: Characters that are written as escapes inside strings, beside quotes, backslashes and control characters.
+_ESCAPED = {"<": "\\u003c", ">": "\\u003e", "&": "\\u0026", "\u2028": "\\u2028", "\u2029": "\\u2029"}
+
+
+def _string(x: str) -> str:
+    return "".join(_ESCAPED.get(c, c) for c in json.dumps(x, ensure_ascii=False))
+
+
+def _indented(value, pad: str = "") -> str:
+    """A value in indented form, keys in the order of their bytes."""
+    inner = pad + "  "
+    if isinstance(value, dict) and value:
+        rows = [f"{inner}{_string(k)}: {_indented(value[k], inner)}" for k in sorted(value, key=str.encode)]
+        return "{\n" + ",\n".join(rows) + f"\n{pad}}}"
+    if isinstance(value, list) and value:
+        return "[\n" + ",\n".join(inner + _indented(v, inner) for v in value) + f"\n{pad}]"
+    if isinstance(value, str):
+        return _string(value)
+    if isinstance(value, bool) or value is None or value in ({}, []):
+        return json.dumps(value)
+    return _number(value)
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def _json(body: str) -> tuple[str, int]:
+    """Preview and redactions of a JSON body; an empty preview where it does not parse."""
+    found = [0]
+    try:
+        value = json.loads(body, parse_int=float, parse_constant=_no_constant)
+        out = _indented(_redacted(value, "", 0, found))
+    except (TypeError, ValueError, RecursionError, OverflowError):
+        return "", 0
+    return _capped(out, "\n...[TRUNCATED]"), found[0]
+
+
+def _capped(text: str, mark: str) -> str:
+    raw = text.encode()
+    return text if len(raw) <= PREVIEW else raw[:PREVIEW].decode(errors="ignore") + mark
+
+
+# Attributes of tags whose values go whatever they are named, and parts of names of attributes whose values go in any tag.
+TAG_ATTRIBUTES = {
+    "input": "value", "textarea": "value", "meta": "content", "form": "action", "a": "href", "link": "href", "area": "href", "base": "href",
+    "img": "src", "iframe": "src", "source": "src", "embed": "src", "track": "src", "audio": "src", "video": "src", "button": "formaction",
+}
+SECRET_ATTRIBUTES = ["token", "secret", "key", "auth", "password", "passwd", "credential", "session", "bearer", "csrf", "apikey"]
+_BLANK = " \\t\\n\\r\\f"
+#: A stretch of HTML: text, a script or style with its body, or a tag; the last may be unfinished.
+_STRETCH = re.compile(r"[^<]+|<(?P<kind>script|style)[^>]*>(?:.*?</(?P=kind)>|.*)|<[^>]*>|<.*", re.I | re.S)
+_TAG_NAME = re.compile(rf"<[^{_BLANK}>/]*")
+#: An attribute: what precedes its value, then a quoted value, one whose quote never closes, or a bare one.
+_ATTRIBUTE = re.compile(rf"""(?P<head>[{_BLANK}]*(?P<name>[^={_BLANK}>/]*)[{_BLANK}]*)(?:(?P<equals>=[{_BLANK}]*)(?:(?P<closed>"[^"]*"|'[^']*')|(?P<open>["'].*)|(?P<bare>[^>{_BLANK}]*)))?""", re.S)
+
+
+def _tag(tag: str) -> tuple[str, int]:
+    """A tag with the values of its secret attributes gone; from a slash outside of values on, it is left as it is."""
+    if tag[1:2] in ("/", "!", ""):
+        return tag, 0
+    head = _TAG_NAME.match(tag)[0]
+    named = TAG_ATTRIBUTES.get(head[1:].lower())
+    out, at, gone = [head], len(head), 0
+    while at < len(tag):
+        m = _ATTRIBUTE.match(tag, at)
+        rest = tag[at:].lstrip(" \t\n\r\f")
+        if not rest or rest[0] in ">/":
+            break
+        name = m["name"].lower()
+        secret = m["equals"] is not None and m.end("equals") < len(tag) and (name == named or any(s in name for s in SECRET_ATTRIBUTES))
+        value = (m["closed"] or m["open"] or m["bare"] or "") if m["equals"] is not None else ""
+        out += [m["head"], m["equals"] or "", '"[REDACTED]"' if secret else value]
+        gone += secret
+        at = len(tag) if m["open"] is not None else m.end()
+        if m["open"] is not None:
+            return "".join(out), gone
+    return "".join(out) + tag[at:], gone
+
+
+def _html(body: str) -> tuple[str, int]:
+    """Preview and redactions of HTML: bodies of scripts and styles and values of secret attributes go."""
+    out, gone = [], 0
+    for m in _STRETCH.finditer(body):
+        piece = m[0]
+        if m["kind"]:
+            kind = m["kind"].lower()
+            out.append(f"<{kind}>[STRIPPED]</{kind}>")
+        elif piece.startswith("<") and piece.endswith(">"):
+            piece, n = _tag(piece)
+            out.append(piece)
+            gone += n
+        else:
+            out.append(piece)
+    return _capped("".join(out), "...[TRUNCATED]"), gone
+
+
 @F.pandas_udf(_REDACTED)
 def redact_json(bodies: pd.Series) -> pd.DataFrame:
     """preview (indented, keys in order) and redactions of a JSON body; an empty preview where it does not parse."""
-    rows = []
-    for body in bodies:
-        found = [0]
-        try:
-            out = json.dumps(_redacted(json.loads(body), "", 0, found), indent=2, sort_keys=True, ensure_ascii=False)
-        except (TypeError, ValueError, RecursionError):
-            out, found = "", [0]
-        raw = out.encode()
-        rows.append((out if len(raw) <= PREVIEW else raw[:PREVIEW].decode(errors="ignore") + "...[TRUNCATED]", found[0]))
-    return pd.DataFrame(rows, columns=["preview", "redactions"])
+    return pd.DataFrame([_json(b) for b in bodies], columns=["preview", "redactions"])
+
+
+@F.pandas_udf(_REDACTED)
+def redact_html(bodies: pd.Series) -> pd.DataFrame:
+    """preview and redactions of an HTML body; scripts and styles do not count."""
+    return pd.DataFrame([_html(b or "") for b in bodies], columns=["preview", "redactions"])
+
+
+# What a body of each format discloses, by its format alone.
+SUMMARIES = {
+    "dotenv": "DOTENV/CONFIG STRUCTURE DETECTED", "passwd": "PASSWD FILE STRUCTURE DETECTED", "json": "JSON STRUCTURE DETECTED", "html": "HTML CONTENT DETECTED",
+    "binary": "BINARY CONTENT DETECTED — METADATA ONLY", "unknown": "UNKNOWN FORMAT — METADATA ONLY",
+}
+NO_BODY = "NO RESPONSE BODY CAPTURED"
+
+
+def with_disclosure(df: DataFrame, body: str, content_type: str, into: str = "disclosure") -> DataFrame:
+    """``df`` with ``into``: format, confidence, redactions, summary and preview of a captured body.
+
+    Fails closed: a body of unknown or binary format, or none, has no preview and no confidence.
+    """
+    df = df.withColumn("_found", detect_format(F.col(body), F.col(content_type)))
+    kind = F.col("_found.format")
+    none = F.coalesce(F.col(body), F.lit("")) == ""
+    only = lambda f: F.when(~none & (kind == f), F.col(body))
+    # each redactor sees the bodies of its format alone; the others are null to it
+    df = df.withColumns({"_json": redact_json(only("json")), "_html": redact_html(only("html"))})
+    said = F.when(kind == "dotenv", redact_dotenv(F.col(body))).when(kind == "passwd", redact_passwd(F.col(body))).when(kind == "json", F.col("_json")).when(kind == "html", F.col("_html"))
+    df = df.withColumn("_said", F.when(~none, said))
+    shown = F.col("_said").isNotNull()
+    summary = F.when(none, NO_BODY).otherwise(F.coalesce(*[F.when(kind == k, v) for k, v in SUMMARIES.items()]))
+    out = F.struct(
+        F.when(none, "unknown").otherwise(kind).alias("format"), F.when(shown, F.col("_found.confidence")).otherwise("none").alias("confidence"),
+        F.coalesce("_said.redactions", F.lit(0)).alias("redactions"), summary.alias("summary"), F.coalesce("_said.preview", F.lit("")).alias("preview"),
+    )
+    return df.withColumn(into, out).drop("_found", "_json", "_html", "_said")
 
 
 def without_scripts(html: Column) -> Column:

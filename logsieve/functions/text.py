@@ -6,6 +6,8 @@ boundaries, the dot, the dollar sign and case folding differ; DuckDB runs the RE
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from pyspark.sql import functions as F
 BLANKS = "\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 _WORD = "[0-9A-Za-z_]"
 _EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+#: What surely begins, or ends, with a letter of a word: a boundary next to it is one look to the other side.
+_WORD_FOLLOWS = re.compile(r"(?:\(\?:)*(?:\\d|\[0-9a-fA-F\]|[0-9A-Za-z])(?![?*]|\{0)")
+_WORD_PRECEDES = re.compile(r"(?:\\d|(?<!\\)[0-9A-Za-z])(?:\+|\{[1-9][0-9,]*\})?(?:\(\?:\\\.\\d\+\)\?|\)*)\Z")
 
 
 def java(pattern: str) -> str:
@@ -28,7 +33,8 @@ def java(pattern: str) -> str:
             elif two == "\\S":
                 out.append(f"[^{space}]")
             elif two == "\\b" and not inside:
-                out.append(_EDGE)
+                follows, precedes = _WORD_FOLLOWS.match(pattern, i + 2), _WORD_PRECEDES.search(pattern[:i])
+                out.append(f"(?<!{_WORD})" if follows else f"(?!{_WORD})" if precedes else _EDGE)
             else:
                 out.append(two)
             i += 2
@@ -51,11 +57,6 @@ def java(pattern: str) -> str:
     return "".join(out)
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a column that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def replace(c: Column, pattern: str, by: str) -> Column:
     """Every match of an RE2 pattern replaced; groups in ``by`` are written $1."""
     return F.regexp_replace(c, java(pattern), by)
@@ -88,6 +89,11 @@ def contains_any(c: Column, parts: list[str]) -> Column:
     return found
 
 
+def has_any(c: Column, parts: list[str]) -> Column:
+    """Like ``contains_any``, for an expression that is to be computed once."""
+    return c.rlike("|".join(re.sub(r"([^0-9A-Za-z _/<>:%])", r"\\\1", p) for p in parts))
+
+
 def url_decode(c: Column) -> Column:
     """Percent escapes decoded, plus signs made spaces, malformed escapes left as they are."""
     return F.url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
@@ -101,8 +107,39 @@ def truncate(c: Column, most: int) -> Column:
 
 
 def mask_phone(c: Column) -> Column:
-    """All but the first three and last two characters of a number hidden."""
-    return F.when(F.length(c) <= 5, F.lit("***")).otherwise(F.concat(F.substring(c, 1, 3), F.lit("***"), F.substring(c, -2, 2)))
+    """The last four characters of a number hidden; one of at most four stays."""
+    return F.when(F.length(c) <= 4, c).otherwise(F.concat(F.substring(c, F.lit(1), F.length(c) - 4), F.lit("****")))
+
+
+def short_url(c: Column) -> Column:
+    """At most 50 bytes of an address."""
+    return F.when(F.octet_length(c) <= 50, c).otherwise(F.concat(F.substring(c, 1, 47), F.lit("...")))
+
+
+def log_unescape(c: Column) -> Column:
+    r"""A path out of an access log with its \xHH escapes decoded in one pass, so that what one of them gives is not read again."""
+    pieces = F.regexp_extract_all(c, F.lit(r"\\x[0-9A-Fa-f]{2}|[^\\]+|\\"), F.lit(0))
+    one = lambda x: F.when(x.rlike(r"^\\x[0-9A-Fa-f]{2}\z"), F.upper(F.substring(x, 3, 2))).otherwise(F.hex(x))
+    return F.when(c.contains("\\x"), F.unhex(F.array_join(F.transform(pieces, one), "")).cast("string")).otherwise(c)
+
+
+def html_escape(c: Column) -> Column:
+    """With the five characters that mean something in HTML as references."""
+    for char, by in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("'", "&#39;")):
+        c = F.replace(c, F.lit(char), F.lit(by))
+    return c
+
+
+def header_map(c: Column) -> Column:
+    """``Key=Value,Key=Value`` as a map; parts without an equals sign go, and of one key the last counts."""
+    parts = F.transform(F.filter(F.split(c, ","), lambda x: x.contains("=")), lambda x: F.struct(trim(F.substring_index(x, "=", 1)).alias("k"), trim(F.substring(x, F.instr(x, "=") + 1, F.lit(2**31 - 1))).alias("v")))
+    last = F.filter(parts, lambda x, i: ~F.exists(F.slice(parts, i + 2, F.greatest(F.size(parts) - i - 1, F.lit(0))), lambda y: y["k"] == x["k"]))
+    return F.map_from_entries(last)
+
+
+def csv_set(c: Column) -> Column:
+    """Names of a comma-separated list in lower case, trimmed, each once, without empty ones."""
+    return F.array_distinct(F.filter(F.transform(F.split(c, ","), lambda x: F.lower(trim(x))), lambda x: x != ""))
 
 
 # ---- the same in DuckDB SQL, for oracles ----

@@ -11,6 +11,7 @@ from logsieve.functions import filters, http
 from logsieve.functions import normalize as n
 from logsieve.operators import patterns as p
 from logsieve.operators import policy
+from logsieve.sources.tables import cut
 
 NOISE_REASON = "Deterministic: application stack trace or framework noise"
 #: What a classifier adds to (scope, hash, disclosure, normalized, line): an action of allow, suppress, alert or malicious.
@@ -20,7 +21,7 @@ Classifier = Callable[[DataFrame], DataFrame]
 
 def prepared(events: DataFrame) -> DataFrame:
     """``events`` (source_type, source_name, line, ...) with scope, normalized, hash and disclosure."""
-    out = events.withColumns({"scope": F.concat_ws(":", "source_type", "source_name"), "normalized": n.normalize(F.col("source_type"), F.col("source_name"), F.col("line"))})
+    out = n.with_normalized(events.withColumn("scope", F.concat_ws(":", "source_type", "source_name")))
     return out.withColumns({"hash": n.line_hash(F.col("normalized")), "disclosure": filters.disclosure(F.col("line")) | filters.disclosure(F.col("normalized"))})
 
 
@@ -28,27 +29,30 @@ def deterministic(events: DataFrame, known: DataFrame, trusted: DataFrame | None
     """``events`` with verdict, tier, reason and via of the first that speaks: policy, noise, failed probe, pattern; verdict unknown where none does.
 
     A line that discloses secrets is never suppressed or allowed: neither as noise or probe nor by a pattern.
+    Each step is a column that is computed once, and only for lines that no step before it has decided.
     """
     out = policy.evaluate(prepared(events), trusted).withColumnRenamed("reason", "_policy_reason")
-    out = p.match(out, known)
     ruled = F.col("rule").isNotNull()
-    probe = F.when(~F.col("disclosure"), filters.failed_probe(F.col("normalized")))
-    noise = ~F.col("disclosure") & filters.operational_noise(F.col("line"))
+    quiet = ~ruled & ~F.col("disclosure")
+    out = out.withColumn("_noise", F.when(quiet & filters.operational_noise(F.col("line")), NOISE_REASON))
+    out = out.withColumn("_noise", F.coalesce("_noise", F.when(quiet, filters.failed_probe(F.col("normalized")))))
+    noise = F.col("_noise").isNotNull()
+    out = p.match(out, known, ~ruled & ~noise)
     hit = F.col("match").isNotNull() & ~(F.col("disclosure") & F.col("match.bucket").isin("allow", "suppress"))
-    step = F.when(ruled, "policy").when(noise, "noise_filter").when(probe.isNotNull(), "noise_filter").when(hit, F.col("match.source")).otherwise("unknown")
     by_rule = F.when(F.col("action") == "escalate", "malicious").otherwise(F.col("action"))
     return out.withColumns({
-        "via": step,
-        "verdict": F.when(ruled, by_rule).when(noise | probe.isNotNull(), "suppress").when(hit, F.col("match.bucket")).otherwise("unknown"),
-        "tier": F.when(~ruled & ~noise & probe.isNull() & hit, F.col("match.tier")),
-        "reason": F.when(ruled, F.col("_policy_reason")).when(noise, NOISE_REASON).when(probe.isNotNull(), probe).when(hit, F.col("match.reason")),
-    }).drop("_policy_reason", "match")
+        "via": F.when(ruled, "policy").when(noise, "noise_filter").when(hit, F.col("match.source")).otherwise("unknown"),
+        "verdict": F.when(ruled, by_rule).when(noise, "suppress").when(hit, F.col("match.bucket")).otherwise("unknown"),
+        "tier": F.when(hit, F.col("match.tier")),
+        "reason": F.when(ruled, F.col("_policy_reason")).when(noise, F.col("_noise")).when(hit, F.col("match.reason")),
+    }).drop("_policy_reason", "_noise", "match")
 
 
 def by_rules(groups: DataFrame) -> DataFrame:
     """A deterministic stand-in for a model: disclosures are malicious, requests with attack marks suspicious, all else safe."""
-    path = http.identity(F.col("normalized"))["path"]
-    marked = (path != "") & filters.attack_marks(path)
+    groups = groups.withColumn("_path", http.identity(F.col("normalized"))["path"])
+    groups = groups.withColumn("_marked", (F.col("_path") != "") & filters.attack_marks(F.col("_path")))
+    marked = F.col("_marked")
     return groups.withColumns({
         "classification": F.when(F.col("disclosure"), "malicious").when(marked, "suspicious").otherwise("safe"),
         "action": F.when(F.col("disclosure"), "malicious").when(marked, "alert").otherwise("allow"),
@@ -61,32 +65,49 @@ def with_classifier(decided: DataFrame, classifier: Classifier = by_rules) -> Da
     """``decided`` with its unknown rows classified, one call for each (scope, hash, disclosure).
 
     A group's line is that of its smallest event_id, its leader. A malicious verdict on a line with an HTTP
-    request becomes an alert, as only its response shows whether it had an effect.
+    request becomes an alert, as only its response shows whether it had an effect. Verdicts are cut first, so
+    that they are computed once; only unknown rows are joined to the answers, which are broadcast if they are
+    few, so that a line that recurs a million times stays spread.
     """
     key = ["scope", "hash", "disclosure"]
+    decided = cut(decided, "decided")
     unknown = decided.where("verdict = 'unknown'")
     groups = unknown.groupBy(*key).agg(F.min_by(F.struct("normalized", "line"), "event_id").alias("l"), F.min("event_id").alias("leader"))
     answers = classifier(groups.select(*key, "l.normalized", "l.line", "leader")).select(*key, "leader", *[F.col(c).alias(f"_{c}") for c in CLASSIFIED])
-    out = decided.withColumn("_open", F.col("verdict") == "unknown").join(answers.withColumn("_open", F.lit(True)), ["_open", *key], "left")
-    got = F.col("_open") & F.col("_action").isNotNull()
-    request = (http.identity(F.col("normalized"))["method"] != "") | (http.identity(F.col("line"), http.RAW_SHAPES)["method"] != "")
+    out = unknown.join(p.small(cut(answers, "answers")), key, "left")
+    got = F.col("_action").isNotNull()
+    out = http.with_identity(http.with_identity(out, "normalized", "_norm"), "line", "_raw", http.RAW_SHAPES)
+    request = (F.col("_norm.method") != "") | (F.col("_raw.method") != "")
     applied = F.when((F.col("_action") == "malicious") & request, "alert").otherwise(F.col("_action"))
-    return out.withColumns({
+    new = {
         "verdict": F.when(got, applied).otherwise(F.col("verdict")), "via": F.when(got, "llm").otherwise(F.col("via")), "reason": F.when(got, F.col("_reason")).otherwise(F.col("reason")),
         "classification": F.when(got, F.col("_classification")), "confidence": F.when(got, F.col("_confidence")), "leads": got & (F.col("leader") == F.col("event_id")),
-    }).drop("_open", "leader", *[f"_{c}" for c in CLASSIFIED])
+    }
+    columns = [*decided.columns, "classification", "confidence", "leads"]
+    known = decided.where("verdict <> 'unknown'").withColumns({"classification": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double"), "leads": F.lit(False)})
+    return known.select(*columns).unionByName(out.select(*[new.get(c, F.col(c)).alias(c) for c in columns]))
 
 
 def learned(classified: DataFrame) -> DataFrame:
     """New patterns from a classifier's verdicts (one row for each group's leader): the line's hash in the verdict's bucket, from a confidence of 0.7.
 
-    Lines that disclose secrets or have attack marks are never learned as allowed or suppressed.
+    Lines that disclose secrets or have attack marks are never learned as allowed or suppressed. From a
+    confidence of 0.85, an allowed or suppressed line also teaches the wider pattern that the classifier names
+    (columns pattern_type and pattern, if there are any), unless it has a fault.
     """
     path = http.identity(F.col("normalized"))["path"]
     quiet = F.col("verdict").isin("allow", "suppress")
-    risky = F.col("disclosure") | ((path != "") & filters.attack_marks(path))
-    rows = classified.where(F.col("leads") & (F.col("confidence") >= 0.7) & ~(quiet & risky))
-    return rows.select("scope", F.col("verdict").alias("bucket"), F.lit("hash").alias("tier"), F.col("hash").alias("value"), F.lit("llm").alias("source"), "reason", F.lit(False).alias("revoked"), F.col("event_id").cast("long").alias("ord"))
+    rows = classified.where(F.col("leads") & (F.col("confidence") >= 0.7)).withColumn("_path", path)
+    risky = F.col("disclosure") | ((F.col("_path") != "") & filters.attack_marks(F.col("_path")))
+    rows = rows.where(~(quiet & risky))
+    common = ["scope", F.col("verdict").alias("bucket")]
+    rest = [F.lit("llm").alias("source"), "reason", F.lit(False).alias("revoked"), F.col("event_id").cast("long").alias("ord")]
+    out = rows.select(*common, F.lit("hash").alias("tier"), F.col("hash").alias("value"), *rest)
+    if "pattern" not in classified.columns:
+        return out
+    wide = rows.where(quiet & (F.col("confidence") >= 0.85) & F.col("pattern_type").isin("prefix", "regex", "contains") & (F.coalesce("pattern", F.lit("")) != ""))
+    wide = p.faults(wide.select(*common, F.col("pattern_type").alias("tier"), F.col("pattern").alias("value"), *rest, F.col("normalized").alias("original_line"))).where("fault IS NULL")
+    return out.unionByName(wide.select(*out.columns))
 
 
 def routed(classified: DataFrame) -> DataFrame:
@@ -94,11 +115,16 @@ def routed(classified: DataFrame) -> DataFrame:
 
     none: allowed, suppressed or unknown; policy: a finding by policy; recon_status: the server turned the request
     away; edge_inferred: a bare address that answered 200; coordinator: wait for the response; finding: at once.
+    ``http_path`` is the request's own path where the raw line shows it, ``key_path`` the normalised one, by which
+    the events of one request are joined; method and status are the raw line's where it has them.
     """
-    raw, norm = http.identity(F.col("line"), http.RAW_SHAPES), http.identity(F.col("normalized"))
-    first: Callable[[str], Column] = lambda c: F.coalesce(F.nullif(norm[c], F.lit("")), raw[c])
-    status = F.when(norm["status"] > 0, norm["status"]).otherwise(raw["status"])
-    out = classified.withColumns({"http_method": first("method"), "http_path": first("path"), "http_host": norm["host"], "http_status": status})
+    out = http.with_identity(http.with_identity(classified, "line", "_raw", http.RAW_SHAPES), "normalized", "_norm")
+    raw, norm = F.col("_raw"), F.col("_norm")
+    first: Callable[[str], Column] = lambda c: F.when(raw["method"] != "", raw[c]).otherwise(norm[c])
+    out = out.withColumns({
+        "http_method": first("method"), "http_path": first("path"), "http_status": first("status"), "http_host": norm["host"],
+        "key_path": F.when(norm["path"] != "", norm["path"]).otherwise(raw["path"]),
+    }).drop("_raw", "_norm")
     is_http = F.col("http_method") != ""
     route = (
         F.when(~F.col("verdict").isin("alert", "malicious"), "none").when(F.col("via") == "policy", "policy")

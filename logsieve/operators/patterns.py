@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from logsieve.functions import text as t
 
 #: Verdict buckets and match tiers in the order in which they are tried.
 BUCKETS = ["malicious", "alert", "allow", "suppress"]
 TIERS = ["hash", "prefix", "regex", "contains"]
 GLOBAL = "__global__"
 SCHEMA = "scope string, bucket string, tier string, value string, source string, reason string, revoked boolean, ord long"
-#: Most patterns of a bucket and scope, by tier; those of human sources are not counted.
+#: Most patterns of a bucket and scope, by tier; those of EXEMPT sources are taken beyond them.
+EXEMPT = ["human", "human_validated", "seeded"]
 CAPS = {"hash": 100_000, "prefix": 1000, "regex": 1000, "contains": 500}
 #: Dimensions are broadcast up to this many rows; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
@@ -49,8 +56,8 @@ def _rank(names: list[str], c: str) -> Column:
     return F.array_position(F.array(*map(F.lit, names)), F.col(c))
 
 
-def match(events: DataFrame, known: DataFrame) -> DataFrame:
-    """``events`` (scope, hash, normalized, ...) with ``match``: bucket, tier, value, source and reason of the first live pattern, null where none matches.
+def match(events: DataFrame, known: DataFrame, when: Column | None = None) -> DataFrame:
+    """``events`` (scope, hash, normalized, ...) with ``match``: bucket, tier, value, source and reason of the first live pattern, null where none matches; with ``when``, only rows for which it holds are looked up.
 
     Order: bucket, then the event's own scope before the global one, then tier, then ord. The hash tier is an
     equi-join. The other tiers are bounded by CAPS, so each scope's patterns travel as one sorted array joined by
@@ -76,22 +83,101 @@ def match(events: DataFrame, known: DataFrame) -> DataFrame:
         return F.get(F.filter(ps, hit), F.lit(0))
 
     best = F.least("_h", "_g", first("_hs"), first("_gs"))
-    found = F.when(best.isNotNull(), F.struct(*[best[c].alias(c) for c in ("bucket", "tier", "value", "source", "reason")]))
-    return out.withColumn("match", found).drop("_h", "_g", "_hs", "_gs", "_global")
+    out = out.withColumn("_best", best if when is None else F.when(when, best))
+    found = F.when(F.col("_best").isNotNull(), F.struct(*[F.col(f"_best.{c}").alias(c) for c in ("bucket", "tier", "value", "source", "reason")]))
+    return out.withColumn("match", found).drop("_h", "_g", "_hs", "_gs", "_global", "_best")
 
 
 def learn(known: DataFrame, new: DataFrame) -> DataFrame:
-    """``known`` and those rows of ``new`` (same columns) that repeat no live value of their scope, bucket and tier and fit under CAPS; rows of source ``human`` always fit."""
+    """``known`` and those rows of ``new`` (same columns) that repeat no live value of their scope, bucket and tier and fit under CAPS; rows of EXEMPT sources always fit.
+
+    A bucket is as full as it has rows, of whatever source, revoked ones too.
+    """
     key = ["scope", "bucket", "tier", "value"]
     live = known.where(~F.coalesce("revoked", F.lit(False)))
-    fresh = new.groupBy(*key).agg(F.min_by(F.struct("source", "reason", "revoked", "ord"), "ord").alias("r")).select(*key, "r.*").join(live.select(*key), key, "left_anti")
-    held = live.where("source <> 'human'").groupBy(*key[:3]).agg(F.count("*").alias("_held"))
+    fresh = new.groupBy(*key).agg(F.min_by(F.struct("source", "reason", "revoked", "ord"), "ord").alias("r")).select(*key, "r.*").join(live.select(*key).distinct(), key, "left_anti")
+    held = known.groupBy(*key[:3]).agg(F.count("*").alias("_held"))
     cap = F.coalesce(*[F.when(F.col("tier") == t, n) for t, n in CAPS.items()])
-    from pyspark.sql import Window
+    # new rows take their places in order, those of exempt sources too
+    order = Window.partitionBy(*key[:3]).orderBy("ord", "value")
+    placed = fresh.withColumn("_n", F.row_number().over(order)).join(held, key[:3], "left")
+    fits = F.col("source").isin(EXEMPT) | (F.col("_n") + F.coalesce("_held", F.lit(0)) <= cap)
+    return known.unionByName(placed.where(fits).select(*known.columns))
+
+
+# Prefixes that say nothing once placeholders and spaces are gone; case does not count.
+GENERIC_PREFIXES = [
+    "ERROR", "WARN", "WARNING", "INFO", "DEBUG", "TRACE", "NOTICE", "FATAL",
+    "GET /", "POST /", "PUT /", "DELETE /", "HEAD /", "PATCH /", "OPTIONS /", "panic:",
+]
+# Regular expressions that match everything.
+BROAD = [".*", ".+", "^.*$"]
+#: What a regular expression may not hold, as the engines that run it differ on it.
+_APART = re.compile(r"\(\?(?![:i])|[*+?}]\+|\[\[|&&|\\[zZGAQEpPkKRXhHvVuUxN0-9]")
+
+
+@F.pandas_udf(StringType())
+def _regex_fault(values: pd.Series, lines: pd.Series) -> pd.Series:
+    """Why a regular expression cannot be taken; null where it can."""
+
+    def fault(value, line):
+        if value is None:
+            return None
+        try:
+            found = re.compile(value)
+        except (re.error, RecursionError, OverflowError):
+            return "regex does not compile"
+        if _APART.search(value):
+            return "regex uses syntax that engines read differently"
+        return None if not line or found.search(line) else "regex does not match the original line it was generated from"
+
+    return pd.Series([fault(v, x) for v, x in zip(values, lines, strict=True)], dtype=object)
+
+
+def faults(new: DataFrame) -> DataFrame:
+    """``new`` (tier, value, source, original_line) with ``fault``: why a pattern cannot be learned; null where it can.
+
+    Sources of people are trusted more than a model: they may give shorter prefixes, and parts of lines at all.
+    """
+    human, size, line = F.col("source").isin(EXEMPT), F.octet_length("value"), F.coalesce("original_line", F.lit(""))
+    out = new.withColumn("_regex", _regex_fault(F.when(F.col("tier") == "regex", F.col("value")), line))
+    bare = F.lower(F.regexp_replace(F.regexp_replace("value", "<[^>]*>", ""), f"[{t.BLANKS}]+", ""))
+    generic = bare.isin(sorted({g.lower().replace(" ", "") for g in GENERIC_PREFIXES}))
+    short = F.when(human, 5).otherwise(20)
+    value = F.col("value")
+    prefix = (
+        F.when(size < short, F.format_string("prefix too short (%d chars), minimum %d", size, short)).when(~human & (line != "") & ~F.startswith(line, value), "auto-learned prefix does not literally prefix the original line")
+        .when(~human & generic, "auto-learned prefix is structurally just a generic token")
+    )
+    regex = (
+        F.when(F.col("_regex").isNotNull(), F.col("_regex")).when(value.isin(BROAD), "regex is too broad").when(~human & ~value.startswith("^"), "auto-learned regex must be anchored with ^")
+        .when(~human & value.startswith("^.*"), "auto-learned regex begins with ^.*").when(~human & (size < 10), "auto-learned regex too short")
+    )
+    contains = F.when(~human, "auto-learned contains patterns are forbidden").when(size < 10, "contains pattern too short")
+    by_tier = F.when(F.col("tier") == "hash", F.when(size != 64, "hash must be 64 hex characters")).when(F.col("tier") == "prefix", prefix).when(F.col("tier") == "regex", regex).when(F.col("tier") == "contains", contains).otherwise("unknown pattern type")
+    return out.withColumn("fault", by_tier).drop("_regex")
+
+
+def revoke(known: DataFrame, gone: DataFrame) -> DataFrame:
+    """``known`` with the patterns of ``gone`` (scope, bucket, value) revoked; they stay in the table."""
+    return _marked(known, gone, {"revoked": F.lit(True)})
+
+
+def delete(known: DataFrame, gone: DataFrame) -> DataFrame:
+    """``known`` without the patterns of ``gone`` (scope, bucket, value)."""
+    return known.join(small(gone.select("scope", "bucket", "value").distinct()), ["scope", "bucket", "value"], "left_anti").select(*known.columns)
+
+
+def validate(known: DataFrame, seen: DataFrame) -> DataFrame:
+    """``known`` with the patterns of ``seen`` (scope, bucket or null for any, value) marked as validated by a person."""
+    any_bucket = seen.where("bucket IS NULL").select("scope", "value").join(known.select("scope", "bucket", "value").distinct(), ["scope", "value"])
+    return _marked(known, seen.where("bucket IS NOT NULL").select("scope", "bucket", "value").unionByName(any_bucket.select("scope", "bucket", "value")), {"source": F.lit("human_validated")})
+
 
-    auto = fresh.where("source <> 'human'").withColumn("_n", F.row_number().over(Window.partitionBy(*key[:3]).orderBy("ord", "value")))
-    auto = auto.join(held, key[:3], "left").where(F.col("_n") + F.coalesce("_held", F.lit(0)) <= cap)
-    return known.unionByName(auto.select(*known.columns)).unionByName(fresh.where("source = 'human'").select(*known.columns))
+def _marked(known: DataFrame, rows: DataFrame, new: dict[str, Column]) -> DataFrame:
+    hit = rows.select("scope", "bucket", "value").distinct().withColumn("_hit", F.lit(True))
+    out = known.join(small(hit), ["scope", "bucket", "value"], "left")
+    return out.select(*[F.when(F.col("_hit"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in known.columns])
 
 
 def counts(known: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RESOLUTION = "resolution_status"
@@ -12,16 +12,15 @@ def unresolved() -> Column:
     return F.coalesce(RESOLUTION, F.lit("")).isin("", "pending")
 
 
-def recent(findings: DataFrame, limit: int = 50, *, source_ip: str | None = None, verdict: str | None = None, open_only: bool = False) -> DataFrame:
-    """The latest findings, of an address or of a verdict if given (the address wins); of equal times the larger id comes first."""
-    out = findings
-    if source_ip is not None:
-        out = out.where(F.col("source_ip") == source_ip)
-    elif verdict is not None:
-        out = out.where(F.col("verdict") == verdict)
+def recent(findings: DataFrame, limit: int = 50, *, event_id: str | None = None, source_ip: str | None = None, verdict: str | None = None, open_only: bool = False) -> DataFrame:
+    """The latest findings, 1 to 500 of them; of an event, an address or a verdict if given (the first of these wins); of equal times the larger id comes first."""
+    for column, value in (("event_id", event_id), ("source_ip", source_ip), ("verdict", verdict)):
+        if value is not None:
+            findings = findings.where(F.col(column) == value)
+            break
     if open_only:
-        out = out.where(unresolved())
-    return out.orderBy(F.desc("ts"), F.desc("id")).limit(limit)
+        findings = findings.where(unresolved())
+    return findings.orderBy(F.desc("ts"), F.desc("id")).limit(max(1, min(500, limit)))
 
 
 def waiting(findings: DataFrame, before: Column, limit: int = 50) -> DataFrame:
@@ -41,23 +40,33 @@ def latest(findings: DataFrame) -> DataFrame:
     return findings.groupBy("event_id").agg(F.max_by(F.struct(*rest), "id").alias("r")).select("event_id", "r.*")
 
 
-#: Trust of the ways to resolve a finding: a way changes what a less trusted one said.
-TRUST = {"status_only": 1, "evidence_unavailable": 1, "evidence": 2, "human_review": 3}
-
-
 def resolve(findings: DataFrame, changes: DataFrame) -> DataFrame:
-    """``findings`` after ``changes`` (event_id, new_status, new_method, new_verdict; one for each event).
+    """``findings`` after ``changes`` (event_id, new_status, new_method, new_verdict, and new_at if times are to be set; one for each event).
 
-    Open findings take the change; resolved ones only from a more trusted way, and ``evidence_unavailable`` gives
-    way to any resolution. An empty new verdict keeps the old one.
+    Only open findings take a change; to ``resolved``, those without evidence in time do, too. An empty new
+    verdict keeps the old one, and the latest finding's verdict before the change is kept as the previous one. A
+    resolution as downgraded or failed recon marks the finding as downgraded. Columns that ``findings`` lacks are
+    left out.
     """
-    rank = lambda c: F.coalesce(*[F.when(F.col(c) == k, v) for k, v in TRUST.items()], F.lit(0))
-    out = findings.join(changes, "event_id", "left")
-    stamped = (F.col(RESOLUTION) == "evidence_unavailable") & (F.col("new_status") == "resolved")
-    take = F.col("new_status").isNotNull() & (unresolved() | stamped | (rank("new_method") > rank("resolution_method")))
-    change = lambda c, new: F.when(take & (F.coalesce(new, F.lit("")) != ""), F.col(new)).otherwise(F.col(c))
-    new = {RESOLUTION: change(RESOLUTION, "new_status"), "resolution_method": change("resolution_method", "new_method"), "verdict": change("verdict", "new_verdict")}
-    return out.select(*[new.get(c, F.col(c)).alias(c) for c in findings.columns])
+    old = findings.groupBy("event_id").agg(F.max_by("verdict", "id").alias("_latest"))
+    out = findings.join(changes.join(old, "event_id"), "event_id", "left")
+    late = (F.coalesce(RESOLUTION, F.lit("")) == "evidence_unavailable") & (F.col("new_status") == "resolved")
+    take = F.col("new_status").isNotNull() & (unresolved() | late)
+    down = take & (F.col("new_status") == "resolved") & F.col("new_verdict").isin("downgraded", "recon_failed")
+    put = lambda c, when, value: F.when(when, value).otherwise(F.col(c))
+    rules = {
+        RESOLUTION: (take, F.col("new_status")), "resolution_method": (take, F.col("new_method")), "previous_verdict": (take, F.col("_latest")),
+        "verdict": (take & (F.coalesce("new_verdict", F.lit("")) != ""), F.col("new_verdict")), "downgraded": (down, F.lit(True)), "downgrade_reason": (down, F.concat("new_method", F.lit(" resolution"))),
+    }
+    if "new_at" in changes.columns:
+        rules["resolved_at"] = (take, F.col("new_at"))
+    return out.select(*[put(c, *rules[c]).alias(c) if c in rules else F.col(c) for c in findings.columns])
+
+
+def timed_out(findings: DataFrame, before: Column, limit: int = 50) -> DataFrame:
+    """Changes for ``resolve`` that give up on the oldest findings that still wait for evidence."""
+    rows = waiting(findings, before, limit).select("event_id").distinct()
+    return rows.select("event_id", F.lit("evidence_unavailable").alias("new_status"), F.lit("timeout").alias("new_method"), F.lit("").alias("new_verdict"))
 
 
 def override(findings: DataFrame, events: DataFrame, verdict: str, reason: str) -> DataFrame:
@@ -69,14 +78,40 @@ def override(findings: DataFrame, events: DataFrame, verdict: str, reason: str)
     return out.select(*[new.get(c, F.col(c)).alias(c) for c in findings.columns])
 
 
+def _days(now: Column, n: int) -> Column:
+    return now - F.make_dt_interval(F.lit(n))
+
+
 def prune(findings: DataFrame, now: Column) -> DataFrame:
     """What retention keeps: allowed and suppressed findings for 7 days, recon and downgraded ones for 90, others for good."""
-    days = lambda n: now - F.make_dt_interval(F.lit(n))
-    short = F.col("verdict").isin("allow", "suppress") & (F.col("ts") < days(7))
-    long = ((F.col("verdict") == "recon") | F.coalesce("downgraded", F.lit(False))) & (F.col("ts") < days(90))
+    short = F.col("verdict").isin("allow", "suppress") & (F.col("ts") < _days(now, 7))
+    long = ((F.col("verdict") == "recon") | F.coalesce("downgraded", F.lit(False))) & (F.col("ts") < _days(now, 90))
     return findings.where(~(short | long))
 
 
+def prune_sessions(sessions: DataFrame, now: Column) -> DataFrame:
+    """Scanner sessions that were last seen in the last 90 days."""
+    return sessions.where(~(F.col("last_seen") < _days(now, 90)))
+
+
+def prune_stats(stats: DataFrame, now: Column) -> DataFrame:
+    """Snapshots of counters of the last 90 days."""
+    return stats.where(~(F.col("ts") < _days(now, 90)))
+
+
+def prune_decisions(decisions_: DataFrame, now: Column) -> DataFrame:
+    """Decisions without those that nobody reviewed in 7 days."""
+    return decisions_.where(~((F.coalesce("review_status", F.lit("pending")) == "pending") & (F.col("ts") < _days(now, 7))))
+
+
+def scanner_sessions(findings: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Runs of findings of one address, host and body, with at most ``gap`` between two: first and last seen, probes, and the first and last path."""
+    rows = findings.where("coalesce(source_ip, '') <> ''").withColumn("body_hash", F.coalesce("evidence_body_hash", F.lit("")))
+    ends = F.array_distinct(F.array(F.min_by("http_path", F.struct("ts", "id")), F.max_by("http_path", F.struct("ts", "id"))))
+    out = rows.groupBy("source_ip", "dest_host", "body_hash", F.session_window("ts", gap).alias("w")).agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("probes"), ends.alias("sample_paths"))
+    return out.drop("w")
+
+
 def decisions(table: DataFrame, *, tier=None, event_id=None, classification=None, review_status=None, least=0.0, most=0.0, scope_like=None, since=None, limit: int = 50, offset: int = 0) -> DataFrame:
     """A page of decisions, newest first. Filters that are given combine; ``scope_like`` is a part of the scope, whatever the case, in which % and _ are wildcards."""
     equal = {"tier": tier, "event_id": event_id, "classification": classification, "review_status": review_status}
@@ -113,8 +148,6 @@ def catch_alls(responses: DataFrame, paths: int = 5) -> DataFrame:
     """Fingerprints (host, method, status, body_hash) of GET and HEAD responses that at least ``paths`` different paths share, with up to ten of these paths."""
     rows = responses.where(F.col("method").isin("GET", "HEAD")).groupBy("host", "method", "status", "body_hash", "path").agg(F.count("*").alias("n"))
     key = ["host", "method", "status", "body_hash"]
-    from pyspark.sql import Window
-
     ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("path")))
     out = ranked.groupBy(*key).agg(F.count("*").alias("paths"), F.sum("n").alias("responses"), F.sort_array(F.collect_list(F.when(F.col("_r") <= 10, F.col("path")))).alias("sample"))
     return out.where(F.col("paths") >= paths)
@@ -129,8 +162,6 @@ def hint_consensus(hints: DataFrame, lines: int = 20, share: float = 0.6) -> Dat
 
 def rates(stats: DataFrame, counters: list[str]) -> DataFrame:
     """Increase of cumulative counters since the snapshot before, by ``source`` and time; a counter that fell began anew."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("source").orderBy("ts")
     step = lambda c: F.when(F.col(c) >= F.lag(c).over(order), F.col(c) - F.lag(c).over(order)).otherwise(F.col(c))
     return stats.select("source", "ts", *[step(c).alias(c) for c in counters])

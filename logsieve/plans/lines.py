@@ -9,14 +9,14 @@ from logsieve.functions import filters, http
 from logsieve.functions import normalize as n
 from logsieve.functions import text as t
 from logsieve.sources import log_lines as source
+from logsieve.sources.tables import spread
 
 LINES = source.sql()
 
 
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines with their normalised form."""
-    lines = source.log_lines(spark, sf_dir)
-    return lines.withColumn("normalized", n.normalize(F.col("source_type"), F.col("source_name"), F.col("line")))
+    return n.with_normalized(source.log_lines(spark, sf_dir))
 
 
 def _columns(spark: SparkSession, sf_dir: str, on: str = "line", **columns: Column) -> DataFrame:
@@ -35,13 +35,14 @@ def normalize_generic(spark, sf_dir):
 
 def normalize_generic_texts(spark, sf_dir):
     """The generic normaliser over all documents, whose letters are not all ASCII."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
     return docs.select("doc_id", n.line_hash(n.generic(F.col("text"))).alias("hash"))
 
 
 def normalize_nginx_access(spark, sf_dir):
     vhost = F.regexp_replace(F.col("line"), '"(GET|POST)', '"shop.example.com" "$1')
-    return _columns(spark, sf_dir, plain=n.nginx_access(F.col("line")), hosted=n.nginx_access(vhost))
+    rows = source.log_lines(spark, sf_dir).withColumn("vhost", vhost)
+    return n.with_nginx_access(n.with_nginx_access(rows, "line", "plain"), "vhost", "hosted").select("event_id", "plain", "hosted")
 
 
 def normalize_nginx_error(spark, sf_dir):
@@ -72,7 +73,7 @@ def unit_base(spark, sf_dir):
 
 
 def parse_http(spark, sf_dir):
-    rows = normalized(spark, sf_dir).select("event_id", http.identity(F.col("normalized")).alias("a"), http.identity(F.col("line"), http.RAW_SHAPES).alias("b"))
+    rows = http.with_identity(http.with_identity(normalized(spark, sf_dir), "normalized", "a"), "line", "b", http.RAW_SHAPES)
     return rows.select("event_id", *[F.col(f"{x}.{c}").alias(f"{p}_{c}") for x, p in (("a", "norm"), ("b", "raw")) for c in ("method", "path", "host", "status")])
 
 

@@ -14,8 +14,8 @@ _FINDINGS = """
 SELECT event_id AS id, concat('evt_', cast(event_id % 4000 AS STRING)) AS event_id, ts, source_type, source_name, ip AS source_ip, user_id,
   CASE event_id % 7 WHEN 0 THEN 'malicious' WHEN 1 THEN 'alert' WHEN 2 THEN 'alert' WHEN 3 THEN 'recon' WHEN 4 THEN 'allow' ELSE 'suppress' END AS verdict,
   CASE WHEN k < 8 THEN method ELSE '' END AS http_method, path AS http_path, status AS http_status,
-  CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'pending' WHEN 2 THEN 'resolved' END AS resolution_status,
-  CASE event_id % 4 WHEN 2 THEN 'evidence' ELSE '' END AS resolution_method, event_id % 6 = 0 AS downgraded, event_id % 5 = 0 AS notified, 'seen' AS reason
+  CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'pending' WHEN 2 THEN CASE WHEN event_id % 3 = 0 THEN 'evidence_unavailable' ELSE 'resolved' END END AS resolution_status,
+  CASE event_id % 4 WHEN 2 THEN 'evidence' ELSE '' END AS resolution_method, event_id % 6 = 0 AS downgraded, event_id % 5 = 0 AS notified, 'seen' AS reason, '' AS previous_verdict, '' AS downgrade_reason
 FROM {lines}
 """
 _DECISIONS = """
@@ -66,11 +66,15 @@ def latest_by_event(spark, sf_dir):
 
 def _changes(spark, sf_dir) -> DataFrame:
     rows = findings(spark, sf_dir).where("id % 3 = 0").groupBy("event_id").agg(F.min("id").alias("m"))
-    return rows.select("event_id", F.lit("resolved").alias("new_status"), F.when(F.col("m") % 2 == 0, "human_review").otherwise("evidence").alias("new_method"), F.when(F.col("m") % 5 == 0, "recon").otherwise("").alias("new_verdict"))
+    status = F.when(F.col("m") % 4 == 0, "evidence_unavailable").otherwise("resolved")
+    verdict = F.when(F.col("m") % 5 == 0, "downgraded").when(F.col("m") % 5 == 1, "recon_failed").when(F.col("m") % 5 == 2, "malicious").otherwise("")
+    return rows.select("event_id", status.alias("new_status"), F.when(F.col("m") % 2 == 0, "human_review").otherwise("rec_evidence").alias("new_method"), verdict.alias("new_verdict"))
 
 
 def resolve_findings(spark, sf_dir):
-    return store.resolve(findings(spark, sf_dir), _changes(spark, sf_dir)).select("id", "event_id", "verdict", "resolution_status", "resolution_method")
+    """Findings after resolutions by evidence, people and time-outs."""
+    out = store.resolve(findings(spark, sf_dir), _changes(spark, sf_dir))
+    return out.select("id", "event_id", "verdict", "resolution_status", "resolution_method", "previous_verdict", "downgraded", "downgrade_reason")
 
 
 def override_verdict(spark, sf_dir):
@@ -141,8 +145,7 @@ def _with(rest: str) -> str:
 
 _OUT = ", ".join(_IDS)
 _OPEN = "coalesce(resolution_status, '') IN ('', 'pending')"
-_RANK = "CASE {} WHEN 'status_only' THEN 1 WHEN 'evidence_unavailable' THEN 1 WHEN 'evidence' THEN 2 WHEN 'human_review' THEN 3 ELSE 0 END"
-_TAKE = f"(new_status IS NOT NULL AND ({_OPEN} OR (resolution_status = 'evidence_unavailable' AND new_status = 'resolved') OR {_RANK.format('new_method')} > {_RANK.format('resolution_method')}))"
+_TAKE = f"(new_status IS NOT NULL AND ({_OPEN} OR (resolution_status = 'evidence_unavailable' AND new_status = 'resolved')))"
 SQL = {
     "recent_findings": _with(f"SELECT {_OUT} FROM f ORDER BY ts DESC, id DESC LIMIT 100"),
     "findings_by_ip": _with(f"SELECT {_OUT} FROM f WHERE source_ip = '10.1.1.2' AND {_OPEN} ORDER BY ts DESC, id DESC LIMIT 500"),
@@ -150,8 +153,10 @@ SQL = {
     "unresolved_findings": _with(f"SELECT {_OUT} FROM f WHERE {_OPEN} AND verdict IN ('alert', 'malicious') AND http_method <> '' AND NOT downgraded AND ts < TIMESTAMP '{NOW}' ORDER BY ts, id LIMIT 50"),
     "verdict_counts": _with(f"SELECT verdict, count(*) AS n FROM f WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 60 DAY GROUP BY verdict"),
     "latest_by_event": _with(f"SELECT {_OUT} FROM f QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY id DESC) = 1"),
-    "resolve_findings": _with(f""", c AS (SELECT event_id, 'resolved' AS new_status, CASE WHEN min(id) % 2 = 0 THEN 'human_review' ELSE 'evidence' END AS new_method, CASE WHEN min(id) % 5 = 0 THEN 'recon' ELSE '' END AS new_verdict FROM f WHERE id % 3 = 0 GROUP BY 1)
-SELECT id, event_id, CASE WHEN {_TAKE} AND new_verdict <> '' THEN new_verdict ELSE verdict END AS verdict, CASE WHEN {_TAKE} THEN new_status ELSE resolution_status END AS resolution_status, CASE WHEN {_TAKE} THEN new_method ELSE resolution_method END AS resolution_method FROM f LEFT JOIN c USING (event_id)"""),
+    "resolve_findings": _with(f""", c AS (SELECT event_id, CASE WHEN min(id) % 4 = 0 THEN 'evidence_unavailable' ELSE 'resolved' END AS new_status, CASE WHEN min(id) % 2 = 0 THEN 'human_review' ELSE 'rec_evidence' END AS new_method, CASE min(id) % 5 WHEN 0 THEN 'downgraded' WHEN 1 THEN 'recon_failed' WHEN 2 THEN 'malicious' ELSE '' END AS new_verdict FROM f WHERE id % 3 = 0 GROUP BY 1),
+lv AS (SELECT event_id, arg_max(verdict, id) AS latest FROM f GROUP BY 1), y AS (SELECT f.*, c.* EXCLUDE (event_id), latest, {_TAKE} AS take, {_TAKE} AND new_status = 'resolved' AND new_verdict IN ('downgraded', 'recon_failed') AS down FROM f JOIN lv USING (event_id) LEFT JOIN c USING (event_id))
+SELECT id, event_id, CASE WHEN take AND new_verdict <> '' THEN new_verdict ELSE verdict END AS verdict, CASE WHEN take THEN new_status ELSE resolution_status END AS resolution_status, CASE WHEN take THEN new_method ELSE resolution_method END AS resolution_method, CASE WHEN take THEN latest ELSE previous_verdict END AS previous_verdict,
+  down OR downgraded AS downgraded, CASE WHEN down THEN new_method || ' resolution' ELSE downgrade_reason END AS downgrade_reason FROM y"""),
     "override_verdict": _with("SELECT id, CASE WHEN h THEN 'suppress' ELSE verdict END AS verdict, h OR downgraded AS downgraded, NOT h AND notified AS notified, CASE WHEN h THEN 'by hand' ELSE reason END AS reason FROM (SELECT *, event_id IN (SELECT event_id FROM f WHERE id % 10 = 7) AS h FROM f)"),
     "prune_findings": _with(f"SELECT id, verdict FROM f WHERE NOT ((verdict IN ('allow', 'suppress') AND ts < TIMESTAMP '{NOW}' - INTERVAL 7 DAY) OR ((verdict = 'recon' OR downgraded) AND ts < TIMESTAMP '{NOW}' - INTERVAL 90 DAY))"),
     "list_decisions": _with("SELECT id, tier, confidence, source_scope FROM d WHERE tier = 'T1' AND confidence BETWEEN 0.2 AND 0.9 AND source_scope ILIKE '%DEMO_nginx%' ORDER BY id DESC LIMIT 100 OFFSET 20"),

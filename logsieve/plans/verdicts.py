@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsieve.functions import filters, redact
+from logsieve.functions import filters, http, redact
 from logsieve.functions import text as t
 from logsieve.operators import classify, evidence, policy
 from logsieve.operators import patterns as p
@@ -170,6 +170,21 @@ _RESP = """resp AS (SELECT event_id * 2 + copy AS resp_seq, ts + to_seconds(even
 _BODY = """CASE event_id % 6 WHEN 0 THEN '# settings' || chr(10) || 'DB_USER=app' || chr(10) || 'export API_KEY=k' || event_id || chr(10) || 'plain' || chr(10)
   WHEN 1 THEN 'root:x:0:0:root:/root:/bin/bash' || chr(10) || 'u' || user_id || ':$6$abc:19000:0' || chr(10) || 'odd' || chr(10) WHEN 2 THEN '{"user":"u' || user_id || '","password":"x"}' END"""
 
+# the classifier's stand-in, on one line of each group
+_P = http.sql_part("normalized", http.NORMALIZED_SHAPES, "path")
+_ONCE = "url_decode(replace(p, '+', ' '))"
+_TWICE = f"url_decode(replace({_ONCE}, '+', ' '))"
+_MARKS = ", ".join(t.q(a.upper()) for a in filters.ATTACK)
+_LLM = f"""{_DECIDED}, led AS (SELECT scope, hash, disclosure, arg_min(normalized, event_id) AS normalized, min(event_id) AS leader FROM dec WHERE verdict = 'unknown' GROUP BY ALL),
+asked AS (SELECT *, {_P} AS p FROM led), ans AS (SELECT *, p <> '' AND len(list_filter([{_MARKS}], lambda m: contains(upper(p), m) OR contains(upper({_ONCE}), m) OR contains(upper({_TWICE}), m))) > 0 AS marked FROM asked),
+parts AS (SELECT dec.*, leader, marked, ans.scope IS NOT NULL AS got, {", ".join(f"{http.sql_part('line', http.RAW_SHAPES, c)} AS r_{c}, {http.sql_part('dec.normalized', http.NORMALIZED_SHAPES, c)} AS n_{c}" for c in ("method", "path", "status"))}, {http.sql_part('dec.normalized', http.NORMALIZED_SHAPES, 'host')} AS n_host
+  FROM dec LEFT JOIN ans ON dec.verdict = 'unknown' AND dec.scope = ans.scope AND dec.hash = ans.hash AND dec.disclosure = ans.disclosure),
+cls AS (SELECT * REPLACE (CASE WHEN NOT got THEN verdict WHEN disclosure THEN CASE WHEN r_method <> '' OR n_method <> '' THEN 'alert' ELSE 'malicious' END WHEN marked THEN 'alert' ELSE 'allow' END AS verdict, CASE WHEN got THEN 'llm' ELSE via END AS via),
+  CASE WHEN NOT got THEN NULL WHEN disclosure THEN 'malicious' WHEN marked THEN 'suspicious' ELSE 'safe' END AS classification, CASE WHEN r_method <> '' THEN r_method ELSE n_method END AS http_method, coalesce(nullif(CASE WHEN r_method <> '' THEN r_status ELSE n_status END, '')::INT, 0) AS http_status FROM parts),
+rt AS (SELECT *, CASE WHEN verdict NOT IN ('alert', 'malicious') THEN 'none' WHEN via = 'policy' THEN 'policy' WHEN via <> 'llm' AND http_method <> '' AND http_status IN (403, 404, 405, 410) THEN 'recon_status' WHEN http_method <> '' AND regexp_matches(n_host, '^[0-9]+([.][0-9]+){{3}}(:.*)?$') AND http_status = 200 THEN 'edge_inferred' WHEN http_method <> '' THEN 'coordinator' ELSE 'finding' END AS route FROM cls)"""
+_SMALL = "'{\n  \"k\": ' || regexp_extract(props, '^[{]\"k\": (-?[0-9]+)[}]$', 1) || '\n}'"
+_VALUE = "CASE event_id % 3 WHEN 0 THEN base64(encode(line)) WHEN 1 THEN sha256(line) ELSE line END"
+
 SQL = {
     "classify_verdicts": with_norm(f", {_DECIDED} SELECT verdict, via, count(*) AS n FROM dec GROUP BY ALL"),
     "classify_events": with_norm(f", {_DECIDED} SELECT event_id, verdict, via, tier, reason, disclosure FROM dec"),
@@ -187,4 +202,9 @@ SELECT event_id, arg_min(resp_seq, (score, -resp_seq)) AS resp_seq, min(score)::
     "body_formats": f"SELECT event_id, CASE WHEN event_id % 10 = 9 THEN 'html' ELSE ['dotenv', 'passwd', 'json', 'html', 'json', 'unknown'][event_id % 6 + 1] END AS format, CASE WHEN event_id % 10 = 9 THEN 'high' ELSE ['high', 'high', 'high', 'high', 'low', 'none'][event_id % 6 + 1] END AS confidence FROM events",
     "redact_dotenv": f"SELECT event_id, regexp_replace({_BODY}, '(?m)^((?:export )?[^=#\\n]+)=[^\\n]*', '\\1=[REDACTED]', 'g') AS preview, 2 AS redactions FROM ({LINES}) s WHERE event_id % 6 = 0",
     "redact_passwd": f"SELECT event_id, 'root:[REDACTED]:0:0:[REDACTED]:[REDACTED]:/bin/bash' || chr(10) || 'u' || user_id || ':[REDACTED]:[REDACTED]:[REDACTED]' || chr(10) || '[REDACTED]' || chr(10) AS preview, 7 AS redactions FROM ({LINES}) s WHERE event_id % 6 = 1",
+    "classify_route": with_norm(f", {_LLM} SELECT event_id, verdict, via, classification, route, CASE WHEN via = 'policy' THEN verdict = 'malicious' ELSE route = 'finding' AND verdict = 'malicious' END AS notify FROM rt"),
+    "learned_patterns": with_norm(f""", {_LLM}, new AS (SELECT DISTINCT scope, verdict AS bucket, 'hash' AS tier, hash AS value FROM cls WHERE got AND leader = event_id AND NOT (verdict IN ('allow', 'suppress') AND (disclosure OR marked))),
+every AS (SELECT scope, bucket, tier FROM known UNION ALL SELECT scope, bucket, tier FROM new WHERE (scope, bucket, tier, value) NOT IN (SELECT (scope, bucket, tier, value) FROM known WHERE NOT revoked)) SELECT scope, bucket, tier, count(*) AS n FROM every GROUP BY ALL"""),
+    "redact_json": f"SELECT event_id, {_SMALL} AS preview, 0 AS redactions FROM events",
+    "base64_like": f"SELECT event_id, strlen(v) >= 20 AND NOT regexp_matches(v, '[ \\t\\n]') AND strlen(regexp_replace(v, '[^A-Za-z0-9+/=]', '', 'g')) / strlen(v) > 0.95 AS encoded FROM (SELECT event_id, {_VALUE} AS v FROM ({LINES}) s)",
 }

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logsieve.sources.tables import spread
+
 _TEMPLATE = """
 SELECT event_id, ts, user_id, event_id % 16 AS k,
   CASE WHEN event_id % 16 IN (9,10,15) THEN 'journal' ELSE 'docker' END AS source_type,
@@ -36,7 +38,7 @@ FROM (SELECT event_id, ts, user_id,
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines of the events under ``sf_dir``; the event's time as a UTC instant."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS ts", "user_id")
+    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS ts", "user_id"), "event_id")
     form = {"ymd": "yyyy/MM/dd HH:mm:ss", "iso": "yyyy-MM-dd HH:mm:ss", "clf": "dd/MMM/yyyy:HH:mm:ss"}
     sql = _TEMPLATE.format(src="{events}", **{k: f"date_format(ts, '{v}')" for k, v in form.items()})
     return spark.sql(sql, events=events)
