@@ -10,9 +10,12 @@ which the subsets to list, counted over the sizes at hand, come to cost more tha
 The lists are scanned twice. In the order of the elements' hashes, a class whose prefix has too few elements
 that any other prefix holds has no partner and leaves; that is nearly all but near copies. For the rest the
 order is by how many of them hold an element, rarest first. Classes that meet in short lists often enough, or
-in a long list at all, make up families (as components, so no pairs of a long list are written out). Families
-are compared in full, in tiles of two blocks of BLOCK classes, which report each tile's components and
-not its pairs. Links are thus exact, of all sizes, with no cap on partners, lists or groups.
+in a long list at all, make up families (as components, so no pairs of a long list are written out). Each
+family is first compared with its hub, its smallest class: those that link to it are one component and need no
+comparison with each other, so a family of near copies costs one comparison for each member. Only those that
+miss their hub go on, and are compared with all of their family in tiles of two blocks of BLOCK classes, which
+report each tile's components and not its pairs. Links are thus exact, of all sizes, with no cap on partners,
+lists or groups.
 
 Defined results: A-Z are lower-cased; a text without words, or null, has an empty set and stands alone; one
 with fewer words than n has one element, the whole sequence; null doc_ids do not count for the smallest id
@@ -33,14 +36,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsieve.llm.common import checked_broadcast, components, cut
+from logsieve.llm.common import HOT_ROWS, checked_broadcast, components, cut, fresh, join_spread
 
-#: Sets above this size are never small.
+#: Sets above this size are large whatever the cost: the subsets that sets list grow too fast beyond it. (Which side a set is on changes no link.)
 MOST_SMALL = 20
 #: What a posting costs in units of a listed subset: it is counted, joined back and sorted.
 POSTING_COST = 8.0
-#: A list with more classes joins them to a family without writing out its pairs.
+#: A list with more classes joins them to a family without writing out its pairs. (Families are compared in the end, so this loses no link.)
 LONG_LIST = 32
+#: Members of a family that one copy of its hub serves.
+HUB_MEMBERS = 4096
 #: Classes in one side of a tile.
 BLOCK = 192
 #: Texts whose words are laid out at a time.
@@ -235,7 +240,7 @@ def _add_overlaps(out: np.ndarray, items: list[np.ndarray]) -> None:
         out += (x @ x.T).astype(np.int64)
 
 
-def _large_links(docs: DataFrame, reps: DataFrame, law: Law, width: int, n0: int) -> DataFrame | None:
+def _large_links(docs: DataFrame, rows: DataFrame, reps: DataFrame, law: Law, width: int, n0: int) -> DataFrame | None:
     """Edges that join what is linked among classes of which one at least is large; None where there are none."""
     lowest = max(1, law.least(n0 + 1))
     n = F.col("n")
@@ -249,11 +254,13 @@ def _large_links(docs: DataFrame, reps: DataFrame, law: Law, width: int, n0: int
     live = cut(live.join(reps.select("cid", "doc_id", "key"), "cid").select("cid", "n", "doc_id", "key"), "ngram-live")
     if not live.limit(1).count():
         return None
-    # whole sets of those that stay, from their texts again
-    wanted = checked_broadcast(live.select(F.col("doc_id").alias("_id")))
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = texts.mapInArrow(_sets(width, law, True), SETS).select("key", "items").join(live.select("key", "cid", "n"), "key").dropDuplicates(["cid"])
-    sets = cut(sets.select("cid", "n", "items"), "ngram-sets")
+    # whole sets of those that stay, from their texts again; a row that comes twice with one doc_id gives its set twice
+    known = live.select(F.col("doc_id").alias("_id"), "key", "cid", "n")
+    texts = docs.join(checked_broadcast(known.select("_id").distinct()), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    found = texts.mapInArrow(_sets(width, law, True), SETS).select("doc_id", "key", "items")
+    sets = found.join(checked_broadcast(known), (F.col("doc_id").eqNullSafe(F.col("_id"))) & (found["key"] == known["key"])).select("cid", "n", "items")
+    twice = rows.groupBy("doc_id", "key").agg(F.count("*").alias("c")).where("c > 1")
+    sets = cut(sets.dropDuplicates(["cid"]) if twice.limit(1).count() else sets, "ngram-sets")
     # second scan: rarest elements first; those of one class come before all others and take places in the prefix
     postings = sets.select("cid", "n", F.explode("items").alias("h"))
     often = postings.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
@@ -270,44 +277,107 @@ def _large_links(docs: DataFrame, reps: DataFrame, law: Law, width: int, n0: int
     pair_least = F.least(1 + F.floor(F.col("na") / 20), 1 + F.floor(F.col("nb") / 20), F.ceil(F.lit(law.num) * (F.col("na") + F.col("nb")) / (law.num + law.den)))
     met = a.join(b, "h").where(fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met")).where(F.col("met") >= pair_least).select("a", "b")
     families = cut(components(star.union(met), "ngram-family"), "ngram-families")
-    # families in full, a tile at a time
-    count = families.groupBy("component").agg(F.count("*").alias("members"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = families.join(count, "component").select(F.col("id").alias("cid"), F.col("component").alias("family"), blocks.alias("blocks"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    groups = max(1, families.count() // BLOCK)
-    held = placed.join(sets, "cid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    one = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(groups)))
-    tile = F.coalesce(one, F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")))
-    tiles = held.select("family", "cid", "n", "items", tile.alias("tile"), F.coalesce(one * 0, F.least("block", "other")).alias("lo"), F.coalesce(one * 0, F.greatest("block", "other")).alias("hi"))
-    return tiles.groupBy("tile", "lo", "hi").applyInPandas(_tile(law), _EDGES).distinct()
-
-
-def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Of each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, for sets of ``width`` words with a Jaccard of at least num / den."""
+    return _verified(families, sets, law)
+
+
+def _verified(families: DataFrame, sets: DataFrame, law: Law) -> DataFrame:
+    """Edges that join what is linked within families (id, component: the smallest id)."""
+    members = families.groupBy(F.col("component").alias("family")).agg(F.count("*").alias("members"))
+    placed = families.withColumnRenamed("component", "family").join(members, "family").select(F.col("id").alias("cid"), "family", "members")
+    held = sets.join(checked_broadcast(cut(placed, "ngram-placed")), "cid")
+    # with the hub: a large family's hub is copied, so that its members stay spread
+    salts = F.ceil(F.col("members") / HUB_MEMBERS)
+    hubs = held.where("cid = family").select("family", F.col("n").alias("hub_n"), F.col("items").alias("hub_items"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    others = held.where("cid <> family").withColumn("salt", F.pmod(F.xxhash64("cid"), salts))
+    both = F.size(F.array_intersect("items", "hub_items"))
+    met = others.join(hubs, ["family", "salt"]).select("cid", "family", "n", "hub_n", both.alias("both"))
+    linked = F.lit(law.den) * F.col("both") >= F.lit(law.num) * (F.col("n") + F.col("hub_n") - F.col("both"))
+    met = cut(met.select("cid", "family", linked.alias("linked")), "ngram-hub")
+    edges = met.where("linked").select(F.col("cid").alias("a"), F.col("family").alias("b"))
+    # those that miss it: with all of their family, a tile at a time; their blocks come first
+    open_ = met.where("NOT linked").groupBy("family").agg(F.count("*").alias("rest"))
+    open_ = cut(open_.join(members, "family"), "ngram-open")
+    if not open_.limit(1).count():
+        return edges
+    first = F.ceil(F.col("rest") / BLOCK).cast("int")
+    after = F.ceil((F.col("members") - F.col("rest")) / BLOCK).cast("int")
+    small = F.col("members") <= BLOCK
+    mine = families.select(F.col("id").alias("cid"), F.col("component").alias("family")).join(checked_broadcast(open_), "family")
+    mine = mine.join(met.where("NOT linked").select("cid", F.lit(True).alias("misses")), "cid", "left").withColumn("misses", F.coalesce("misses", F.lit(False)))
+    lot = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
+    mine = mine.withColumn("block", F.when(small, 0).when(F.col("misses"), lot(first)).otherwise(first + lot(after)))
+    with_ = F.when(small, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.when(F.col("misses"), first + after - 1).otherwise(first - 1)))
+    groups = max(1, mine.count() // BLOCK)
+    tile = F.when(small, F.pmod(F.xxhash64("family"), F.lit(groups))).otherwise(F.xxhash64("family"))
+    mine = mine.select("cid", "family", "block", tile.alias("tile"), F.explode(with_).alias("other"))
+    mine = mine.select("cid", "family", "tile", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    tiles = sets.join(mine, "cid").select("family", "cid", "n", "items", "tile", "lo", "hi")
+    return edges.unionByName(tiles.groupBy("tile", "lo", "hi").applyInPandas(_tile(law), _EDGES).distinct())
+
+
+def _grouped(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Of each row: doc_id, n_shingles, component_id, key (of its set), uid (its number) and component (one for each group, null ids or not)."""
     law = Law(num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = cut(docs.mapInArrow(_sets(width, law, False), SETS).withColumn("uid", F.monotonically_increasing_id()), "ngram-docs")
-    classes = cut(rows.where("n > 0").groupBy("key").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("least_id")), "ngram-classes")
-    reps = rows.join(classes.select("cid"), rows["uid"] == classes["cid"]).select("cid", "doc_id", "n", "key", "items")
+    classes = cut(rows.where("n > 0").groupBy("key").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("least_id"), F.count("*").alias("rows")), "ngram-classes")
+    # all but the first row of a class leave; only their ids are joined to the sets
+    again = cut(rows.where("n > 0").select("uid", "key").join(classes.select("key", "cid"), "key").where("uid <> cid").select("uid"), "ngram-again")
+    reps = rows.where("n > 0").join(checked_broadcast(again), "uid", "left_anti").select(F.col("uid").alias("cid"), "doc_id", "n", "key", "items")
     sizes = {r.n: r.c for r in reps.where(F.col("n") <= math.ceil(MOST_SMALL * den / num)).groupBy("n").agg(F.count("*").alias("c")).collect()}
     n0 = _boundary(sizes, law)
     edges = _small_links(reps.where(F.col("n") <= n0).select("cid", "n", "items"), law)
-    large = _large_links(docs, reps, law, width, n0)
+    large = _large_links(docs, rows, reps, law, width, n0)
     groups = components(edges if large is None else edges.union(large), "ngram-component")
     of = classes.join(groups, classes["cid"] == groups["id"], "left").select("key", "least_id", F.coalesce("component", "cid").alias("component"))
     smallest = of.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    found = cut(of.join(smallest, "component").select("key", "component_id"), "ngram-found")
-    alone = rows.where("n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return rows.where("n > 0").join(found, "key").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").unionByName(alone)
+    found = cut(of.join(smallest, "component").select("key", "component_id", "component"), "ngram-found")
+    alone = rows.where("n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "key", "uid", (-1 - F.col("uid")).alias("component"))
+    some = join_spread(rows.where("n > 0").drop("items"), found, "key", F.col("rows") > HOT_ROWS, classes.select("key", "rows"))
+    return some.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "key", "uid", "component").unionByName(alone)
+
+
+def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Of each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, for sets of ``width`` words with a Jaccard of at least num / den."""
+    return _grouped(docs, width, num, den).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest doc_id, and all their columns. Texts without words, and rows without a doc_id, stay."""
-    found = cut(near_groups(docs, width, num, den), "near-groups")
-    goes = checked_broadcast(cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-goes"))
-    out = docs.join(goes, "doc_id", "left_anti")
-    again = cut(found.where("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "near-again")
-    if again.limit(1).count():
-        out = out.join(again, "doc_id", "left_anti").unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """``docs`` with one document of each component, that with the smallest doc_id (rows without one come last), and all their columns. Texts without words stay.
+
+    Only the ids of the rows that go are joined to the texts. Rows of a doc_id that stays in one place and goes in
+    another, and rows without one, are told apart by their sets; of rows alike in both, one stays.
+    """
+    rows = cut(_grouped(docs, width, num, den).where("n_shingles > 0"), "near-groups")
+    rank = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid")
+    keep = cut(rows.groupBy("component").agg(F.min_by(F.struct("doc_id", "key", "uid"), rank).alias("k")).select("component", "k.*"), "near-keep")
+    stay = keep.groupBy("doc_id").agg(F.count("*").alias("stay"))
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n")).join(stay.withColumnRenamed("doc_id", "_i"), F.col("doc_id").eqNullSafe(F.col("_i")), "left").select("doc_id", "n", F.coalesce("stay", F.lit(0)).alias("stay"))
+    ids = cut(ids.where("stay < n"), "near-ids")
+    goes = checked_broadcast(ids.where("stay = 0 AND doc_id IS NOT NULL").select("doc_id"))
+    out = docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
+    mixed = ids.where("stay > 0 OR doc_id IS NULL").select("doc_id")
+    if mixed.limit(1).count():
+        id_, key = fresh(docs, "id"), fresh(docs, "key")
+        hard = mixed.select(F.col("doc_id").alias(id_))
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_))
+        told = with_key(out.join(hard, same, "left_semi"), width, num, den, key)
+        wanted = keep.select(F.col("doc_id").alias(id_), F.col("key").alias(f"{key}_of"))
+        blank = told.where(F.col(key).isNull())
+        kept = told.join(wanted, same & (F.col(key) == F.col(f"{key}_of")), "left_semi").dropDuplicates(["doc_id", key])
+        out = out.join(hard, same, "left_anti").unionByName(kept.unionByName(blank).drop(key))
     return out
+
+
+def with_key(docs: DataFrame, width: int, num: int, den: int, name: str) -> DataFrame:
+    """``docs`` with the key of their sets as the binary column ``name``; null for texts without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys: list[bytes | None] = []
+            for i in range(0, b.num_rows, ROWS):
+                keys += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in shingle_sets(b.column("text").slice(i, ROWS), width)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], [*b.schema.names, name])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{schema}, `{name}` binary")
