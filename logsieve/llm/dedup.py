@@ -8,7 +8,8 @@ index lands on some slot too, and is told apart there.
 
 Defined results: null text counts as empty; equal texts are those that are identical after each run of white
 space is one space; of equal texts the smallest doc_id stays, null doc_ids come last, and of rows that repeat
-a doc_id one stays. An empty table gives an empty result. Other columns are never read.
+a doc_id one stays. Ids are carried as whole numbers beside a flag for null, so none is rounded or taken for
+another. An empty table gives an empty result. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsieve.llm.common import SPACE, checked_broadcast, cut
+from logsieve.llm.common import HOT_ROWS, SPACE, checked_broadcast, cut, fresh, join_spread
 
 #: Distinct digests in one part of the index; a part is built and searched in one task.
 PART_KEYS = 4096
 GAMMA = 2.0
-INDEX = "part long, sizes array<int>, bits binary, digests binary, winners binary, uids binary, counts binary"
-RESOLVED = "digest binary, keep_id long, keep_uid long, group_size long"
+INDEX = "part long, sizes array<int>, bits binary, digests binary, blanks binary, winners binary, uids binary, counts binary"
+RESOLVED = "digest binary, blank long, winner long, uid long, n long"
 
 
 def digest(text: Column) -> Column:
@@ -79,13 +80,13 @@ def _build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     keys = _keys(pdf["digest"])
     sizes, bits = build_mph(keys)
     order = np.argsort(slots(keys, sizes, bits), kind="stable")
-    put = lambda c: np.ascontiguousarray(pdf[c].to_numpy("int64", na_value=np.iinfo("int64").max)[order]).tobytes()
-    row = (key[0], sizes, np.packbits(bits).tobytes(), np.ascontiguousarray(keys[order]).tobytes(), put("winner"), put("uid"), put("n"))
-    return pd.DataFrame([row], columns=["part", "sizes", "bits", "digests", "winners", "uids", "counts"])
+    put = lambda c: np.ascontiguousarray(pdf[c].to_numpy("int64")[order]).tobytes()
+    row = (key[0], sizes, np.packbits(bits).tobytes(), np.ascontiguousarray(keys[order]).tobytes(), *map(put, ("blank", "winner", "uid", "n")))
+    return pd.DataFrame([row], columns=["part", "sizes", "bits", "digests", "blanks", "winners", "uids", "counts"])
 
 
 def build_index(distinct: DataFrame, parts: int) -> DataFrame:
-    """The index over ``distinct`` (digest binary, winner long, uid long, n long; digests differ)."""
+    """The index over ``distinct`` (digest binary, blank long, winner long, uid long, n long, none null; digests differ)."""
     return distinct.withColumn("part", _part(parts)).groupBy("part").applyInPandas(_build, INDEX)
 
 
@@ -94,33 +95,33 @@ def _part(parts: int) -> Column:
 
 
 def _look_up(key: tuple, index: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-    none = np.iinfo("int64").max
     if len(index):
         row = index.iloc[0]
         sizes = [int(x) for x in row["sizes"]]
         bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=sum(sizes)).astype(bool)
         held = np.frombuffer(row["digests"], "<u8").reshape(-1, 4)
-        winner, uid, count = (np.frombuffer(row[c], "<i8").copy() for c in ("winners", "uids", "counts"))
+        blank, winner, uid, count = (np.frombuffer(row[c], "<i8").copy() for c in ("blanks", "winners", "uids", "counts"))
     else:
         sizes, bits, held = [], np.zeros(0, bool), np.zeros((0, 4), "<u8")
-        winner = uid = count = np.zeros(0, "<i8")
-    member = np.zeros(len(new), bool)
+        blank, winner, uid, count = (np.zeros(0, "<i8") for _ in range(4))
+    parts = [([x.tobytes() for x in np.ascontiguousarray(held)], blank, winner, uid, count)]
     if len(new):
         keys = _keys(new["digest"])
         at = slots(keys, sizes, bits)
         found = np.flatnonzero(at >= 0)
+        member = np.zeros(len(new), bool)
         member[found] = (held[at[found]] == keys[found]).all(axis=1)
-        won, u, n = (new[c].to_numpy("int64", na_value=none) for c in ("winner", "uid", "n"))
+        b, won, u, n = (new[c].to_numpy("int64") for c in ("blank", "winner", "uid", "n"))
         s, m = at[member], np.flatnonzero(member)
         count[s] += n[m]
-        better = (won[m] < winner[s]) | ((won[m] == winner[s]) & (u[m] < uid[s]))
-        winner[s[better]], uid[s[better]] = won[m[better]], u[m[better]]
-    out = pd.DataFrame({"digest": [x.tobytes() for x in np.ascontiguousarray(held)], "keep_id": winner, "keep_uid": uid, "group_size": count})
-    if len(new):
+        # rows without an id come last; then the smaller id, then the row itself
+        lower = (won[m] < winner[s]) | ((won[m] == winner[s]) & (u[m] < uid[s]))
+        better = (b[m] < blank[s]) | ((b[m] == blank[s]) & lower)
+        blank[s[better]], winner[s[better]], uid[s[better]] = b[m][better], won[m][better], u[m][better]
         rest = np.flatnonzero(~member)
-        out = pd.concat([out, pd.DataFrame({"digest": new["digest"].to_numpy()[rest], "keep_id": won[rest], "keep_uid": u[rest], "group_size": n[rest]})])
-    out["keep_id"] = out["keep_id"].astype("Int64").mask(out["keep_id"] == none)
-    return out
+        parts.append((new["digest"].to_numpy()[rest].tolist(), b[rest], won[rest], u[rest], n[rest]))
+    columns = [sum((p[0] for p in parts), []), *(np.concatenate([p[i] for p in parts]) for i in range(1, 5))]
+    return pd.DataFrame(dict(zip(("digest", "blank", "winner", "uid", "n"), columns, strict=True)))
 
 
 def resolve(rows: DataFrame) -> DataFrame:
@@ -129,47 +130,50 @@ def resolve(rows: DataFrame) -> DataFrame:
     Historical digests go into the index; the others are first grouped by digest, so that a text that repeats a
     million times is one lookup. Members take the slot's winner unless theirs is smaller; nonmembers stand alone.
     """
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid"))
-    each = lambda df: df.groupBy("digest").agg(first.alias("f"), F.count("*").alias("n")).select("digest", F.coalesce("f.doc_id", F.lit((1 << 63) - 1)).alias("winner"), F.col("f.uid").alias("uid"), "n")
+    first = F.min(F.struct(F.col("doc_id").isNull().cast("long").alias("z"), F.coalesce("doc_id", F.lit(0)).alias("d"), "uid"))
+    each = lambda df: df.groupBy("digest").agg(first.alias("f"), F.count("*").alias("n")).select("digest", F.col("f.z").alias("blank"), F.col("f.d").alias("winner"), F.col("f.uid").alias("uid"), "n")
     old, new = each(rows.where("historical")), each(rows.where("NOT historical"))
     parts = max(1, math.ceil(rows.count() / PART_KEYS))
     index = cut(build_index(old, parts), "digest-index")
-    return index.groupBy("part").cogroup(new.withColumn("part", _part(parts)).groupBy("part")).applyInPandas(_look_up, RESOLVED)
+    found = index.groupBy("part").cogroup(new.withColumn("part", _part(parts)).groupBy("part")).applyInPandas(_look_up, RESOLVED)
+    return found.select("digest", F.when(F.col("blank") == 0, F.col("winner")).alias("keep_id"), F.col("uid").alias("keep_uid"), F.col("n").alias("group_size"))
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """``docs`` as (uid, doc_id, digest, historical), cut. The half of the doc_id range below its middle counts as the historical corpus."""
-    ends = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
-    middle = 0 if ends.a is None else (ends.a + ends.b) // 2
-    old = F.coalesce(F.col("doc_id") <= middle, F.lit(False))
+def digests(docs: DataFrame, history: Column | None = None) -> DataFrame:
+    """``docs`` as (uid, doc_id, digest, historical), cut. ``history`` tells which rows are the historical corpus; without it, that is the half of the doc_id range below its middle."""
+    if history is None:
+        ends = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
+        history = F.col("doc_id") <= (0 if ends.a is None else (ends.a + ends.b) // 2)
+    old = F.coalesce(history, F.lit(False))
     return cut(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest"), old.alias("historical")), "digests")
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """Of each row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, digest."""
-    rows = digests(docs)
-    return rows.join(resolve(rows), "digest").select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "digest")
+def exact_groups(docs: DataFrame, history: Column | None = None) -> DataFrame:
+    """Of each row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, digest. A text of very many rows is joined apart, so that these do not meet in one task."""
+    rows = digests(docs, history)
+    found = cut(resolve(rows), "digest-found")
+    out = join_spread(rows, found, "digest", F.col("group_size") > HOT_ROWS, found)
+    return out.select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "digest")
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
+def drop_repeats(docs: DataFrame, history: Column | None = None) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all its columns kept.
 
     Only the ids of the rows that go are joined to the texts, so texts are not shuffled while those ids are few
     enough to broadcast (counted first). A doc_id that stays in one row and goes in another, or a null one, is
-    settled on those rows alone.
+    settled on those rows alone, by their digests.
     """
-    found = cut(exact_groups(docs).select("doc_id", "kept"), "exact-groups")
+    found = cut(exact_groups(docs, history).select("doc_id", "kept", "digest"), "exact-groups")
     both = found.groupBy("doc_id").agg(F.sum(F.col("kept").cast("long")).alias("stay"), F.count("*").alias("n"))
     goes = checked_broadcast(cut(both.where("stay = 0 AND doc_id IS NOT NULL").select("doc_id"), "exact-goes"))
     mixed = cut(both.where("stay < n AND (stay > 0 OR doc_id IS NULL)").select("doc_id"), "exact-mixed")
-    out = docs.join(goes, "doc_id", "left_anti")
+    out = docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
     if mixed.limit(1).count():
-        hard = mixed.select(F.col("doc_id").alias("__id"))
-        same = F.col("doc_id").eqNullSafe(F.col("__id"))
-        rows = out.join(hard, same, "left_semi").withColumn("__digest", digest(F.col("text")))
-        keep = exact_groups(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of"))
-        rows = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__of")), "left_semi")
-        out = out.join(hard, same, "left_anti").unionByName(rows.dropDuplicates(["doc_id", "__digest"]).drop("__digest"))
+        id_, own = fresh(docs, "id"), fresh(docs, "digest")
+        hard = mixed.select(F.col("doc_id").alias(id_))
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_))
+        told = out.join(hard, same, "left_semi").withColumn(own, digest(F.col("text")))
+        keep = found.where("kept").select(F.col("doc_id").alias(id_), F.col("digest").alias(f"{own}_of"))
+        told = told.join(keep, same & (F.col(own) == F.col(f"{own}_of")), "left_semi").dropDuplicates(["doc_id", own])
+        out = out.join(hard, same, "left_anti").unionByName(told.drop(own))
     return out
-
-
