@@ -42,3 +42,22 @@ def test_anchors_in_batch(spark):
     rows = spark.createDataFrame([("k", i, float(t)) for i, t in enumerate((1, 5, 12, 12, 30))], "key string, event_id long, at double")
     got = sorted((r.event_id, r.opened) for r in limits.anchors(rows, ["key"], F.lit(10.0)).collect())
     assert got == [(0, 1.0), (1, 1.0), (2, 12.0), (3, 12.0), (4, 30.0)]
+
+
+def test_anchors_keep_fractions_and_agree_with_a_plain_fold(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    rows = [("a", 0, 0.9), ("a", 1, 5.1)] + [(r.choice(["k", "m", None]), i, round(r.uniform(0, 200), 3)) for i in range(2, 400)]
+    df = spark.createDataFrame(rows, "key string, event_id long, at double").repartition(5)
+    got = {x.event_id: x.opened for x in limits.anchors(df, ["key"], F.lit(5.0)).collect()}
+    assert got[0] == got[1] == 0.9
+    want, opened = {}, {}
+    for key, i, at in sorted(rows, key=lambda x: x[2]):
+        if key not in opened or at - opened[key] >= 5:
+            opened[key] = at
+        want[i] = opened[key]
+    assert got == want
+    assert limits.anchors(df.limit(0), ["key"], F.lit(5.0)).count() == 0
