@@ -8,19 +8,27 @@ Besides, the letters of each run of neighbouring words of a document, of REACH l
 without the white space, line ends and marks between and inside the words ("id iot", "i. d. i. o. t.",
 "i---d---i---o---t"); such a run counts if it is on the toxic side. All runs are looked at: sums of the triples'
 weights over a text's letters bound each run's value from above, and the runs whose bound passes are scored.
-Landmarks are units that toxic training documents hold far more often than clean ones; a unit's features are
-its kernels with them, whitened. A sentence's value is that of its highest unit. The machine is trained on
-labelled sentences: all units of clean ones are negative, and of a toxic document's sentences those units
-that score highest are positive, chosen anew in each round (a sentence of a toxic document need not be toxic).
-Pairs and triples of words that are each as frequent in clean documents, but together are not, are units, too,
-and runs of clean documents that come near the toxic side are negative.
+A sentence's value is that of its highest string.
+
+The machine is trained on labelled sentences, each with its document's label, though a sentence of a toxic
+document need not be toxic. The documents are parted in two folds. A sentence
+of one fold's toxic documents counts as toxic only if the other fold, which has not seen its document, gives one of
+its strings (a word, a spelled run, or a phrase) a value that hardly any clean text of its own fold reaches: first
+by a guess (how much more often toxic texts hold the string than clean ones, in standard errors), then by the
+machine trained on the other fold's sentences, which knows strings near to those it was trained on, too.
+These strings, the sentences' witnesses,
+are the landmarks of the Nyström features (whitened kernels with them) and the positive rows; all strings of clean
+sentences are negative, and of these the hardest are chosen anew in each round, with runs of clean documents that
+come near the toxic side. Pairs and triples of words that are each as frequent in clean documents, but together
+are not, are strings, too.
 A document's score is the logistic value of its highest sentence.
 
 As the decision is linear in the triples of a unit, landmarks and machine fold into one weight for each triple.
 
-Defined results: null text counts as empty, and has the least score; without labels of both kinds every score
-is 0.5 and predicted 0; repeated rows score alike. Other columns are never read. Fitting reads at most DOCUMENTS rows of
-each label (a bound on the sample, a parameter of ``fit``); scoring reads every row and every word.
+Defined results: null text counts as empty, and has the least score; without labels of both kinds, or without
+any sentence that tells them apart, every score is 0 and predicted 0; repeated rows score alike. Other columns are
+never read. Fitting reads at most DOCUMENTS rows and BYTES bytes of text of each label (bounds on the sample,
+parameters of ``fit``); scoring reads every row and every word.
 """
 
 from __future__ import annotations
@@ -35,14 +43,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.llm.folds import held_out, labelled
+from logsieve.llm.tokens import release
 
 DOCUMENTS = 2500
+BYTES = 24 << 20
 LANDMARKS = 256
 DECAY, SPAN = 0.7, 7
 #: Longer units are cut into overlapping pieces of this many characters; a unit's value is the highest of its pieces.
 PIECE = 48
-#: Units with their values in the memo of one worker.
-MEMO_UNITS = 600_000
+#: Bytes of the memo of one task, which holds units with their values, as reckoned by 150 bytes for each and its own.
+MEMO_BYTES = 96 << 20
+#: Of a fold's clean texts, the share that may hold a string above a witness.
+RARE = 0.02
+#: Standard errors from which a first guess is taken for more than chance.
+CHANCE = 3.0
 #: Clean units that the machine is first trained on; each round adds a quarter as many of those it scores highest.
 NEGATIVES = 16_000
 #: Letters of a run of words.
@@ -226,9 +240,14 @@ def phrases(texts: list[str], toxic: np.ndarray) -> list[tuple[str, int, int]]:
     return out
 
 
+def pieces(unit: str) -> list[str]:
+    """Overlapping pieces of a long unit."""
+    return [unit[a : a + PIECE] for a in range(0, max(1, len(unit) - SPAN), PIECE - SPAN)]
+
+
 def sentence_units(text: str) -> list[list[str]]:
-    """Units of each sentence."""
-    return [u for s in _SENTENCE.split(text) if s and (u := s.lower().split() + [x.lower() for x in spelled(s)])]
+    """Units of each sentence, long ones in pieces."""
+    return [[x for w in u for x in pieces(w)] for s in _SENTENCE.split(text) if s and (u := s.lower().split() + [x.lower() for x in spelled(s)])]
 
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0, steps: int = 12) -> tuple[np.ndarray, float]:
@@ -259,7 +278,7 @@ def _features(units: list[str], columns: np.ndarray, white: np.ndarray) -> np.nd
 
 def _dense(units: list[str], columns: np.ndarray) -> np.ndarray:
     """Triples of units, of those in ``columns`` (sorted)."""
-    s, w = _merged(*triples([u[:PIECE].lower() for u in units]))
+    s, w = _merged(*triples(units))
     out = np.zeros((len(units), len(columns) + 1))
     at = np.searchsorted(columns, s)
     at = np.where((at < len(columns)) & (columns[np.minimum(at, len(columns) - 1)] == s), at, len(columns))
@@ -267,67 +286,110 @@ def _dense(units: list[str], columns: np.ndarray) -> np.ndarray:
     return out[:, :-1]
 
 
-def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 3, seed: int = 0) -> Model:
-    """A model from labelled texts."""
-    if not len(toxic) or toxic.min() == toxic.max():
-        return Model()
-    number: dict[str, int] = {}
-    ids, bag_ids = [], []
-    for text, bad_ in zip(texts, toxic, strict=True):
-        bag = [np.unique(np.array([number.setdefault(u, len(number)) for u in s], np.int32)) for s in sentence_units(text)]
-        ids.append(np.unique(np.concatenate([np.zeros(0, np.int32), *bag])))
-        if bad_:
-            bag_ids.append(bag)
-    extra = [x for x in phrases(texts, toxic) if x[0] not in number]
-    extra = list({x[0]: x for x in extra}.values())
-    units = [*number, *(x[0] for x in extra)]
-    number.update((u, i) for i, u in enumerate(units))
-    count = lambda mine: np.bincount(np.concatenate([np.zeros(0, np.int32), *(ids[i] for i in mine)]), minlength=len(units))
-    bad, good = np.flatnonzero(toxic == 1), np.flatnonzero(toxic == 0)
-    p, n = count(bad), count(good)
-    p[len(units) - len(extra) :], n[len(units) - len(extra) :] = [x[1] for x in extra], [x[2] for x in extra]
-    # how many standard errors a unit is more frequent in toxic documents; chance finds are many among rare units
-    even = n * len(bad) / len(good)
-    excess = (p - even) / np.sqrt(np.maximum(1, p + even))
-    spellable = np.array([sum(map(str.isalpha, u)) >= 3 for u in units])
-    order = np.argsort(-excess, kind="stable")
-    found = [i for i in order[: landmarks * 8] if spellable[i] and p[i] >= min(2, len(bad)) and excess[i] > 2]
-    marks = [units[i] for i in found if excess[i] > 3][:landmarks]
-    if len(marks) < 3:
-        marks = [units[i] for i in found][:landmarks]
-    if not marks:
+class _Sample:
+    """Strings of labelled texts: their numbers in each text, and in each sentence of toxic texts."""
+
+    def __init__(self, texts: list[str], toxic: np.ndarray):
+        self.texts, self.toxic = texts, toxic
+        self.number: dict[str, int] = {}
+        extra = list(dict.fromkeys(x[0] for x in phrases(texts, toxic)))
+        self.ids, self.bags = [], []
+        for text, bad in zip(texts, toxic, strict=True):
+            bag = [np.unique(np.array([self.number.setdefault(u, len(self.number)) for u in s], np.int32)) for s in sentence_units(text)]
+            self.ids.append(np.unique(np.concatenate([np.zeros(0, np.int32), *bag])))
+            self.bags.append(bag if bad else [])
+        for x in extra:
+            self.number.setdefault(x, len(self.number))
+        # a phrase is a string of each sentence that holds it
+        numbers = np.array([self.number[x] for x in extra], np.int32)
+        for i, text in enumerate(texts) if extra else ():
+            whole = letters(text)
+            if any(x in whole for x in extra):
+                held = np.array([x in whole for x in extra])
+                self.ids[i] = np.union1d(self.ids[i], numbers[held])
+                if self.bags[i]:
+                    self.bags[i].append(numbers[held])
+        self.units = list(self.number)
+        # half of the texts of each label are of either fold
+        self.fold = np.zeros(len(texts), np.int64)
+        for label in (0, 1):
+            mine = np.flatnonzero(toxic == label)
+            self.fold[np.random.default_rng(label).permutation(mine)] = np.arange(len(mine)) % 2
+
+    def clean(self, folds: tuple[int, ...]) -> np.ndarray:
+        """Strings of clean texts of the folds."""
+        mine = np.flatnonzero((self.toxic == 0) & np.isin(self.fold, folds))
+        return np.unique(np.concatenate([np.zeros(0, np.int32), *(self.ids[i] for i in mine)]))
+
+    def guess(self, fold: int) -> np.ndarray:
+        """How much more often toxic texts of a fold hold each string than clean ones, in standard errors; chance finds nearly as many among rare strings."""
+        mine = lambda label: [self.ids[i] for i in np.flatnonzero((self.toxic == label) & (self.fold == fold))]
+        p, n = (np.bincount(np.concatenate([np.zeros(0, np.int32), *mine(label)]), minlength=len(self.units)) for label in (1, 0))
+        ratio = len(mine(1)) / max(1, len(mine(0)))
+        return (p - n * ratio) / np.sqrt(p + n * ratio**2 + 1)
+
+    def values(self, model: Model) -> np.ndarray:
+        return model.units(self.units)
+
+    def witnesses(self, fold: int, value: np.ndarray, least: float) -> np.ndarray:
+        """Of the sentences of a fold's toxic texts, the strings of highest value, one for each sentence, if that is above ``least`` and what nearly all clean texts of the fold hold."""
+        bags = [b for i in np.flatnonzero((self.toxic == 1) & (self.fold == fold)) for b in self.bags[i] if len(b)]
+        calm = [value[self.ids[i]].max() for i in np.flatnonzero((self.toxic == 0) & (self.fold == fold)) if len(self.ids[i])]
+        bar = max(least, float(np.quantile(calm, 1 - RARE)) if calm else least)
+        tops = np.array([b[np.argmax(value[b])] for b in bags], np.int64)
+        return tops[value[tops] > bar] if len(tops) else tops
+
+
+def _machine(sample: _Sample, found: np.ndarray, folds: tuple[int, ...], landmarks: int, rounds: int, r: np.random.Generator) -> Model:
+    """The machine on witnesses against strings of clean sentences, over Nyström features; no weights where there is no witness."""
+    chosen, held = np.unique(found, return_counts=True)
+    strong = np.argsort(-held, kind="stable")
+    keep = [i for i in strong if len(letters(sample.units[chosen[i]])) >= 3]
+    if not keep:
         return Model()
-    r = np.random.default_rng(seed)
-    columns = np.unique(_merged(*triples([m[:PIECE] for m in marks]))[0])
+    chosen, held = chosen[keep], held[keep]
+    marks = [sample.units[i] for i in chosen[:landmarks]]
+    columns = np.unique(_merged(*triples(marks))[0])
     base = _dense(marks, columns)
     values, vectors = np.linalg.eigh(base @ base.T)
-    keep = values > 1e-3 * values.max()
-    white = base.T @ (vectors[:, keep] / np.sqrt(values[keep]))  # from triples to whitened kernels with the landmarks
-    clean = np.flatnonzero(n > 0)
+    wide = values > 1e-3 * values.max()
+    white = base.T @ (vectors[:, wide] / np.sqrt(values[wide]))  # from triples to whitened kernels with the landmarks
+    clean = np.setdiff1d(sample.clean(folds), chosen)
     hard = r.permutation(clean)[:NEGATIVES]
-    best = np.where((p > 0) & spellable, excess, -np.inf)
-    strong = np.flatnonzero(spellable & (excess > 5))
-    least = 3.0
-    calm, near = _words(pa.array([texts[i] for i in good], pa.large_string())), []
-    for _ in range(rounds):
-        tops = np.array([s[np.argmax(best[s])] for sentences in bag_ids for s in sentences], np.int64)
-        chosen = np.union1d(strong, tops[(best[tops] > least) & (excess[tops] > 1)])
-        if not len(chosen):
-            chosen = np.array([number[m] for m in marks], np.int64)
-        zp, zn = (_features(x, columns, white) for x in ([units[i] for i in chosen], [*(units[i] for i in hard), *near]))
-        wp, wn = np.minimum(p[chosen], 200.0), np.full(len(zn), 1.0)
+    calm = [t for t, y, f in zip(sample.texts, sample.toxic, sample.fold, strict=True) if y == 0 and f in folds]
+    words, near = _words(pa.array(calm, pa.large_string())), []
+    zp, wp = _features([sample.units[i] for i in chosen], columns, white), np.minimum(held, 200.0)
+    for i in range(rounds):
+        zn = _features([*(sample.units[i] for i in hard), *near], columns, white)
         y = np.concatenate([np.ones(len(zp)), -np.ones(len(zn))])
-        weights, bias = _svm(np.concatenate([zp, zn]), y, np.concatenate([wp / wp.mean(), wn]))
+        weights, bias = _svm(np.concatenate([zp, zn]), y, np.concatenate([wp / wp.mean(), np.ones(len(zn))]))
         model = Model(_fold(columns, white @ weights), bias)
-        every = model.units(units)
-        best, least = np.where(p > 0, every, -np.inf), 0.0
-        # the clean units that come nearest to the toxic side join the negative ones
-        worst = clean[np.argsort(-every[clean], kind="stable")[: NEGATIVES // 4]]
-        hard = np.union1d(hard, worst)
-        found = sorted({x for x in model.runs(*calm, np.full(len(good), -0.5))[1] if x not in number})
-        found = [found[i] for i in np.argsort(-model.units(found), kind="stable")[: NEGATIVES // 4]]
-        near = sorted({*near, *found})
-    top = np.array([every[i].max() if len(i) else -1.5 for i in ids])
+        if i + 1 == rounds:
+            break
+        # the clean strings that come nearest to the toxic side join the negative ones
+        every = model.units([sample.units[i] for i in clean])
+        hard = np.union1d(hard, clean[np.argsort(-every, kind="stable")[: NEGATIVES // 4]])
+        runs = sorted({x for x in model.runs(*words, np.full(len(calm), -0.5))[1] if x not in sample.number})
+        runs = [runs[i] for i in np.argsort(-model.units(runs), kind="stable")[: NEGATIVES // 4]]
+        near = sorted({*near, *runs})
+    return model
+
+
+def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 3, seed: int = 0) -> Model:
+    """A model from labelled texts."""
+    if not len(toxic) or toxic.min() == toxic.max():
+        return Model()
+    sample, r = _Sample(texts, toxic), np.random.default_rng(seed)
+    # a fold's sentences are judged by what the other fold teaches: first by a guess, then by the machine trained on it
+    found = [sample.witnesses(f, sample.guess(1 - f), CHANCE) for f in (0, 1)]
+    models = [_machine(sample, found[f], (f,), landmarks, 1, r) for f in (0, 1)]
+    if all(m.weights is not None for m in models):
+        found += [sample.witnesses(f, sample.values(models[1 - f]), 0.0) for f in (0, 1)]
+    model = _machine(sample, np.concatenate(found), (0, 1), landmarks, rounds, r)
+    if model.weights is None:
+        return model
+    every = model.units(sample.units)
+    top = np.array([every[i].max() if len(i) else -1.5 for i in sample.ids])
     model.slope, model.place = _logistic(top, toxic)
     return model
 
@@ -352,17 +414,23 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class Scorer:
-    """Highest unit of each text of a batch; a worker's memo keeps units' values."""
+    """Highest unit of each text of a batch; a task's memo keeps units' values."""
 
     def __init__(self, model: Model):
-        self.model, self.memo = model, {}
+        self.model, self.memo, self.held = model, {}, 0
 
     def _values(self, units: list[str]) -> np.ndarray:
-        if len(self.memo) > MEMO_UNITS:
-            self.memo = {}
-        if new := [u for u in units if u not in self.memo]:
-            self.memo.update(zip(new, self.model.units(new).tolist(), strict=True))
-        return np.fromiter(map(self.memo.__getitem__, units), float, len(units))
+        if self.held > MEMO_BYTES:
+            self.memo, self.held = {}, 0
+        new = [u for u in units if u not in self.memo]
+        memo = self.memo
+        memo.update(zip(new, self.model.units(new).tolist(), strict=True))
+        out = np.fromiter(map(memo.__getitem__, units), float, len(units))
+        self.held += sum(map(len, new)) + 150 * len(new)
+        for u in new:
+            if len(u) > 4 * PIECE and memo.pop(u, None) is not None:
+                self.held -= len(u) + 150
+        return out
 
     def tops(self, texts: pa.Array) -> np.ndarray:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -391,24 +459,34 @@ class Scorer:
         return np.where(np.isfinite(out), out, -1.5)
 
 
-def fit(docs: DataFrame, labels: DataFrame, documents: int = DOCUMENTS) -> Model:
-    """A model from at most ``documents`` training rows of each label of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
-    chosen = labelled(labels, "toxic", documents)
-    rows = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    found = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").toPandas().sort_values(["doc_id", "text"])
-    return train(found["text"].tolist(), found["label"].to_numpy())
+def fit(docs: DataFrame, labels: DataFrame, documents: int = DOCUMENTS, most: int = BYTES) -> Model:
+    """A model from training rows of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic): at most ``documents`` rows and ``most`` bytes of text of each label, in the order of a hash."""
+    chosen = F.broadcast(labelled(labels, "toxic", documents))
+    rows = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
+    rows = rows.withColumn("lot", F.xxhash64("doc_id", "text"))
+    # which rows fit is settled on their sizes, before any text is fetched
+    taken: dict[int, int] = {}
+    for label in (0, 1):
+        sizes = rows.where(F.col("label") == label).select("lot", F.octet_length("text").alias("n")).distinct().orderBy("lot").limit(documents).collect()
+        total = np.cumsum([r.n for r in sizes])
+        taken |= {r.lot: label for r, n in zip(sizes, total, strict=True) if n <= most}
+    wanted = docs.sparkSession.createDataFrame([(k,) for k in taken] or [(0,)], "lot long")
+    found = rows.join(F.broadcast(wanted), "lot").dropDuplicates(["lot"]).select("doc_id", "text", "label").toPandas().sort_values(["doc_id", "text"])
+    return train(found["text"].tolist(), found["label"].to_numpy()) if taken else Model()
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """``docs`` with score double and predicted int; columns of those names are replaced, all others kept."""
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     if model.weights is None:
-        return docs.select(*kept, F.lit(0.5).alias("score"), F.lit(0).alias("predicted"))
+        return docs.select(*kept, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(scorer.tops(b.column("text"))))], [*b.schema.names, "score"])
+        scorer.memo = {}
+        release()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
     out = docs.select(*kept).mapInArrow(run, f"{schema}, score double")
