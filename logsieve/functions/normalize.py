@@ -105,7 +105,10 @@ def drop_timestamp(line: Column, longer: int) -> Column:
 
 def generic(line: Column) -> Column:
     """Times, ids, addresses, durations and long numbers replaced; white space collapsed."""
-    return t.collapse(_steps(t.trim(line), GENERIC))
+    x = t.trim(line)
+    # the first step has nothing to do where no escape character is
+    x = F.when(x.contains("\x1b"), t.replace(x, *GENERIC[0])).otherwise(x)
+    return t.collapse(_steps(x, GENERIC[1:]))
 
 
 def nginx_error(line: Column) -> Column:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Unicode white space, as trimming and splitting into fields take it.
 BLANKS = "\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+#: The same characters one by one.
+BLANK_CHARS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _WORD = "[0-9A-Za-z_]"
 _EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 #: What surely begins, or ends, with a letter of a word: a boundary next to it is one look to the other side.
@@ -73,7 +75,7 @@ def extract(c: Column, pattern: str, group: int) -> Column:
 
 def trim(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, f"^[{BLANKS}]+|[{BLANKS}]+\\z", "")
+    return F.btrim(c, F.lit(BLANK_CHARS))
 
 
 def collapse(c: Column) -> Column:

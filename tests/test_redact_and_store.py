@@ -47,9 +47,9 @@ def test_disclosure_is_never_suppressed_and_one_answer_serves_a_group(spark):
     assert calls == [2] and got[1][0] == "alert" and got[2] == ("allow", "llm", True) and got[3] == ("allow", "llm", False)
 
 
-def test_resolution_by_trust(spark):
+def test_a_resolved_finding_stays_whoever_resolves_it_again(spark):
     f = spark.createDataFrame([(1, "a", "alert", "resolved", "evidence"), (2, "b", "alert", None, None)], "id long, event_id string, verdict string, resolution_status string, resolution_method string")
     change = lambda m: spark.createDataFrame([("a", "resolved", m, "recon"), ("b", "resolved", m, "")], "event_id string, new_status string, new_method string, new_verdict string")
     rows = lambda m: [(r.verdict, r.resolution_method) for r in store.resolve(f, change(m)).orderBy("id").collect()]
-    assert rows("status_only") == [("alert", "evidence"), ("alert", "status_only")]
-    assert rows("human_review") == [("recon", "human_review"), ("alert", "human_review")]
+    assert rows("rec_evidence") == [("alert", "evidence"), ("alert", "rec_evidence")]
+    assert rows("human_review") == [("alert", "evidence"), ("alert", "human_review")]
