@@ -18,28 +18,28 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject; null texts are judged as empty ones. Without labels of good documents all stay."""
     model, _ = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs.select(*COLUMNS), model, QUALITY).where("predicted = 1").select(*COLUMNS)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts, that with the smallest doc_id (rows without one come last); null texts count as empty."""
     return dedup.drop_repeats(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of links between sets of five-word shingles with a Jaccard of 0.8 or more."""
+    """One document of each component of links between sets of five-word shingles with a Jaccard of 0.8 or more; texts without words stay."""
     return ngram_join.keep_one(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that sources have tempered weights, shuffled; a document may come several times."""
+    """Documents repeated or left out so that sources have tempered weights, shuffled; a document may come several times, and a null source is one of its own."""
     return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their sequences and offsets."""
+    """Pieces of all documents with their sequences and offsets; an empty or null text is one piece. Rows that repeat are packed each."""
     pieces = packing.token_pieces(docs)
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 

@@ -63,3 +63,20 @@ def test_each_operator_has_one_query():
     names = sorted(registry.queries(), key=lambda n: int(n[2:].split("_")[0]))
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
     assert set(registry.oracle_sql()) <= set(names)
+
+
+def test_stages_stand_nulls_long_texts_and_extra_columns(spark, documents, empty):
+    from pyspark.sql import functions as F
+
+    docs = documents.withColumns({"n_chars": F.length("text"), "__id": F.lit(1), "component": F.lit("x")})
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = corpus_pipeline.cut(stage(spark, docs, SF), "edge")
+        assert out.columns == corpus_pipeline.COLUMNS, name
+        assert stage(spark, empty, SF).count() == 0, name
+    ids = lambda i: sorted(str(r.doc_id) for r in corpus_pipeline.STAGES[i][1](spark, docs, SF).collect())
+    # equal texts: 1 and 3, the two rows of 8, and null and empty ones (4, 5 and a row without an id); white space is not empty
+    assert ids(1) == sorted(["1", "2", "4", "6", "7", "8", "9", "10", "None"])
+    # near copies: 1, 2, 3 lower-cased, and ONE with one; texts without words stay
+    assert ids(2) == sorted(["1", "4", "5", "6", "7", "8", "10", "None", "None"])
+    pieces = corpus_pipeline.STAGES[4][1](spark, docs, SF)
+    assert pieces.where("piece = 0").count() == docs.count() and corpus_pipeline.STAGES[4][1](spark, empty, SF).count() == 0
