@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsieve.llm import dedup, merkle, mixing, ngram_join, packing, quality, rans, sharding, toxicity, warc
+from logsieve.llm import dedup, merkle, minhash, mining, mixing, ngram_join, packing, quality, rans, sharding, toxicity, warc, whitening
 from logsieve.llm.common import checkpoint_dir
 from logsieve.llm.folds import held_out
 
@@ -95,6 +95,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of links between sets of two-word shingles with a Jaccard of 0.8 or more."""
+    return minhash.near_groups(_documents(spark, sf_dir), 2, 80, 100)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, after a seventh of the labels moved on by one."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mining.hard_negatives(rows.select("vec_id", moved.alias("label"), "embedding"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first four whitened components, with its exact deviation from the mean."""
+    found = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 SQL = {
     "op1_mixing": r"""
 WITH src AS (SELECT coalesce(source, '') AS s, count(*) AS n, pow(count(*)::DOUBLE, 0.7) AS w FROM documents GROUP BY 1),
@@ -137,5 +155,14 @@ SELECT e.doc_id, length(e.text) AS n_chars, sha256(e.edited) AS edited_sha256, a
   CASE WHEN a.root = b.root THEN 1.0::DOUBLE ELSE len(list_intersect(a.leaves, b.leaves)) * 2.0::DOUBLE / (len(a.leaves) + len(b.leaves)) END AS near_edited,
   CASE WHEN a.root = c.root THEN 1.0::DOUBLE ELSE len(list_intersect(a.leaves, c.leaves)) * 2.0::DOUBLE / (len(a.leaves) + len(c.leaves)) END AS near_next
 FROM e JOIN fp a ON a.doc_id = e.doc_id AND a.k = 0 JOIN fp b ON b.doc_id = e.doc_id AND b.k = 1 JOIN fp c ON c.doc_id = e.doc_id AND c.k = 2
+""",
+    "op12_hard_negatives": r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id, v.label = a.label AS same, list_inner_product(a.x, v.x)::BIGINT AS score FROM v a JOIN v ON v.vec_id <> a.vec_id AND len(v.x) = len(a.x) WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER w::INT AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) QUALIFY row_number() OVER w <= 3
 """,
 }
