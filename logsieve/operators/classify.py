@@ -113,10 +113,11 @@ def learned(classified: DataFrame) -> DataFrame:
 def routed(classified: DataFrame) -> DataFrame:
     """``classified`` with route and notify: what becomes of each event.
 
-    none: allowed, suppressed or unknown; policy: a finding by policy; recon_status: the server turned the request
-    away; edge_inferred: a bare address that answered 200; coordinator: wait for the response; finding: at once.
-    ``http_path`` is the request's own path where the raw line shows it, ``key_path`` the normalised one, by which
-    the events of one request are joined; method and status are the raw line's where it has them.
+    none: allowed, suppressed or unknown; policy: a finding by policy; recon: the classifier saw that the attempt
+    failed; recon_status: the server turned the request away; edge_inferred: a bare address that answered 200;
+    coordinator: wait for the response; finding: at once. ``http_path`` is the request's own path where the raw line
+    shows it, ``key_path`` the normalised one, by which the events of one request are joined; method and status are
+    the raw line's where it has them.
     """
     out = http.with_identity(http.with_identity(classified, "line", "_raw", http.RAW_SHAPES), "normalized", "_norm")
     raw, norm = F.col("_raw"), F.col("_norm")
@@ -127,10 +128,23 @@ def routed(classified: DataFrame) -> DataFrame:
     }).drop("_raw", "_norm")
     is_http = F.col("http_method") != ""
     route = (
-        F.when(~F.col("verdict").isin("alert", "malicious"), "none").when(F.col("via") == "policy", "policy")
+        F.when(~F.col("verdict").isin("alert", "malicious"), "none").when(F.col("via") == "policy", "policy").when(F.coalesce("classification", F.lit("")) == "recon_failed", "recon")
         .when((F.col("via") != "llm") & is_http & http.rejects(F.col("http_status")), "recon_status")
         .when(is_http & http.bare_ip(F.col("http_host")) & (F.col("http_status") == 200), "edge_inferred")
         .when(is_http, "coordinator").otherwise("finding")
     )
     notify = F.when(F.col("via") == "policy", F.col("verdict") == "malicious").otherwise((F.col("route") == "finding") & (F.col("verdict") == "malicious"))
     return out.withColumn("route", route).withColumn("notify", notify)
+
+
+def recon_findings(rows: DataFrame) -> DataFrame:
+    """Findings of verdict ``recon`` for rows of ``routed`` whose route is recon, recon_status or edge_inferred: classification, reason, downgraded, resolution and the verdict before."""
+    rows = rows.where(F.col("route").isin("recon", "recon_status", "edge_inferred"))
+    plain, status = F.col("route") == "recon", F.col("route") == "recon_status"
+    why = F.when(status, F.format_string("Known attack pattern (via:%s) rejected by server - HTTP %d confirms failure", F.col("via"), F.col("http_status")))
+    why = why.when(~plain, F.format_string("Attack probe hit bare-IP default server (%s) - HTTP 200 is the default page, no backend application involved", F.col("http_host")))
+    return rows.select(
+        "event_id", F.lit("recon").alias("verdict"), F.when(plain, F.col("classification")).when(status, "recon_failed_status").otherwise("edge_inferred").alias("classification"), F.when(plain, F.col("reason")).otherwise(why).alias("reason"),
+        "http_method", "http_path", "http_status", (~plain).alias("downgraded"), F.when(plain, "").otherwise(why).alias("downgrade_reason"), F.when(plain, "").otherwise("resolved").alias("resolution_status"),
+        F.when(plain, "").when(status, "status_only").otherwise("bare_ip_default_server").alias("resolution_method"), F.when(plain, "").otherwise(F.col("verdict")).alias("previous_verdict"), F.lit(False).alias("notify"),
+    )

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsieve.functions import alerts, answers, redact
+from logsieve.functions import alerts, answers, http, redact
 from logsieve.functions import normalize as n
 from logsieve.functions import text as t
-from logsieve.operators import evidence, investigate, patterns, policy, reviews, store
-from logsieve.plans.lines import LINES
+from logsieve.operators import classify, evidence, investigate, patterns, policy, reviews, store
+from logsieve.plans.lines import LINES, with_norm
 from logsieve.sources import journal
 from logsieve.sources.log_lines import log_lines
-from logsieve.sources.tables import spread
+from logsieve.sources.tables import cut, spread
 
 _NL = "chr(10)"
 # Templates for both engines: @lines are the log lines, @sha(x@) is SHA-256 in hexadecimal, @sec(x) an interval of x seconds.
@@ -32,7 +32,7 @@ SELECT event_id, ts, CASE WHEN event_id % 10 = 9 THEN '' ELSE method END AS meth
 FROM @lines WHERE k < 8 AND event_id % 3 <> 1
 """
 _FINDINGS = """
-SELECT event_id AS id, concat('evt_', CAST(event_id % 2000 AS STRING)) AS event_id, ts, source_type, source_name, ip AS source_ip, CASE WHEN event_id % 7 = 0 THEN '' ELSE concat('h', CAST(event_id % 4 AS STRING)) END AS dest_host,
+SELECT event_id AS id, concat('evt_', CAST(event_id - event_id % 3 AS STRING)) AS event_id, ts, source_type, source_name, ip AS source_ip, CASE WHEN event_id % 7 = 0 THEN '' ELSE concat('h', CAST(event_id % 4 AS STRING)) END AS dest_host,
   CASE WHEN k < 9 THEN method ELSE '' END AS http_method, CASE WHEN k < 9 THEN concat(path, '?a=1') ELSE '' END AS http_path, status AS http_status, bytes AS response_bytes,
   CASE event_id % 5 WHEN 0 THEN 'malicious' WHEN 1 THEN 'alert' WHEN 2 THEN 'recon' WHEN 3 THEN 'allow' ELSE 'suppress' END AS verdict, CASE WHEN event_id % 6 = 1 THEN '' ELSE @sha(line@) END AS normalized_hash,
   CASE WHEN event_id % 3 = 0 THEN concat('p', CAST(event_id % 11 AS STRING)) ELSE '' END AS matched_pattern_value, CASE WHEN event_id % 3 = 0 THEN 'allow' ELSE '' END AS matched_pattern_bucket, CASE WHEN event_id % 9 = 0 THEN 'docker:other' ELSE '' END AS matched_pattern_scope,
@@ -41,7 +41,7 @@ SELECT event_id AS id, concat('evt_', CAST(event_id % 2000 AS STRING)) AS event_
 FROM @lines
 """
 _DECISIONS = """
-SELECT event_id * 3 AS id, concat('evt_', CAST(event_id % 3000 AS STRING)) AS event_id, ts, CASE WHEN event_id % 2 = 0 THEN 'T1' ELSE 'reclassify' END AS tier, concat(source_type, ':', source_name) AS source_scope,
+SELECT event_id * 3 AS id, concat('evt_', CAST(event_id - event_id % 6 AS STRING)) AS event_id, ts, CASE WHEN event_id % 2 = 0 THEN 'T1' ELSE 'reclassify' END AS tier, concat(source_type, ':', source_name) AS source_scope,
   @sha(concat(line, 'd')@) AS normalized_hash, @sha(concat('e', CAST(event_id % 5 AS STRING))@) AS evidence_hash, CASE WHEN event_id % 5 = 0 THEN 0 ELSE status END AS evidence_status, CASE WHEN event_id % 3 = 0 THEN 'odd' ELSE @sha(concat('c', CAST(event_id % 7 AS STRING))@) END AS cache_key,
   'allow' AS action, event_id % 5 < 2 AS pattern_learned, concat('q', CAST(event_id % 6 AS STRING)) AS pattern_value, CASE WHEN event_id % 2 = 0 THEN '' ELSE 'suppress' END AS pattern_bucket,
   CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'confirmed' ELSE NULL END AS review_status, '' AS review_verdict, '' AS review_reason, event_id % 50 = 0 AS pattern_deleted
@@ -49,18 +49,29 @@ FROM @lines
 """
 _CORRECTIONS = """
 SELECT concat('evt_', CAST(event_id AS STRING)) AS event_id, CASE event_id % 11 % 4 WHEN 0 THEN 'noise' WHEN 1 THEN 'failed_probe' WHEN 2 THEN 'expected_endpoint' ELSE 'confirm' END AS kind,
-  CASE WHEN event_id % 3 = 0 THEN 'allow' WHEN event_id % 3 = 1 THEN 'suppress' ELSE 'alert' END AS target, CASE WHEN event_id % 5 = 0 THEN '' ELSE concat('r', CAST(event_id % 10 AS STRING)) END AS reason, ts AS at
-FROM @lines WHERE event_id < 2000
+  CASE WHEN event_id % 4 = 0 THEN 'allow' WHEN event_id % 4 = 1 THEN 'suppress' ELSE 'alert' END AS target, CASE WHEN event_id % 5 = 0 THEN '' ELSE concat('r', CAST(event_id % 10 AS STRING)) END AS reason, ts AS at
+FROM @lines WHERE event_id % 3 = 0
 """
 _RULES = """
 SELECT DISTINCT concat('h', CAST(event_id % 4 AS STRING)) AS host, method AS http_method, status AS http_status, @sha(concat(CAST(event_id % 4 AS STRING), CAST(status AS STRING))@) AS body_preview_hash,
-  CASE WHEN status = 403 THEN 'rejected' ELSE 'verified' END AS verdict, 'same page' AS reason, CAST(300 + event_id % 4 * 500 AS BIGINT) AS response_bytes, CAST(5 + event_id % 4 AS BIGINT) AS paths
+  CASE WHEN status = 403 THEN 'rejected' WHEN event_id % 4 = 1 THEN 'benign' ELSE 'verified' END AS verdict, 'same page' AS reason, CAST(300 + event_id % 4 * 500 AS BIGINT) AS response_bytes, CAST(5 + event_id % 4 AS BIGINT) AS paths
 FROM @lines WHERE k < 8
 """
+# pages of three hosts that a decision may meet
+_PAGES = f"""
+SELECT DISTINCT concat('h', CAST(event_id % 4 AS STRING)) AS host, method AS http_method, status AS http_status, @sha(concat({_BODY}, CAST(status AS STRING))@) AS body_preview_hash,
+  CASE WHEN status = 401 THEN 'rejected' WHEN event_id % 4 = 1 THEN 'benign' ELSE 'verified' END AS verdict, 'same page' AS reason, CAST(300 + event_id % 4 * 500 AS BIGINT) AS response_bytes, CAST(5 + event_id % 4 AS BIGINT) AS paths
+FROM @lines WHERE k < 8 AND event_id % 4 < 3 AND event_id % 5 IN (1, 2, 3)
+"""
+_CHECKED = """
+SELECT event_id, TIMESTAMP '2024-01-01 00:00:00' + @sec((event_id - event_id % 256) / 256) AS ts, concat('x', line, CASE WHEN event_id % 3 = 0 THEN concat('/v', token, 'f') ELSE '' END) AS line, token, TIMESTAMP '2024-01-01 00:00:00' + @sec((event_id - event_id % 256) / 256 - event_id % 13) AS minted
+FROM (SELECT *, concat('OV-', substr(@sha(concat('t', CAST(event_id - event_id % 12 AS STRING))@), 1, 32)) AS token FROM @lines) x
+"""
 _ENTRIES = """
-SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'no json' WHEN 1 THEN concat('{"MESSAGE":"","_COMM":"c', CAST(event_id AS STRING), '"}') WHEN 2 THEN concat('{"MESSAGE":"m', CAST(event_id AS STRING), '","_SYSTEMD_UNIT":"cron.service"}')
-  WHEN 3 THEN concat('{"MESSAGE":"m', CAST(event_id AS STRING), '","_COMM":"bash","_UID":"0"}') WHEN 4 THEN concat('{"MESSAGE":"m', CAST(event_id AS STRING), '","_SYSTEMD_UNIT":"own.service"}')
-  ELSE concat('{"MESSAGE":"m', CAST(event_id AS STRING), '","SYSLOG_IDENTIFIER":"sshd","_COMM":"x","_SYSTEMD_UNIT":"ssh.service","PRIORITY":"6","_TRANSPORT":"syslog","__REALTIME_TIMESTAMP":"', CAST(1700000000000000 + event_id AS STRING), '"}') END AS value
+SELECT event_id, CASE event_id % 13 WHEN 0 THEN 'no json' WHEN 1 THEN concat('{"MESSAGE":"","_COMM":"c', CAST(event_id AS STRING), '"}') WHEN 2 THEN concat('{"MESSAGE":"m', CAST(event_id AS STRING), '","_SYSTEMD_UNIT":"cron.service"}')
+  WHEN 3 THEN concat('{"MESSAGE":"m', CAST(event_id AS STRING), '","_COMM":"bash","_UID":"0","PRIORITY":null}') WHEN 4 THEN concat('{"MESSAGE":"m', CAST(event_id AS STRING), '","_SYSTEMD_UNIT":"own.service"}')
+  WHEN 5 THEN '{"MESSAGE":[104,105],"_COMM":"x"}' WHEN 6 THEN concat('{"MESSAGE":"m', CAST(event_id AS STRING), '","PRIORITY":6}') WHEN 7 THEN concat('{"MESSAGE":"m', CAST(event_id AS STRING), '","_COMM":"x"') WHEN 8 THEN '[{"MESSAGE":"m"}]' WHEN 9 THEN '{"MESSAGE":"m","_UID":{"a":"b"}}'
+  ELSE concat('{"MESSAGE":"m', CAST(event_id AS STRING), '","SYSLOG_IDENTIFIER":"sshd","_COMM":"x","_SYSTEMD_UNIT":"ssh.service","PRIORITY":"6","_TRANSPORT":"syslog","OTHER":[1],"__REALTIME_TIMESTAMP":"', CAST(1700000000000000 + event_id AS STRING), '"}') END AS value
 FROM @lines
 """
 _POLICY = """
@@ -144,8 +155,8 @@ def pattern_faults(spark, sf_dir):
 
 
 def _store_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = log_lines(spark, sf_dir).where("event_id < 3000")
-    return rows.select(F.concat(F.lit("s"), F.col("event_id") % 5).alias("scope"), F.when(F.col("event_id") % 2 == 0, "allow").otherwise("alert").alias("bucket"), F.lit("hash").alias("tier"), F.concat(F.lit("v"), F.col("event_id") % 40).alias("value"), F.lit("llm").alias("source"), F.lit("").alias("reason"), F.lit(False).alias("revoked"), F.col("event_id").cast("long").alias("ord"))
+    rows = log_lines(spark, sf_dir).where("event_id % 3 = 0")
+    return rows.select(F.concat(F.lit("s"), F.col("event_id") % 5).alias("scope"), F.when(F.col("event_id") % 2 == 0, "allow").otherwise("alert").alias("bucket"), F.lit("hash").alias("tier"), F.concat(F.lit("v"), F.col("event_id") % 1009).alias("value"), F.lit("llm").alias("source"), F.lit("").alias("reason"), F.lit(False).alias("revoked"), F.col("event_id").cast("long").alias("ord"))
 
 
 def pattern_changes(spark, sf_dir):
@@ -196,7 +207,7 @@ def verified_catch_alls(spark, sf_dir):
 
 
 def catch_all_fallback(spark, sf_dir):
-    """Alerts without a captured response whose length is that of a known catch-all page."""
+    """Alerts without a captured response whose length is that of a known catch-all page, and why."""
     return investigate.catch_all_by_bytes(_table(spark, sf_dir, _ALERTS), _table(spark, sf_dir, _RULES)).select("event_id", "by_bytes")
 
 
@@ -211,7 +222,7 @@ def _cache(spark: SparkSession) -> DataFrame:
 
 
 def _evidence_decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return investigate.decisions(_evidence(spark, sf_dir), _endpoints(spark, sf_dir), _cache(spark), _judge)
+    return investigate.decisions(_evidence(spark, sf_dir), _endpoints(spark, sf_dir), _cache(spark), _judge, catch_alls=_table(spark, sf_dir, _PAGES))
 
 
 def evidence_decisions(spark, sf_dir):
@@ -273,7 +284,8 @@ def correction_patterns(spark, sf_dir):
 
 
 def correction_catch_alls(spark, sf_dir):
-    return reviews.failed_probes(*_review_tables(spark, sf_dir)).drop("verdict")
+    """Catch-all rules that people's corrections make."""
+    return reviews.failed_probes(*_review_tables(spark, sf_dir))
 
 
 def correction_endpoints(spark, sf_dir):
@@ -322,6 +334,31 @@ def discovered_containers(spark, sf_dir):
     return journal.discovered(rows, ["/app2.7", "APP4"]).select("id", "name", "class", "reason")
 
 
+def own_checks(spark, sf_dir):
+    """Lines that our own checks have not caused. Tokens are minted faster than they are taken, so that some give way."""
+    rows = _table(spark, sf_dir, _CHECKED)
+    return journal.without_own_checks(rows.select("event_id", "ts", "line"), rows.where("event_id % 12 = 0").select("token", "minted")).select("event_id")
+
+
+def _judged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with verdicts, ways and classes that do not depend on what they say, half of the requests on a bare address."""
+    said = lambda *names: F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int"))
+    # both identities are read several times from the lines
+    rows = cut(n.with_normalized(log_lines(spark, sf_dir)), "judged-lines")
+    host = F.when((F.col("k") < 8) & (F.floor(F.col("event_id") / 16) % 2 == 0), F.concat(F.lit("10.0.0."), F.col("event_id") % 9, F.lit(" "), F.col("normalized"))).otherwise(F.col("normalized"))
+    return rows.withColumns({"normalized": host, "verdict": said("alert", "malicious", "allow", "alert", "malicious"), "via": said("llm", "seed", "policy"), "classification": said("recon_failed", "suspicious", "", "malicious", "recon_success", "safe", "noise"), "reason": F.lit("seen")})
+
+
+def alert_destinations(spark, sf_dir):
+    """What becomes of every line, whatever the verdict on it."""
+    return classify.routed(_judged_lines(spark, sf_dir)).select("event_id", "route", "notify", "http_status")
+
+
+def recon_findings(spark, sf_dir):
+    """Findings of attempts that are known to have failed."""
+    return classify.recon_findings(classify.routed(_judged_lines(spark, sf_dir)))
+
+
 # ---- notification ----
 
 
@@ -347,7 +384,7 @@ def redact_html(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     log_unescape, text_scalars, parse_answers, severity_moves, pattern_faults, pattern_changes, policy_all_rules, evidence_structs, expected_endpoint_matches, verified_catch_alls,
     catch_all_fallback, evidence_decisions, final_findings, merged_events, flow_pairs, review_decisions, reviewed_findings, correction_patterns, correction_catch_alls,
-    correction_endpoints, timed_out_findings, kept_decisions, scanner_sessions, journal_entries, container_times, discovered_containers, alert_routes, alert_texts, redact_html,
+    correction_endpoints, timed_out_findings, kept_decisions, scanner_sessions, journal_entries, own_checks, alert_destinations, recon_findings, container_times, discovered_containers, alert_routes, alert_texts, redact_html,
 )}
 
 
@@ -379,7 +416,7 @@ _FAULT = f"""CASE tier WHEN 'hash' THEN CASE WHEN {_LEN} <> 64 THEN 'hash must b
     WHEN NOT {_HUMAN} AND lower(regexp_replace(regexp_replace(value, '<[^>]*>', '', 'g'), '[ ]', '', 'g')) IN ({_BANNED}) THEN 'auto-learned prefix is structurally just a generic token' END
   WHEN 'regex' THEN CASE WHEN NOT regexp_matches(line, value) THEN 'regex does not match the original line it was generated from' WHEN value = '.*' THEN 'regex is too broad' WHEN NOT {_HUMAN} AND value[1] <> '^' THEN 'auto-learned regex must be anchored with ^' WHEN NOT {_HUMAN} AND starts_with(value, '^.*') THEN 'auto-learned regex begins with ^.*' WHEN NOT {_HUMAN} AND {_LEN} < 10 THEN 'auto-learned regex too short' END
   WHEN 'contains' THEN CASE WHEN NOT {_HUMAN} THEN 'auto-learned contains patterns are forbidden' WHEN {_LEN} < 10 THEN 'contains pattern too short' END ELSE 'unknown pattern type' END"""
-_STORE = "(SELECT event_id AS ord, 's' || event_id % 5 AS scope, CASE WHEN event_id % 2 = 0 THEN 'allow' ELSE 'alert' END AS bucket, 'v' || event_id % 40 AS value FROM l WHERE event_id < 3000)"
+_STORE = "(SELECT event_id AS ord, 's' || event_id % 5 AS scope, CASE WHEN event_id % 2 = 0 THEN 'allow' ELSE 'alert' END AS bucket, 'v' || event_id % 1009 AS value FROM l WHERE event_id % 3 = 0)"
 _POLICY_RULES = [(r["id"], r["pattern"]) for r in policy.RULES]
 _UNIT = "lower(regexp_replace(regexp_replace(unit, '\\.[^.]*$', ''), '@.*$', ''))"
 _MET = {"ssh_login": f"{_UNIT} IN ('ssh', 'sshd')", "sudo_failure": "source_name = 'sudo'"}
@@ -409,13 +446,21 @@ _STATE = "CASE WHEN coalesce(status_code, 0) > 0 THEN status_code ELSE status EN
 _STEPS = f"""{_ENDPOINT}, s AS (SELECT x.*, sha256(preview) AS shape, p_host IS NOT NULL AND preview = {_ENV} AS expected, {_STATE} AS state,
   CASE WHEN verdict = 'alert' AND q = 'malicious' THEN 'suspicious' ELSE q END AS before_ FROM (SELECT *, CASE WHEN classification <> '' THEN classification WHEN verdict = 'malicious' THEN 'malicious' ELSE 'suspicious' END AS q FROM x) x
   LEFT JOIN p ON p_host = host AND p_method = method AND p_path = split_part(path, '?', 1) AND p_status = {_STATE}),
-t AS (SELECT *, CASE WHEN method = '' THEN 'no_request' WHEN status_code IN (403, 404, 405, 410) AND NOT coalesce(duration_ms, 0) >= 3000 THEN 'transport' WHEN status_code IS NULL THEN 'no_evidence' WHEN preview = '' THEN 'no_preview' WHEN expected THEN 'endpoint'
+t AS (SELECT *, CASE WHEN method = '' THEN 'no_request' WHEN status_code IN (403, 404, 405, 410) AND NOT coalesce(duration_ms, 0) >= 3000 THEN 'transport' WHEN NOT seen THEN 'no_evidence' WHEN preview = '' THEN 'no_preview' WHEN expected THEN 'endpoint'
   WHEN preview = 'A_B=[REDACTED]' || chr(10) || 'C_D=[REDACTED]' THEN 'cached' ELSE 'judged' END AS step FROM s),
 u AS (SELECT shape, min(event_id) AS leader, arg_min(before_, event_id) AS first_ FROM t WHERE step = 'judged' GROUP BY 1),
 z AS (SELECT t.*, leader, CASE WHEN step IN ('transport', 'endpoint', 'cached') THEN 'downgraded' WHEN step = 'judged' THEN CASE WHEN contains(preview, 'root:') THEN CASE WHEN {answers.sql_severity("first_")} < 5 THEN 'escalated' ELSE 'kept' END WHEN {answers.sql_severity("first_")} > 1 THEN 'downgraded' ELSE 'kept' END ELSE 'kept' END AS outcome,
   CASE step WHEN 'cached' THEN 'noise' WHEN 'judged' THEN CASE WHEN contains(preview, 'root:') THEN 'malicious' ELSE 'recon_failed' END END AS new_classification,
   CASE step WHEN 'transport' THEN 'Transport evidence confirms attack failed (HTTP ' || status_code || ') - payload was rejected/ignored by the server' WHEN 'endpoint' THEN {_EXPECTED.format(s="state", h="t.shape")} WHEN 'cached' THEN 'seen before'
     WHEN 'judged' THEN CASE WHEN contains(preview, 'root:') THEN 'accounts' ELSE 'settings' END || CASE WHEN leader <> event_id THEN ' (coalesced with ' || leader || ')' ELSE '' END ELSE '' END AS decision_reason FROM t LEFT JOIN u ON t.step = 'judged' AND t.shape = u.shape)"""
+# what no step has changed, by the rules on catch-all pages; z is what the steps say
+_PAGED = f"""{_STEPS}, ok AS (SELECT * FROM pg WHERE verdict <> 'rejected'),
+n AS (SELECT z.event_id, bool_or(pg.verdict = 'rejected') AS veto, arg_min('Catch-all fallback (REC-miss): verified pattern exists for ' || http_method || ' ' || z.host || ' ' || z.status || ' (hash ' || left(body_preview_hash, 16) || ', ' || paths || ' prior paths, verified bytes=' || response_bytes || ') - log responseBytes=' || z.bytes || ' within tolerance', body_preview_hash)
+  FILTER (pg.verdict <> 'rejected' AND abs(z.bytes - response_bytes) <= greatest(response_bytes * 15 // 100, 256)) AS why FROM z JOIN pg ON pg.host = z.host AND http_method = z.method AND http_status = z.status WHERE z.bytes BETWEEN 1 AND 10000 AND z.method IN ('GET', 'HEAD') AND NOT z.seen GROUP BY 1),
+zz AS (SELECT z.* REPLACE (CASE WHEN outcome = 'kept' AND ok.host IS NOT NULL THEN 'catch_all' WHEN outcome = 'kept' AND NOT veto AND why IS NOT NULL THEN 'catch_all_bytes' ELSE step END AS step, CASE WHEN outcome = 'kept' AND (ok.host IS NOT NULL OR NOT veto AND why IS NOT NULL) THEN 'downgraded' ELSE outcome END AS outcome,
+  CASE WHEN outcome = 'kept' AND (ok.host IS NOT NULL OR NOT veto AND why IS NOT NULL) THEN NULL ELSE new_classification END AS new_classification,
+  CASE WHEN outcome = 'kept' AND ok.host IS NOT NULL THEN 'Verified catch-all: ' || ok.paths || ' distinct paths on ' || z.host || ' all returned identical ' || http_method || ' ' || z.status || ' response (body hash ' || left(body_preview_hash, 16) || ') - same page' WHEN outcome = 'kept' AND NOT veto AND why IS NOT NULL THEN why ELSE decision_reason END AS decision_reason)
+  FROM z LEFT JOIN ok ON ok.host = z.host AND z.host <> '' AND http_method = z.method AND http_status = z.status AND body_preview_hash = z.body_hash LEFT JOIN n ON n.event_id = z.event_id)"""
 _V = lambda m: f"CASE WHEN event_id % {m} = 0 THEN '' ELSE 'v' || event_id % 50 END"
 _FIRST = lambda c: f"arg_min(nullif({c}, ''), seq) FILTER (nullif({c}, '') IS NOT NULL)"
 _LAST = lambda c: f"arg_max(nullif({c}, ''), seq) FILTER (nullif({c}, '') IS NOT NULL)"
@@ -431,7 +476,13 @@ _LATEST = "lv AS (SELECT event_id, arg_max(verdict, id) AS latest FROM f GROUP B
 _STAMP = "CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.250Z  ' WHEN 1 THEN '2024-13-01T00:00:00Z ' ELSE ' ' END || CASE WHEN event_id % 10 = 2 THEN '' ELSE line END"
 _SEVERITY3 = "CASE event_id % 3 WHEN 0 THEN 'malicious' WHEN 1 THEN 'alert' ELSE 'suspicious' END"
 _ICON = "CASE event_id % 3 WHEN 0 THEN '🚨' WHEN 1 THEN 'ℹ️' ELSE '⚠️' END"
+_SAID = lambda *names: f"[{', '.join(map(t.q, names))}][event_id % {len(names)} + 1]"
+_ROUTED = f""", jl AS (SELECT * REPLACE (CASE WHEN k < 8 AND event_id // 16 % 2 = 0 THEN '10.0.0.' || event_id % 9 || ' ' || normalized ELSE normalized END AS normalized), {_SAID("alert", "malicious", "allow", "alert", "malicious")} AS verdict, {_SAID("llm", "seed", "policy")} AS via, {_SAID("recon_failed", "suspicious", "", "malicious", "recon_success", "safe", "noise")} AS classification FROM norm),
+jp AS (SELECT *, {", ".join(f"{http.sql_part('line', http.RAW_SHAPES, c)} AS r_{c}, {http.sql_part('normalized', http.NORMALIZED_SHAPES, c)} AS n_{c}" for c in ("method", "path", "status", "host") if c != "host")}, {http.sql_part('normalized', http.NORMALIZED_SHAPES, 'host')} AS n_host FROM jl),
+jr AS (SELECT *, CASE WHEN r_method <> '' THEN r_method ELSE n_method END AS http_method, CASE WHEN r_method <> '' THEN r_path ELSE n_path END AS http_path, coalesce(nullif(CASE WHEN r_method <> '' THEN r_status ELSE n_status END, '')::INT, 0) AS http_status FROM jp),
+jd AS (SELECT *, CASE WHEN verdict = 'allow' THEN 'none' WHEN via = 'policy' THEN 'policy' WHEN classification = 'recon_failed' THEN 'recon' WHEN http_method = '' THEN 'finding' WHEN via <> 'llm' AND http_status IN (403, 404, 405, 410) THEN 'recon_status' WHEN starts_with(n_host, '10.0.0.') AND http_status = 200 THEN 'edge_inferred' ELSE 'coordinator' END AS route FROM jr)"""
 _EVIDENCE = {"a": _ALERTS, "r": _RESPONSES}
+_DECIDED = {**_EVIDENCE, "pg": _PAGES}
 
 SQL = {
     "log_unescape": _with(f"SELECT event_id, {_UNESCAPED} AS decoded FROM l"),
@@ -447,14 +498,15 @@ SELECT ord, scope, bucket, value, CASE WHEN (scope, bucket, value) IN (SELECT (s
 SELECT event_id, rule, CASE WHEN rule = 'sudo_failure' THEN 'alert' WHEN rule = 'pam_session' THEN 'allow' WHEN rule IS NOT NULL THEN 'escalate' END AS action, {_WHO} AS username, CASE WHEN rule = 'ssh_login' THEN {_G('ssh_login', 3)} WHEN rule IS NOT NULL THEN '' END AS from_ip, CASE WHEN rule = 'ssh_login' THEN {_G('ssh_login', 1)} WHEN rule IS NOT NULL THEN '' END AS auth_method, {_SAID} AS reason FROM e""", j=_POLICY),
     "evidence_structs": _with(f", {_NEAR}, {_SHAPE} SELECT event_id, ev AS status, candidates, status_code, content_length, body_hash, capture_mode, duration_ms, format, redactions, preview FROM x", **_EVIDENCE),
     "expected_endpoint_matches": _with(f", {_ENDPOINT}, i AS (SELECT *, CASE WHEN event_id % 5 < 4 THEN sha256({_ENV}) ELSE '' END AS shape FROM a) SELECT event_id, CASE WHEN p_host IS NOT NULL THEN {_EXPECTED.format(s='status', h='shape')} END AS expected FROM i LEFT JOIN p ON p_host = host AND p_method = method AND p_path = split_part(path, '?', 1) AND p_status = status AND shape <> ''", a=_ALERTS),
-    "verified_catch_alls": _with(""", v AS (SELECT * FROM ru WHERE verdict = 'verified') SELECT a.event_id, CASE WHEN v.host IS NOT NULL THEN 'Verified catch-all: ' || paths || ' distinct paths on ' || a.host || ' all returned identical ' || http_method || ' ' || status || ' response (body hash ' || substr(body_preview_hash, 1, 16) || ') - same page' END AS catch_all
+    "verified_catch_alls": _with(""", v AS (SELECT * FROM ru WHERE verdict IN ('benign', 'verified')) SELECT a.event_id, CASE WHEN v.host IS NOT NULL THEN 'Verified catch-all: ' || paths || ' distinct paths on ' || a.host || ' all returned identical ' || http_method || ' ' || status || ' response (body hash ' || substr(body_preview_hash, 1, 16) || ') - same page' END AS catch_all
 FROM a LEFT JOIN v ON v.host = a.host AND v.http_method = upper(a.method) AND v.http_status = a.status AND v.body_preview_hash = sha256((a.event_id % 4)::VARCHAR || a.status)""", a=_ALERTS, ru=_RULES),
-    "catch_all_fallback": _with("""SELECT event_id, coalesce(bytes BETWEEN 1 AND 10000 AND method IN ('GET', 'HEAD') AND NOT veto AND fits, false) AS by_bytes FROM (SELECT a.event_id, any_value(a.bytes) AS bytes, any_value(a.method) AS method, bool_or(coalesce(ru.verdict = 'rejected', false)) AS veto,
-  bool_or(coalesce(ru.verdict = 'verified' AND abs(a.bytes - ru.response_bytes) <= greatest(ru.response_bytes * 15 // 100, 256), false)) AS fits FROM a LEFT JOIN ru ON ru.host = a.host AND a.host <> '' AND ru.http_method = upper(a.method) AND ru.http_status = a.status GROUP BY a.event_id)""", a=_ALERTS, ru=_RULES),
-    "evidence_decisions": _with(f", {_NEAR}, {_SHAPE}, {_STEPS} SELECT event_id, step, outcome, new_classification, decision_reason FROM z", **_EVIDENCE),
-    "final_findings": _with(f""", {_NEAR}, {_SHAPE}, {_STEPS} SELECT event_id, CASE outcome WHEN 'downgraded' THEN 'downgraded' WHEN 'escalated' THEN 'malicious' ELSE verdict END AS verdict, CASE outcome WHEN 'escalated' THEN 'malicious' WHEN 'downgraded' THEN coalesce(new_classification, 'recon_failed') ELSE classification END AS classification,
+    "catch_all_fallback": _with(""", n AS (SELECT a.event_id, bool_or(ru.verdict = 'rejected') AS veto, arg_min('Catch-all fallback (REC-miss): verified pattern exists for ' || ru.http_method || ' ' || a.host || ' ' || a.status || ' (hash ' || left(body_preview_hash, 16) || ', ' || paths || ' prior paths, verified bytes=' || ru.response_bytes || ') - log responseBytes=' || a.bytes || ' within tolerance', body_preview_hash)
+  FILTER (ru.verdict <> 'rejected' AND abs(a.bytes - ru.response_bytes) <= greatest(ru.response_bytes * 15 // 100, 256)) AS why FROM a JOIN ru ON ru.host = a.host AND a.host <> '' AND ru.http_method = upper(a.method) AND ru.http_status = a.status WHERE a.bytes BETWEEN 1 AND 10000 AND a.method IN ('GET', 'HEAD') GROUP BY a.event_id)
+SELECT a.event_id, CASE WHEN NOT veto THEN why END AS by_bytes FROM a LEFT JOIN n USING (event_id)""", a=_ALERTS, ru=_RULES),
+    "evidence_decisions": _with(f", {_NEAR}, {_SHAPE}, {_PAGED} SELECT event_id, step, outcome, new_classification, decision_reason FROM zz", **_DECIDED),
+    "final_findings": _with(f""", {_NEAR}, {_SHAPE}, {_PAGED} SELECT event_id, CASE outcome WHEN 'downgraded' THEN 'downgraded' WHEN 'escalated' THEN 'malicious' ELSE verdict END AS verdict, CASE WHEN outcome = 'kept' AND verdict = 'alert' OR outcome = 'downgraded' AND verdict = 'alert' THEN 'suspicious' ELSE 'malicious' END AS classification,
   CASE WHEN outcome = 'escalated' THEN decision_reason ELSE reason END AS reason, ev AS evidence_status, coalesce(status_code, 0) AS evidence_status_code, outcome = 'downgraded' AS downgraded, outcome = 'escalated' AS notify, CASE WHEN outcome = 'kept' THEN 'pending' ELSE 'resolved' END AS resolution_status,
-  CASE WHEN outcome = 'kept' THEN '' ELSE 'rec_evidence' END AS resolution_method, CASE outcome WHEN 'downgraded' THEN verdict WHEN 'escalated' THEN 'alert' ELSE '' END AS previous_verdict FROM z""", **_EVIDENCE),
+  CASE WHEN outcome = 'kept' THEN '' ELSE 'rec_evidence' END AS resolution_method, CASE outcome WHEN 'downgraded' THEN verdict WHEN 'escalated' THEN 'alert' ELSE '' END AS previous_verdict FROM zz""", **_DECIDED),
     "merged_events": _with(f""", m AS (SELECT 'k' || event_id % 1000 AS key, event_id AS seq, {_V(3)} AS http_method, CASE WHEN event_id % 3 = 0 THEN '/a/<NUM>' ELSE {_V(4)} END AS http_path, {_V(2)} AS host, {_V(5)} AS user_agent, CASE WHEN event_id % 4 < 2 THEN 0 ELSE bytes END AS response_bytes, line, {_V(7)} AS normalized, source_name, {_V(3)} AS classification, {_V(2)} AS pattern FROM l)
 SELECT key, count(*) AS events, {_FIRST('http_method')} AS http_method, {_FIRST('host')} AS host, {_FIRST('user_agent')} AS user_agent, coalesce(arg_min(response_bytes, seq) FILTER (response_bytes > 0), arg_min(response_bytes, seq)) AS response_bytes, {_LAST('line')} AS line, {_LAST('normalized')} AS normalized, {_LAST('source_name')} AS source_name, {_LAST('classification')} AS classification, {_LAST('pattern')} AS pattern,
   coalesce(arg_min(http_path, seq) FILTER (http_path <> '' AND NOT contains(http_path, '<NUM>')), {_FIRST('http_path')}) AS http_path FROM m GROUP BY key"""),
@@ -466,7 +518,7 @@ SELECT id, verdict, CASE WHEN take THEN 'resolved' ELSE resolution_status END AS
     "correction_patterns": _with(f""", {_ASKED}, st AS (SELECT {_OR('source_scope', 'own')} AS scope, {_OR('pattern_bucket', 'action')} AS bucket, pattern_value AS value FROM q WHERE kind IN ('noise', 'expected_endpoint') AND {_TAUGHT} UNION SELECT {_OR('matched_pattern_scope', 'own')}, matched_pattern_bucket, matched_pattern_value FROM q WHERE kind IN ('noise', 'expected_endpoint') AND {_MATCHED}),
 ok AS (SELECT DISTINCT CASE WHEN {_TAUGHT} THEN {_OR('source_scope', 'own')} WHEN {_MATCHED} THEN {_OR('matched_pattern_scope', 'own')} ELSE own END AS scope, CASE WHEN {_TAUGHT} THEN {_OR('pattern_bucket', 'action')} WHEN {_MATCHED} THEN matched_pattern_bucket END AS bucket, CASE WHEN {_TAUGHT} THEN pattern_value WHEN {_MATCHED} THEN matched_pattern_value ELSE normalized_hash END AS value FROM q WHERE kind = 'confirm')
 SELECT 'taught' AS what, own AS scope, target AS bucket, {_OR('normalized_hash', 'd_hash')} AS value FROM q WHERE kind = 'noise' AND target IN ('suppress', 'allow') AND {_OR('normalized_hash', 'd_hash')} <> '' UNION ALL SELECT 'stale', * FROM st UNION ALL SELECT 'confirmed', * FROM ok WHERE value <> ''""", co=_CORRECTIONS, f=_FINDINGS, d=_DECISIONS),
-    "correction_catch_alls": _with(f""", {_ASKED}, z AS (SELECT dest_host AS host, http_method, coalesce(nullif(evidence_status_code, 0), nullif(http_status, 0), nullif(evidence_status, 0)) AS http_status, {_OR('evidence_body_hash', 'evidence_hash')} AS body_preview_hash, 'human: ' || CASE WHEN why <> '' THEN why ELSE 'marked as failed probe (no observable impact)' END AS reason, response_bytes, event_id AS verified_by FROM q WHERE kind = 'failed_probe')
+    "correction_catch_alls": _with(f""", {_ASKED}, z AS (SELECT dest_host AS host, http_method, coalesce(nullif(evidence_status_code, 0), nullif(http_status, 0), nullif(evidence_status, 0)) AS http_status, {_OR('evidence_body_hash', 'evidence_hash')} AS body_preview_hash, 'human: ' || CASE WHEN why <> '' THEN why ELSE 'marked as failed probe (no observable impact)' END AS reason, response_bytes, event_id AS verified_by, 'benign' AS verdict FROM q WHERE kind = 'failed_probe')
 SELECT * FROM z WHERE host <> '' AND http_method <> '' AND http_status IS NOT NULL AND body_preview_hash <> ''""", co=_CORRECTIONS, f=_FINDINGS, d=_DECISIONS),
     "correction_endpoints": _with(f""", {_ASKED}, z AS (SELECT dest_host AS host, upper(http_method) AS http_method, split_part(http_path, '?', 1) AS http_path, CASE WHEN coalesce(evidence_status, 0) > 0 THEN evidence_status WHEN evidence_status_code > 0 THEN evidence_status_code WHEN http_status > 0 THEN http_status END AS http_status,
   CASE WHEN coalesce(tier = 'reclassify' AND length(cache_key) = 64, false) THEN cache_key WHEN length(evidence_body_hash) = 64 THEN evidence_body_hash END AS body_preview_hash, 'human: ' || CASE WHEN why <> '' THEN why ELSE 'endpoint expected to return sensitive-looking response by design' END AS description, event_id AS created_by_event_id FROM q WHERE kind = 'expected_endpoint')
@@ -477,8 +529,16 @@ SELECT id, verdict, CASE WHEN take THEN 'evidence_unavailable' ELSE resolution_s
     "scanner_sessions": _with(f""", g AS (SELECT *, ts >= lag(ts) OVER w + INTERVAL 2 HOUR OR lag(ts) OVER w IS NULL AS opens FROM f WHERE source_ip <> '' WINDOW w AS (PARTITION BY source_ip, dest_host, evidence_body_hash ORDER BY ts, id)), n AS (SELECT *, sum(opens::INT) OVER (PARTITION BY source_ip, dest_host, evidence_body_hash ORDER BY ts, id) AS s FROM g),
 o AS (SELECT source_ip, dest_host, evidence_body_hash AS body_hash, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS probes, arg_min(http_path, (ts, id)) AS p, arg_max(http_path, (ts, id)) AS z FROM n GROUP BY source_ip, dest_host, evidence_body_hash, s)
 SELECT source_ip, dest_host, body_hash, first_seen, last_seen, probes, CASE WHEN p = z THEN p ELSE p || ' ' || z END AS paths FROM o WHERE NOT last_seen < TIMESTAMP '{NOW}' - INTERVAL 90 DAY""", f=_FINDINGS),
-    "journal_entries": _with("""SELECT CASE event_id % 9 WHEN 3 THEN 'bash' ELSE 'sshd' END AS source_name, CASE event_id % 9 WHEN 3 THEN '' ELSE 'ssh.service' END AS unit, CASE event_id % 9 WHEN 3 THEN 'journal' ELSE 'syslog' END AS stream, value::JSON ->> 'MESSAGE' AS line, (value::JSON ->> '__REALTIME_TIMESTAMP')::BIGINT AS us, coalesce(value::JSON ->> '_UID', '') AS uid, coalesce(value::JSON ->> 'PRIORITY', '') AS priority
-FROM j WHERE event_id % 9 IN (3, 5, 6, 7, 8)""", j=_ENTRIES),
+    "journal_entries": _with("""SELECT CASE event_id % 13 WHEN 3 THEN 'bash' ELSE 'sshd' END AS source_name, CASE event_id % 13 WHEN 3 THEN '' ELSE 'ssh.service' END AS unit, CASE event_id % 13 WHEN 3 THEN 'journal' ELSE 'syslog' END AS stream, value::JSON ->> 'MESSAGE' AS line, (value::JSON ->> '__REALTIME_TIMESTAMP')::BIGINT AS us, coalesce(value::JSON ->> '_UID', '') AS uid, coalesce(value::JSON ->> 'PRIORITY', '') AS priority
+FROM j WHERE event_id % 13 IN (3, 10, 11, 12)""", j=_ENTRIES),
+    "own_checks": _with(""", mt AS (SELECT token, min(minted) AS minted FROM ck WHERE event_id % 12 = 0 GROUP BY 1), tk AS (SELECT mt.token, mt.minted, min(ck.ts) AS taken, arg_min(ck.event_id, (ck.ts, ck.event_id)) AS by_ FROM mt LEFT JOIN ck ON contains(ck.line, mt.token) AND ck.token = mt.token AND ck.ts BETWEEN mt.minted AND mt.minted + INTERVAL 10 SECOND GROUP BY ALL),
+nx AS (SELECT i.token, j.token AS next_, j.minted AS at_ FROM tk i JOIN tk j ON (j.minted, j.token) > (i.minted, i.token) AND j.minted <= i.minted + INTERVAL 10 SECOND AND j.minted <= coalesce(i.taken, TIMESTAMP '2999-01-01')),
+gone AS (SELECT DISTINCT a.token FROM nx a JOIN nx b ON b.token = a.token AND (b.at_, b.next_) < (a.at_, a.next_) JOIN tk k ON k.token = b.next_ WHERE coalesce(k.taken, TIMESTAMP '2999-01-01') >= a.at_ GROUP BY a.token, a.next_ HAVING count(*) >= 49)
+SELECT event_id FROM l WHERE event_id NOT IN (SELECT by_ FROM tk WHERE taken IS NOT NULL AND token NOT IN (SELECT token FROM gone))""", ck=_CHECKED),
+    "alert_destinations": with_norm(f"{_ROUTED} SELECT event_id, route, CASE WHEN via = 'policy' THEN verdict = 'malicious' ELSE route = 'finding' AND verdict = 'malicious' END AS notify, http_status FROM jd"),
+    "recon_findings": with_norm(f"""{_ROUTED}, jf AS (SELECT *, CASE route WHEN 'recon_status' THEN 'Known attack pattern (via:' || via || ') rejected by server - HTTP ' || http_status || ' confirms failure' WHEN 'edge_inferred' THEN 'Attack probe hit bare-IP default server (' || n_host || ') - HTTP 200 is the default page, no backend application involved' ELSE '' END AS why FROM jd WHERE route IN ('recon', 'recon_status', 'edge_inferred'))
+SELECT event_id, 'recon' AS verdict, CASE route WHEN 'recon' THEN classification WHEN 'recon_status' THEN 'recon_failed_status' ELSE route END AS classification, CASE route WHEN 'recon' THEN 'seen' ELSE why END AS reason, http_method, http_path, http_status, route <> 'recon' AS downgraded, why AS downgrade_reason, CASE WHEN route <> 'recon' THEN 'resolved' ELSE '' END AS resolution_status,
+  CASE route WHEN 'recon_status' THEN 'status_only' WHEN 'edge_inferred' THEN 'bare_ip_default_server' ELSE '' END AS resolution_method, CASE WHEN route <> 'recon' THEN verdict ELSE '' END AS previous_verdict, false AS notify FROM jf"""),
     "container_times": _with(f", v AS (SELECT event_id, event_id % 3 = 0 AS dated, epoch_us(ts) // 1000 AS ms, {t.sql_trim(_STAMP)} AS s FROM l) SELECT event_id, CASE WHEN dated THEN ltrim(regexp_replace(s, '^[^ ]*', '')) ELSE s END AS line, CASE WHEN dated THEN ms // 1000 * 1000 + 250 END AS ms FROM v WHERE s <> ''"),
     "discovered_containers": _with("""SELECT event_id::VARCHAR AS id, 'App' || event_id % 6 AS name, CASE WHEN tcp AND NOT lo THEN CASE WHEN event_id % 6 IN (2, 4) THEN 'excluded' ELSE 'public' END ELSE 'skipped' END AS class, CASE WHEN tcp AND NOT lo THEN '' WHEN tcp OR two THEN 'loopback-only publish' ELSE 'no published TCP ports' END AS reason
 FROM (SELECT event_id, event_id % 7 = 1 AS two, event_id % 7 <> 0 AND event_id % 5 <> 0 AND event_id % 3 <> 0 AS tcp, event_id % 4 = 0 AS lo FROM l)"""),

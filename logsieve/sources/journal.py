@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
 
 from logsieve.functions import filters
 from logsieve.functions import text as t
+from logsieve.operators.patterns import small
 
 # The fields of a journal entry, all text.
 FIELDS = ["MESSAGE", "SYSLOG_IDENTIFIER", "_SYSTEMD_UNIT", "PRIORITY", "_PID", "_UID", "__REALTIME_TIMESTAMP", "_TRANSPORT", "_COMM", "_EXE", "_CMDLINE", "_HOSTNAME"]
-ENTRY = StructType()
-for _name in FIELDS:
-    ENTRY = ENTRY.add(_name, StringType())
 #: Most bytes of a line of an export.
 LINE_BYTES = 256 * 1024
 # A container stream's frame is a header of eight bytes (kind, three zeros, big-endian size) and a payload; a larger frame ends the stream.
@@ -29,11 +29,14 @@ CONTAINERS = "id string, names array<string>, ports array<struct<ip: string, pri
 def entries(exports: DataFrame, own_unit: str = "", noise: list[str] | None = None) -> DataFrame:
     """Log lines of journal exports (``value``: one JSON object a line): source_type, source_name, unit, stream, line, ts, metadata.
 
-    Works on a table and on a stream. Lines that are no object, are too long, or whose fields are no text, and
-    entries without a message, of the unit ``own_unit`` or of a noisy unit go. ts is null where the entry has none.
+    Works on a table and on a stream. Lines that are no object (cut ones too), are too long, or of which a field is
+    there but neither text nor null (as a message in bytes is), and entries without a message, of the unit
+    ``own_unit`` or of a noisy unit go. ts is null where the entry has none.
     """
-    e = F.from_json("value", ENTRY, {"mode": "PERMISSIVE"})
-    rows = exports.where((F.octet_length("value") <= LINE_BYTES) & F.startswith(t.trim(F.col("value")), F.lit("{"))).select(e.alias("e"))
+    rows = exports.where((F.octet_length("value") <= LINE_BYTES) & F.startswith(t.trim(F.col("value")), F.lit("{"))).select(F.try_parse_json("value").alias("v"))
+    kinds = [F.coalesce(F.schema_of_variant(F.variant_get("v", f"$.{c}", "variant")), F.lit("VOID")).isin("STRING", "VOID") for c in FIELDS]
+    # fields are read as text only where they are
+    rows = rows.where(F.col("v").isNotNull() & functools.reduce(Column.__and__, kinds)).select(F.struct(*[F.try_variant_get("v", f"$.{c}", "string").alias(c) for c in FIELDS]).alias("e"))
     some = lambda c: F.nullif(F.col(f"e.{c}"), F.lit(""))
     unit = F.coalesce("e._SYSTEMD_UNIT", F.lit(""))
     rows = rows.where(some("MESSAGE").isNotNull() & ((F.lit(own_unit) == "") | (unit != own_unit)) & ~filters.noise_unit(unit, noise))
@@ -105,14 +108,38 @@ def without_containers(lines: DataFrame, excluded: list[str]) -> DataFrame:
     return lines.where(~F.col("source_name").isin(excluded)) if excluded else lines
 
 
-def without_own_checks(lines: DataFrame, tokens: DataFrame, live: int = 10) -> DataFrame:
-    """``lines`` (line, ts) without those that hold a token of a check of our own (``tokens``: token, minted) that is at most ``live`` seconds old.
+# How the token of a check of our own begins (32 hexadecimal digits follow), the seconds for which it lives, and how many live at a time.
+TOKEN_HEAD, TOKEN_SECONDS, TOKENS_ALIVE = "OV-", 10, 50
 
-    A token is a word of 16 to 64 letters, digits and dashes; lines are joined on their words of that form.
+
+def _evicted(tokens: pd.DataFrame) -> pd.DataFrame:
+    """Tokens of a bin of time that gave way: TOKENS_ALIVE - 1 newer ones, untaken, were alive beside them when one more was minted."""
+    tokens = tokens.sort_values(["minted", "token"])
+    minted, taken = tokens["minted"].to_numpy(float), tokens["taken"].fillna(np.inf).to_numpy(float)
+    gone = []
+    for i in np.flatnonzero((tokens["own"] == tokens["bin"]).to_numpy()):
+        end = np.searchsorted(minted, min(minted[i] + TOKEN_SECONDS, taken[i]), "right")
+        after, until = minted[i + 1 : end], taken[i + 1 : end]
+        if any((until[:j] >= after[j]).sum() >= TOKENS_ALIVE - 1 for j in range(TOKENS_ALIVE - 1, len(after))):
+            gone.append(tokens["token"].iat[i])
+    return pd.DataFrame({"token": pd.Series(gone, dtype=object)})
+
+
+def without_own_checks(lines: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``lines`` (line, ts) without those that our own checks have caused. ``tokens``: token, minted.
+
+    A line in which a token stands, alone or within other text, is taken by it if the token is then at most
+    TOKEN_SECONDS old; it takes one line only, the first in time (of equal times, in the order of the table). Of more
+    than TOKENS_ALIVE tokens alive and untaken at a time the oldest give way and take no line; this is told within
+    bins of TOKEN_SECONDS, each with the bin after it. A token that is listed twice counts from the first time.
     """
-    words = F.array_distinct(F.regexp_extract_all("line", F.lit("[0-9A-Za-z-]{16,64}"), F.lit(0)))
-    marked = lines.withColumn("_row", F.monotonically_increasing_id()) if "event_id" not in lines.columns else lines.withColumn("_row", F.col("event_id"))
-    held = marked.select("_row", "ts", F.explode(words).alias("token"))
-    age = F.col("ts").cast("double") - F.col("minted").cast("double")
-    own = held.join(F.broadcast(tokens.orderBy(F.desc("minted")).limit(50)), "token").where(age.between(0, live)).select("_row").distinct()
-    return marked.join(own, "_row", "left_anti").drop("_row")
+    held = F.regexp_extract_all("line", F.lit(f"{TOKEN_HEAD}[0-9a-f]{{32}}"), F.lit(0))
+    marked = lines.withColumn("_row", F.monotonically_increasing_id() if "event_id" not in lines.columns else F.col("event_id"))
+    minted = tokens.groupBy("token").agg(F.min("minted").cast("double").alias("minted"))
+    held = marked.where(F.contains("line", F.lit(TOKEN_HEAD))).select("_row", F.col("ts").cast("double").alias("at"), F.explode(F.array_distinct(held)).alias("token")).join(small(minted), "token")
+    taken = held.where((F.col("at") - F.col("minted")).between(0, TOKEN_SECONDS)).groupBy("token").agg(F.min(F.struct("at", "_row")).alias("first"))
+    known = minted.join(taken, "token", "left").select("token", "minted", F.col("first.at").alias("taken"), F.col("first._row").alias("_row"), F.floor(F.col("minted") / TOKEN_SECONDS).alias("own"))
+    near = known.drop("_row").withColumn("bin", F.explode(F.array(F.col("own"), F.col("own") - 1)))
+    gone = near.groupBy("bin").applyInPandas(_evicted, "token string")
+    own = known.where(F.col("_row").isNotNull()).join(gone, "token", "left_anti").select("_row").distinct()
+    return marked.join(own, "_row", "left_anti").select(*lines.columns)

@@ -212,10 +212,55 @@ def test_journal_entries_as_a_stream(spark, tmp_path):
     assert [(r.source_name, r.line) for r in spark.table("entries").collect()] == [("c", "m")]
 
 
-def test_own_checks_are_left_out_while_their_tokens_live(spark):
-    lines = spark.createDataFrame([(1, "GET /?t=abcdefghijklmnop1 x", 105.0), (2, "GET /?t=abcdefghijklmnop1 x", 111.0), (3, "GET /", 105.0)], "event_id long, line string, at double").withColumn("ts", F.timestamp_seconds("at"))
-    tokens = spark.createDataFrame([("abcdefghijklmnop1", 100.0)], "token string, at double").select("token", F.timestamp_seconds("at").alias("minted"))
-    assert sorted(r.event_id for r in journal.without_own_checks(lines, tokens).collect()) == [2, 3]
+def own_checks(spark, lines, tokens):
+    rows = spark.createDataFrame(lines, "event_id long, line string, at double").withColumn("ts", F.timestamp_seconds("at"))
+    minted = spark.createDataFrame(tokens, "token string, at double").select("token", F.timestamp_seconds("at").alias("minted"))
+    return sorted(r.event_id for r in journal.without_own_checks(rows, minted).collect())
+
+
+def test_a_token_takes_one_line_while_it_lives(spark):
+    a, b = "OV-" + "a" * 32, "OV-" + "b" * 32
+    lines = [(1, f"x{a}f0 glued", 105.0), (2, f"GET / {a}", 106.0), (3, "GET /", 105.0), (4, f"GET / {b}", 111.0), (5, f"GET / {b}", 99.0), (6, None, 100.0), (7, f"GET / OV-{'c' * 32}", 100.0)]
+    assert own_checks(spark, lines, [(a, 100.0), (b, 101.5)]) == [2, 3, 5, 6, 7]
+    assert own_checks(spark, lines, [(a, 100.0), (b, 100.5), (b, 103.0)]) == [2, 3, 4, 5, 6, 7]  # minted twice: the first time counts, 10.5 s before
+    assert own_checks(spark, lines, []) == [1, 2, 3, 4, 5, 6, 7]
+
+
+@pytest.mark.parametrize("waiting", [True, False])
+def test_the_oldest_of_too_many_live_tokens_gives_way(spark, waiting):
+    name = lambda i: f"OV-{i:032x}"
+    # 200 tokens over 200 seconds are never too many; 60 in a second are, unless each is taken before the next is minted
+    assert own_checks(spark, [(i, name(i), i + 0.5) for i in range(200)], [(name(i), float(i)) for i in range(200)]) == []
+    lines = [(i, name(i), 102.0 if waiting else 100.0 + i / 100 + 0.001) for i in range(60)]
+    assert own_checks(spark, lines, [(name(i), 100.0 + i / 100) for i in range(60)]) == (list(range(10)) if waiting else [])
+
+
+def test_journal_fields_that_are_no_text(spark):
+    rows = ['{"MESSAGE":[104,105],"_COMM":"x"}', '{"MESSAGE":"a","PRIORITY":6}', '{"MESSAGE":"b","_COMM":"x"', '{"MESSAGE":"c","_UID":null}', '{"MESSAGE":"d","OTHER":[1]}', '{"MESSAGE":null}', None, '{}']
+    out = journal.entries(spark.createDataFrame([(r,) for r in rows], "value string")).collect()
+    assert [(r.line, r.source_name, r.metadata["uid"]) for r in out] == [("c", "unknown", ""), ("d", "unknown", "")]
+
+
+def test_a_persons_rule_downgrades_the_next_alert(spark):
+    finding = [(1, "evt", "docker", "web", "h", "GET", "/x", 200, 500, "alert", "", "", "", "", 200, "b", "")]
+    columns = "id long, event_id string, source_type string, source_name string, dest_host string, http_method string, http_path string, http_status int, response_bytes long, verdict string, normalized_hash string, matched_pattern_value string, matched_pattern_bucket string, matched_pattern_scope string, evidence_status_code int, evidence_body_hash string, resolution_status string"
+    correction = spark.createDataFrame([("evt", "failed_probe", "", "")], "event_id string, kind string, target string, reason string").withColumn("at", F.current_timestamp())
+    decision = spark.createDataFrame([], schemas.DECISIONS)
+    rules = reviews.failed_probes(correction, spark.createDataFrame(finding, columns), decision)
+    cases = [({"event_id": 1}, {"body": "plain words", "content_type": "text/plain"}), ({"event_id": 2, "host": "other"}, {"body": "plain words", "content_type": "text/plain", "resp_host": "other"}), ({"event_id": 3, "bytes": 700},), ({"event_id": 4, "bytes": 20_000},), ({"event_id": 5, "bytes": 700, "method": "POST"},)]
+    alerts = investigate.evidence(*evidences(spark, cases))
+    endpoints, cache = spark.createDataFrame([], schemas.ENDPOINTS), spark.createDataFrame([], "body_hash string, outcome string, classification string, reason string")
+    judge = lambda g: g.withColumns({"classification": F.lit("suspicious"), "generic": F.lit(False), "reason": F.lit("")})
+    got = {r.event_id: r for r in investigate.decisions(alerts, endpoints, cache, judge, catch_alls=rules).collect()}
+    assert [(got[i].step, got[i].outcome) for i in range(1, 6)] == [("catch_all", "downgraded"), ("no_preview", "kept"), ("catch_all_bytes", "downgraded"), ("no_evidence", "kept"), ("no_evidence", "kept")]
+    assert got[1].decision_reason == "Verified catch-all: 5 distinct paths on h all returned identical GET 200 response (body hash b) - human: marked as failed probe (no observable impact)"
+    final = {r.event_id: r for r in investigate.final_findings(investigate.decisions(alerts.withColumn("coordinator_events", F.lit(3)), endpoints, cache, judge, catch_alls=rules)).collect()}
+    assert (final[1].verdict, final[1].classification, final[1].previous_verdict, final[1].coordinator_events) == ("downgraded", "suspicious", "alert", 3)
+    veto = rules.unionByName(rules.withColumns({"body_preview_hash": F.lit("c"), "verdict": F.lit("rejected")}))
+    again = {r.event_id: r.step for r in investigate.decisions(alerts, endpoints, cache, judge, catch_alls=veto).collect()}
+    assert again == {1: "catch_all", 2: "no_preview", 3: "no_evidence", 4: "no_evidence", 5: "no_evidence"}
+    early = investigate.decisions(alerts.withColumn("body_hash", F.lit("b")), endpoints, cache, judge, catch_alls=rules)
+    assert {r.event_id: r.step for r in early.collect()}[3] == "catch_all" and "body_hash" in early.columns
 
 
 def test_shared_folder_is_asked_for_on_a_cluster(spark):
