@@ -12,6 +12,7 @@ PENALTY = 3600.0
 
 def orphan_bytes_fit(expected: Column, length: Column) -> Column:
     """Whether a response without a request may be the one expected, by length; unknown lengths fit."""
+    expected, length = F.coalesce(expected, F.lit(0)), F.coalesce(length, F.lit(0))
     known = (expected > 0) & (length > 0)
     return ~known | (F.abs(expected - length) <= F.greatest(F.floor(expected / 10), F.lit(256)))
 
@@ -32,7 +33,7 @@ def _class(length: Column) -> Column:
 
 
 def candidates(alerts: DataFrame, responses: DataFrame, window: int) -> DataFrame:
-    """Pairs of ``alerts`` (event_id, ts, method, path, host, user_agent, status, bytes) and ``responses`` (resp_seq, resp_ts, resp_method, resp_path, resp_host, resp_agent, resp_status, content_length, content_type, body_hash, ...) that may belong together.
+    """All pairs, for those who want to see each (``sweep.best`` finds the best ones without writing pairs), of ``alerts`` (event_id, ts, method, path, host, user_agent, status, bytes) and ``responses`` (resp_seq, resp_ts, resp_method, resp_path, resp_host, resp_agent, resp_status, content_length, content_type, body_hash, ...) that may belong together.
 
     Times are at most ``window`` seconds apart. A response with a request has the alert's method and path, one
     without fits by length. An alert's status, if it is known, is the response's; hosts are equal if both are

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logsieve.functions import answers, redact
 from logsieve.functions import text as t
 from logsieve.operators import evidence as ev
+from logsieve.operators import sweep
 from logsieve.operators.patterns import small
 from logsieve.sources.tables import cut
 
@@ -35,7 +36,7 @@ def evidence(alerts: DataFrame, responses: DataFrame, window: int = WINDOW) -> D
     high confidence. The duration is that between request and response, where both were seen in this order.
     """
     asked = alerts.withColumn("path", t.log_unescape(F.col("path")))
-    found = ev.best(ev.candidates(asked, responses, window), _TRANSPORT)
+    found = sweep.best(asked, responses, window, _TRANSPORT)
     found = redact.with_disclosure(found, "body", "content_type", "_d")
     high = F.col("confidence") == "HIGH"
     took = ((F.col("resp_ts").cast("double") - F.col("request_ts").cast("double")) * 1000).cast("long")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logsieve.functions import filters, http, redact
 from logsieve.functions import text as t
-from logsieve.operators import classify, evidence, policy
+from logsieve.operators import classify, policy, sweep
 from logsieve.operators import patterns as p
 from logsieve.plans.lines import LINES, with_norm
 from logsieve.sources.log_lines import log_lines
@@ -97,7 +97,7 @@ def captured_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_best(spark, sf_dir):
     """The best response of every request line."""
     alerts = log_lines(spark, sf_dir).where("k < 8").select("event_id", "ts", "method", "path", "status", "bytes")
-    return evidence.best(evidence.candidates(alerts, captured_responses(spark, sf_dir), WINDOW))
+    return sweep.best(alerts, captured_responses(spark, sf_dir), WINDOW)
 
 
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
