@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from logsieve.functions import text as t
 
@@ -19,6 +20,8 @@ SCHEMA = "scope string, bucket string, tier string, value string, source string,
 #: Most patterns of a bucket and scope, by tier; those of EXEMPT sources are taken beyond them.
 EXEMPT = ["human", "human_validated", "seeded"]
 CAPS = {"hash": 100_000, "prefix": 1000, "regex": 1000, "contains": 500}
+#: Patterns of a scope up to which an array is as good as an automaton, and bytes of patterns up to which automata are broadcast.
+FEW, AUTOMATA_BYTES = 64, 64 << 20
 #: Dimensions are broadcast up to this many rows; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -60,32 +63,134 @@ def match(events: DataFrame, known: DataFrame, when: Column | None = None) -> Da
     """``events`` (scope, hash, normalized, ...) with ``match``: bucket, tier, value, source and reason of the first live pattern, null where none matches; with ``when``, only rows for which it holds are looked up.
 
     Order: bucket, then the event's own scope before the global one, then tier, then ord. The hash tier is an
-    equi-join. The other tiers are bounded by CAPS, so each scope's patterns travel as one sorted array joined by
-    scope, and no event meets another scope's patterns. Values of the regex tier are Java expressions.
+    equi-join. Of the other tiers, bounded by CAPS, a scope of at most FEW patterns travels as one sorted array
+    joined by scope. Scopes of more are searched by automata (``_Automata``), so that a line costs its length and not
+    the number of patterns; they are broadcast, if their patterns take at most AUTOMATA_BYTES (summed up), else
+    they are arrays as well. Either way gives the same pattern. Values of the regex tier have RE2's meaning.
     """
     p = F.struct(
         _rank(BUCKETS, "bucket").alias("bucket_rank"), (F.col("scope") == GLOBAL).cast("int").alias("scope_rank"), _rank(TIERS, "tier").alias("tier_rank"),
-        "ord", "bucket", "tier", "value", "source", "reason",
+        "ord", "bucket", "tier", "value", "source", "reason", "java",
     )
-    live = known.where(~F.coalesce("revoked", F.lit(False))).select("scope", p.alias("p"))
+    live = _with_java(known.where(~F.coalesce("revoked", F.lit(False)))).select("scope", p.alias("p"))
     hashes = live.where("p.tier = 'hash'").groupBy("scope", F.col("p.value").alias("hash")).agg(F.min("p").alias("p"))
     arrays = live.where("p.tier <> 'hash'").groupBy("scope").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    many = arrays.where(F.size("ps") > FEW)
+    size = many.agg(F.sum(F.aggregate("ps", F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.octet_length(x["value"]), F.lit(0)) + 100)).alias("n")).first().n
+    automata = _Automata({r.scope: [tuple(x) for x in r.ps] for r in many.collect()}) if size and size <= AUTOMATA_BYTES else None
+    if automata:
+        arrays = arrays.where(F.size("ps") <= FEW)
     own, everywhere = F.col("scope") != GLOBAL, F.col("scope") == GLOBAL
     out = events.withColumn("_global", F.lit(GLOBAL))
     out = out.join(small(hashes.where(own).withColumnRenamed("p", "_h")), ["scope", "hash"], "left")
     out = out.join(small(hashes.where(everywhere).select("hash", F.col("p").alias("_g"))), "hash", "left")
     out = out.join(small(arrays.where(own).withColumnRenamed("ps", "_hs")), "scope", "left")
     out = out.join(F.broadcast(arrays.where(everywhere).select(F.col("scope").alias("_global"), F.col("ps").alias("_gs"))), "_global", "left")  # one row
-
-    def first(ps: str) -> Column:
-        n = F.col("normalized")
-        hit = lambda x: F.when(x["tier"] == "prefix", F.startswith(n, x["value"])).when(x["tier"] == "contains", F.contains(n, x["value"])).otherwise(F.regexp_like(n, x["value"]))
-        return F.get(F.filter(ps, hit), F.lit(0))
-
-    best = F.least("_h", "_g", first("_hs"), first("_gs"))
+    n = F.col("normalized")
+    hit = lambda x: F.when(x["tier"] == "prefix", F.startswith(n, x["value"])).when(x["tier"] == "contains", F.contains(n, x["value"])).otherwise(F.regexp_like(n, x["java"]))
+    first = lambda ps: F.get(F.filter(ps, hit), F.lit(0))
+    parts = [F.col("_h"), F.col("_g"), first("_hs"), first("_gs")]
+    if automata:
+        out = out.withColumn("_auto", automata.searched(live.sparkSession, live.schema["p"].dataType)(F.col("scope"), n if when is None else F.when(when, n)))
+        parts += [F.col("_auto.first"), first(F.col("_auto.maybe"))]
+    best = F.least(*parts)
     out = out.withColumn("_best", best if when is None else F.when(when, best))
     found = F.when(F.col("_best").isNotNull(), F.struct(*[F.col(f"_best.{c}").alias(c) for c in ("bucket", "tier", "value", "source", "reason")]))
-    return out.withColumn("match", found).drop("_h", "_g", "_hs", "_gs", "_global", "_best")
+    return out.withColumn("match", found).drop("_h", "_g", "_hs", "_gs", "_global", "_best", "_auto")
+
+
+@F.pandas_udf(StringType())
+def _java(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else t.java(v))
+
+
+def _with_java(known: DataFrame) -> DataFrame:
+    """``known`` with ``java``: what a value of the regex tier is for Spark. Values on which both agree need no translation, and mostly all are such."""
+    regex = F.when(F.col("tier") == "regex", F.col("value"))
+    odd = known.where(regex.rlike(r"\\[sSb]|[.$]|\(\?i")).limit(1).count()
+    return known.withColumn("java", _java(regex) if odd else regex)
+
+
+def literal(regex: str) -> str:
+    """A text that every match of an RE2 pattern begins with or holds; empty where none is sure."""
+    body = regex[1:] if regex.startswith("^") else regex
+    if "|" in body or "(?" in body:
+        return ""
+    run = re.match(r"[0-9A-Za-z _/<>:%,;=@~'\"#&!-]*", body)[0]
+    # what a quantifier follows may be missing
+    return run[:-1] if body[len(run) : len(run) + 1] in ("*", "?", "+", "{") and run else run
+
+
+class _Automata:
+    """Of each scope one Aho-Corasick automaton over all values of its prefix and contains tiers, and over a text that each of its regexes must hold.
+
+    A value that ends somewhere in a line is in it; it is its prefix if it begins at its start. The best of those found,
+    by precedence, is the first match of these tiers. Regexes whose text is found, and those without one, are handed
+    on for Spark to try. The automata of a scope are built by a worker when its first line comes.
+    """
+
+    def __init__(self, scopes: dict[str, list[tuple]]):
+        self.scopes, self.built = scopes, {}
+
+    def __getstate__(self):
+        return {"scopes": self.scopes, "built": {}}
+
+    def of(self, scope: str):
+        if scope not in self.built:
+            patterns = self.scopes.get(scope, [])
+            words: dict[str, list] = {}
+            always, free = len(patterns), []
+            for i, p in enumerate(patterns):  # in order of precedence; places: as prefix, as part, and regexes
+                tier, value = p[5], p[6]
+                if value is None:
+                    continue
+                key = literal(value) if tier == "regex" else value
+                if not key:
+                    if tier == "regex":
+                        free.append(i)
+                    else:
+                        always = min(always, i)
+                    continue
+                at = words.setdefault(key, [len(patterns), len(patterns), []])
+                if tier == "regex":
+                    at[2].append(i)
+                else:
+                    at[tier == "contains"] = min(at[tier == "contains"], i)
+            tree = ahocorasick.Automaton()
+            for word, at in words.items():
+                tree.add_word(word, (len(word), *at))
+            tree.make_automaton()
+            self.built[scope] = (patterns, tree if words else None, always, free)
+        return self.built[scope]
+
+    def search(self, scope: str, line: str) -> tuple[tuple | None, list[tuple]]:
+        """The first pattern of the literal tiers, and the regexes before it that are to be tried."""
+        patterns, tree, best, free = self.of(scope)
+        maybe = list(free)
+        for end, (size, prefix, part, regexes) in tree.iter(line) if tree else ():
+            best = min(best, part, prefix if end + 1 == size else best)
+            maybe += regexes
+        return patterns[best] if best < len(patterns) else None, [patterns[i] for i in sorted(set(maybe)) if i < best]
+
+    def searched(self, spark: SparkSession, kind: StructType):
+        shared = spark.sparkContext.broadcast(self)
+        names = kind.names
+
+        @F.pandas_udf(StructType([StructField("first", kind), StructField("maybe", ArrayType(kind))]))
+        def run(scopes: pd.Series, lines: pd.Series) -> pd.DataFrame:
+            automata = shared.value
+            memo: dict[tuple, tuple] = {}
+            out = []
+            for key in zip(scopes, lines, strict=True):
+                if key not in memo:
+                    found = [automata.search(s, key[1]) for s in (key[0], GLOBAL) if s in automata.scopes and key[1] is not None]
+                    first = min((f for f, _ in found if f), key=lambda f: f[:4], default=None)
+                    maybe = sorted((p for _, m in found for p in m), key=lambda f: f[:4])
+                    memo[key] = (first and dict(zip(names, first, strict=True)), [dict(zip(names, p, strict=True)) for p in maybe])
+                out.append(memo[key])
+            return pd.DataFrame({"first": pd.Series([o[0] for o in out], dtype=object), "maybe": pd.Series([o[1] for o in out], dtype=object)})
+
+        return run
 
 
 def learn(known: DataFrame, new: DataFrame) -> DataFrame:

@@ -53,8 +53,32 @@ def pattern_match(spark, sf_dir):
     return found.select("event_id", F.col("match.bucket").alias("bucket"), F.col("match.tier").alias("tier"), F.col("match.value").alias("value"))
 
 
+def _offered(rows: DataFrame) -> DataFrame:
+    """Patterns that a seventh of the raw lines ask for: their first 40 characters as a prefix, 30 from the middle as a part."""
+    at = F.col("event_id")
+    bucket = F.element_at(F.array(*map(F.lit, p.BUCKETS)), (at % 4 + 1).cast("int"))
+    prefix = at % 2 == 0
+    value = F.when(prefix, F.substring("line", 1, 40)).otherwise(F.substring("line", 11, 30))
+    rows = rows.where("event_id % 7 = 3")
+    return rows.select(
+        F.concat_ws(":", "source_type", "source_name").alias("scope"), bucket.alias("bucket"), F.when(prefix, "prefix").otherwise("contains").alias("tier"), value.alias("value"), F.lit("llm").alias("source"),
+        F.lit("offered").alias("reason"), F.lit(False).alias("revoked"), (at + 100).cast("long").alias("ord"),
+    )
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p.learn(p.patterns(spark, PATTERNS), _offered(log_lines(spark, sf_dir)))
+
+
+def pattern_match_many(spark, sf_dir):
+    """Raw lines against very many patterns, which were taken from them."""
+    lines = log_lines(spark, sf_dir).select("event_id", F.concat_ws(":", "source_type", "source_name").alias("scope"), F.lit("").alias("hash"), F.col("line").alias("normalized"))
+    return p.match(lines, _stored(spark, sf_dir)).select("event_id", F.col("match.bucket").alias("bucket"), F.col("match.tier").alias("tier"), F.col("match.value").alias("value"))
+
+
 def pattern_counts(spark, sf_dir):
-    return p.counts(p.patterns(spark, PATTERNS))
+    """Live patterns of each scope by bucket, those that lines taught among them."""
+    return p.counts(_stored(spark, sf_dir))
 
 
 def policy_events(spark, sf_dir):
@@ -139,7 +163,7 @@ def base64_like(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    classify_verdicts, classify_events, pattern_match, pattern_counts, policy_events, policy_findings, trusted_ip, classify_route, learned_patterns,
+    classify_verdicts, classify_events, pattern_match, pattern_match_many, pattern_counts, policy_events, policy_findings, trusted_ip, classify_route, learned_patterns,
     evidence_best, body_formats, redact_dotenv, redact_passwd, redact_json, base64_like,
 )}
 
@@ -153,6 +177,8 @@ _HIT = "CASE q.tier WHEN 'hash' THEN q.value = e.hash WHEN 'prefix' THEN starts_
 _MATCH = f"""{_KNOWN}, ev AS (SELECT *, source_type || ':' || source_name AS scope, sha256(normalized) AS hash, {filters.sql_disclosure("line")} OR {filters.sql_disclosure("normalized")} AS disclosure FROM norm),
 met AS (SELECT e.*, q.bucket, q.tier AS m_tier, q.value, q.source AS m_source, q.reason AS m_reason FROM ev e LEFT JOIN known q ON NOT q.revoked AND q.scope IN (e.scope, '{p.GLOBAL}') AND {_HIT}
   QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY list_position({_BUCKETS}, q.bucket), q.scope = '{p.GLOBAL}', list_position({_TIERS}, q.tier), q.ord) = 1)"""
+_STORED = f"""{_KNOWN}, of_ AS (SELECT source_type || ':' || source_name AS scope, {_BUCKETS}[event_id % 4 + 1] AS bucket, CASE WHEN event_id % 2 = 0 THEN 'prefix' ELSE 'contains' END AS tier, CASE WHEN event_id % 2 = 0 THEN left(line, 40) ELSE substr(line, 11, 30) END AS value, event_id + 100 AS ord FROM ({LINES}) s WHERE event_id % 7 = 3),
+held AS (SELECT scope, bucket, tier, value, revoked, ord FROM known UNION ALL SELECT scope, bucket, tier, value, false, min(ord) FROM of_ WHERE (scope, bucket, tier, value) NOT IN (SELECT (scope, bucket, tier, value) FROM known WHERE NOT revoked) GROUP BY ALL)"""
 _TRUSTED = "(starts_with(ip, '10.1.') OR ip = '10.2.2.7')"
 # of the six rules the log lines meet two
 _RULE = "CASE k WHEN 10 THEN 'ssh_login' WHEN 15 THEN 'sudo_failure' END"
@@ -189,7 +215,10 @@ SQL = {
     "classify_verdicts": with_norm(f", {_DECIDED} SELECT verdict, via, count(*) AS n FROM dec GROUP BY ALL"),
     "classify_events": with_norm(f", {_DECIDED} SELECT event_id, verdict, via, tier, reason, disclosure FROM dec"),
     "pattern_match": with_norm(f", {_MATCH} SELECT event_id, bucket, m_tier AS tier, value FROM met"),
-    "pattern_counts": f"WITH {_KNOWN} SELECT scope, " + ", ".join(f"count(*) FILTER (bucket = '{b}') AS {b}" for b in p.BUCKETS) + " FROM known WHERE NOT revoked GROUP BY scope",
+    "pattern_match_many": f"""WITH {_STORED}, e AS (SELECT event_id, source_type || ':' || source_name AS scope, line AS normalized FROM ({LINES}) s)
+SELECT event_id, q.bucket, q.tier, q.value FROM e LEFT JOIN held q ON NOT q.revoked AND q.scope IN (e.scope, '{p.GLOBAL}') AND CASE q.tier WHEN 'prefix' THEN starts_with(e.normalized, q.value) WHEN 'contains' THEN contains(e.normalized, q.value) WHEN 'regex' THEN regexp_matches(e.normalized, q.value) ELSE false END
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY list_position({_BUCKETS}, q.bucket), q.scope = '{p.GLOBAL}', list_position({_TIERS}, q.tier), q.ord, q.value) = 1""",
+    "pattern_counts": f"WITH {_STORED} SELECT scope, " + ", ".join(f"count(*) FILTER (bucket = '{b}') AS {b}" for b in p.BUCKETS) + " FROM held WHERE NOT revoked GROUP BY scope",
     "policy_events": f"SELECT event_id, {_RULE} AS rule, {_ACTION} AS action, CASE k WHEN 10 THEN 'deploy' ELSE '' END AS username, CASE k WHEN 10 THEN ip ELSE '' END AS from_ip, {_REASON} AS reason FROM ({LINES}) s WHERE k IN (10, 15)",
     "policy_findings": f"SELECT event_id, CASE k WHEN 10 THEN 'malicious' ELSE 'alert' END AS verdict, CASE k WHEN 10 THEN 'policy_escalated' ELSE 'policy_alert' END AS classification, 'policy:' || {_RULE} AS matched_via, k = 10 AS notify FROM ({LINES}) s WHERE k = 15 OR (k = 10 AND NOT {_TRUSTED})",
     "trusted_ip": f"SELECT event_id, ip, {_TRUSTED} AS trusted FROM ({LINES}) s",
