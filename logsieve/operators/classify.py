@@ -11,7 +11,7 @@ from logsieve.functions import filters, http
 from logsieve.functions import normalize as n
 from logsieve.operators import patterns as p
 from logsieve.operators import policy
-from logsieve.sources.tables import cut
+from logsieve.sources.tables import apart, cut
 
 NOISE_REASON = "Deterministic: application stack trace or framework noise"
 #: What a classifier adds to (scope, hash, disclosure, normalized, line): an action of allow, suppress, alert or malicious.
@@ -29,15 +29,17 @@ def deterministic(events: DataFrame, known: DataFrame, trusted: DataFrame | None
     """``events`` with verdict, tier, reason and via of the first that speaks: policy, noise, failed probe, pattern; verdict unknown where none does.
 
     A line that discloses secrets is never suppressed or allowed: neither as noise or probe nor by a pattern.
-    Each step is a column that is computed once, and only for lines that no step before it has decided.
+    Each step is a column that is computed once, and only for lines that no step before it has decided. Steps are
+    compiled apart, as all of them exceed what one generated method may hold.
     """
-    out = policy.evaluate(prepared(events), trusted).withColumnRenamed("reason", "_policy_reason")
+    out = policy.evaluate(apart(prepared(events)), trusted).withColumnRenamed("reason", "_policy_reason")
+    out = apart(out)
     ruled = F.col("rule").isNotNull()
     quiet = ~ruled & ~F.col("disclosure")
     out = out.withColumn("_noise", F.when(quiet & filters.operational_noise(F.col("line")), NOISE_REASON))
     out = out.withColumn("_noise", F.coalesce("_noise", F.when(quiet, filters.failed_probe(F.col("normalized")))))
     noise = F.col("_noise").isNotNull()
-    out = p.match(out, known, ~ruled & ~noise)
+    out = p.match(apart(out), known, ~ruled & ~noise)
     hit = F.col("match").isNotNull() & ~(F.col("disclosure") & F.col("match.bucket").isin("allow", "suppress"))
     by_rule = F.when(F.col("action") == "escalate", "malicious").otherwise(F.col("action"))
     return out.withColumns({

@@ -30,3 +30,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """``df`` dealt by ``key`` if it has fewer partitions than the cluster has cores, as one small file has; a large table stays as it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """``df`` with a border for generated code: expressions above and below are compiled apart, and none is moved across. Nothing is shuffled or written (a coalesce to more partitions than there are)."""
+    return df.coalesce(1 << 20)
