@@ -74,6 +74,13 @@ def with_endpoints(alerts: DataFrame, endpoints: DataFrame, status: Column, shap
     return out.withColumn("expected", F.when(F.col("_why").isNotNull(), reason)).drop(*keys, "_why")
 
 
+def rules_of(seen: DataFrame) -> DataFrame:
+    """Catch-all rules out of what the pages' state machine said (key: host|method|status|hash, at, event_id, state, paths, reason), as ``decisions`` takes them: pages that were verified or rejected. Lengths of pages are not known here (0), so none stands for an alert by its length."""
+    last = seen.groupBy("key").agg(F.max_by(F.struct("state", "paths"), F.struct("at", "event_id")).alias("l"), F.max("reason").alias("reason"))
+    part = lambda i: F.substring_index(F.substring_index("key", "|", i), "|", -1)
+    return last.where(F.col("l.state").isin("verified", "rejected")).select(part(1).alias("host"), part(2).alias("http_method"), part(3).cast("int").alias("http_status"), part(4).alias("body_preview_hash"), F.col("l.state").alias("verdict"), "reason", F.lit(0).cast("long").alias("response_bytes"), "l.paths")
+
+
 def known_rules(stored: DataFrame) -> DataFrame:
     """Catch-all rules as decisions use them: host, _method, status, body_hash, state (verified or rejected), _why, _length, _paths; one for each page of a host.
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logsieve.plans import cases, lines, tables, verdicts
+from logsieve.plans import cases, lines, machines, tables, verdicts
 
-_MODULES = (lines, verdicts, tables, cases)
+_MODULES = (lines, verdicts, tables, cases, machines)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

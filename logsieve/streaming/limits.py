@@ -33,7 +33,7 @@ class RateLimit(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "at double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
         wait = self.intervals.get(key[0], 0.0)
         for pdf in rows:
@@ -47,9 +47,9 @@ class RateLimit(StatefulProcessor):
             self.last.update((last,))
             self.handle.registerTimer(int((last + wait + SHIFT) * 1000) + 1)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # a timer of an alert before the last that passed says nothing
-        if self.last.exists() and expired.getExpiryTimeInMs() > (self.last.get()[0] + self.intervals.get(key[0], 0.0) + SHIFT) * 1000:
+        if self.last.exists() and expiredTimerInfo.getExpiryTimeInMs() > (self.last.get()[0] + self.intervals.get(key[0], 0.0) + SHIFT) * 1000:
             self.last.clear()
         return iter(())
 
@@ -64,7 +64,7 @@ class Investigation(StatefulProcessor):
         self.handle = handle
         self.opened = handle.getValueState("opened", "at double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         opened = self.opened.get()[0] if self.opened.exists() else None
         for pdf in rows:
             pdf = pdf.sort_values(["at", "event_id"])
@@ -81,8 +81,8 @@ class Investigation(StatefulProcessor):
             self.opened.update((opened,))
             self.handle.registerTimer(int((opened + WINDOW + SILENCE + SHIFT) * 1000) + 1)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        if self.opened.exists() and expired.getExpiryTimeInMs() > (self.opened.get()[0] + WINDOW + SILENCE + SHIFT) * 1000:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.opened.exists() and expiredTimerInfo.getExpiryTimeInMs() > (self.opened.get()[0] + WINDOW + SILENCE + SHIFT) * 1000:
             self.opened.clear()
         return iter(())
 
