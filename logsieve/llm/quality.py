@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logsieve.llm.common import cut
 from logsieve.llm.folds import held_out, labelled
 
 POSITIVES, UNLABELLED = 8000, 16000
@@ -136,30 +137,35 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = No
     return model, prior
 
 
-_FEATURES = "label int, x array<double>"
+_FEATURES = "label int, row long, x array<double>"
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = [features(t.as_py()) for t in b.column("text")]
-        yield pa.RecordBatch.from_arrays([b.column("label").cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
+        yield pa.RecordBatch.from_arrays([b.column("label").cast(pa.int32()), b.column("row"), pa.array(x, pa.list_(pa.float64()))], ["label", "row", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None) -> tuple[Model, float]:
-    """A model from training rows of ``docs`` (doc_id, text) and ``labels`` (doc_id, quality). Only features of the two bounded samples reach the driver."""
+    """A model from training rows of ``docs`` (doc_id, text) and ``labels`` (doc_id, quality).
+
+    At most ``positives`` trusted and ``unlabelled`` other texts count, those with the smallest hashes of doc_id and
+    text, and only their features reach the driver. Rows of one doc_id with several texts count each, rows that
+    repeat both count once.
+    """
     chosen = labelled(labels, "quality", positives).where("label = 1")
     n = docs.count()
     share = min(1.0, 1.25 * unlabelled / max(1, n))
-    key = F.col("doc_id").cast("long")
-    lot = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))
-    train_rows = docs.where(~held_out(F.col("doc_id"))).select(key.alias("doc_id"), "text", lot.alias("lot"))
-    rows = train_rows.join(F.broadcast(chosen), "doc_id", "left").where("lot OR label = 1")
+    rows = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text", F.lit(7)))
+    rows = rows.withColumn("lot", F.pmod("row", F.lit(1 << 30)) < int(share * (1 << 30))).join(F.broadcast(chosen), "doc_id", "left").where("lot OR label = 1")
     each = rows.withColumn("label", F.explode(F.filter(F.array(F.when(F.col("lot"), F.lit(0)), F.when(F.col("label") == 1, F.lit(1))), lambda c: c.isNotNull())))
-    found = each.select("label", "text").mapInArrow(_featurise, _FEATURES).toPandas()
+    # which rows count is settled on their hashes, before any text is read for its features
+    first = lambda k, most: each.where(F.col("label") == k).select("label", "row").distinct().orderBy("row").limit(most)
+    picked = cut(first(0, unlabelled).unionByName(first(1, positives)), "quality-sample")
+    found = each.join(F.broadcast(picked), ["label", "row"]).select("label", "row", "text").mapInArrow(_featurise, _FEATURES).dropDuplicates(["label", "row"]).toPandas()
     x = np.array(found["x"].tolist(), float).reshape(-1, N_FEATURES)
     x, y = x[np.lexsort(x.T)], found["label"].to_numpy()[np.lexsort(x.T)]
-    keep = np.random.default_rng(5).permutation(int((y == 0).sum()))[:unlabelled]
-    return train(x[y == 1], x[y == 0][np.sort(keep)], prior)
+    return train(x[y == 1], x[y == 0], prior)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

@@ -151,3 +151,16 @@ def test_no_labels_and_no_text(spark, empty, tables):
     assert quality.score(empty, model).count() == 0
     assert quality.fit(empty, tables[1])[0].blank
     assert toxicity.fit(empty, tables[1]).weights is None
+
+
+def test_quality_sample_is_bounded_by_rows_and_not_by_ids(spark, monkeypatch):
+    rows = [(1 + i % 3, f"word{i} and some more text of a document {i % 40}") for i in range(400)] + [(50 + i, "plain text here") for i in range(50)]
+    docs = spark.createDataFrame(rows + rows[:30], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in (1, 2, 3)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda p, u, prior=None: seen.append((len(p), len(u))) or (quality.Model(0), 0.5))
+    quality.fit(docs, labels, positives=20, unlabelled=60)
+    assert seen[-1] == (20, 60)
+    quality.fit(docs, labels, positives=10_000, unlabelled=10_000)
+    fold = [d for d, _ in rows if zlib.crc32(str(d).encode()) % 5]
+    assert seen[-1] == (sum(d < 4 for d in fold), len(fold))
