@@ -142,19 +142,25 @@ def body_formats(spark, sf_dir):
 
 
 def redact_dotenv(spark, sf_dir):
-    out = _bodies(spark, sf_dir).where("event_id % 6 = 0").select("event_id", redact.redact_dotenv(F.col("body")).alias("r"))
+    """Previews of settings files, one for each log line."""
+    body = F.concat(F.lit("# settings\nDB_USER=app"), F.col("event_id") % 7, F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("\nHOST="), "ip")).otherwise(""), F.lit("\nexport API_KEY=k"), "event_id", F.lit("\nplain\n"))
+    out = log_lines(spark, sf_dir).select("event_id", redact.redact_dotenv(body).alias("r"))
     return out.select("event_id", "r.preview", "r.redactions")
 
 
 def redact_passwd(spark, sf_dir):
-    out = _bodies(spark, sf_dir).where("event_id % 6 = 1").select("event_id", redact.redact_passwd(F.col("body")).alias("r"))
+    """Previews of account files, one for each log line."""
+    body = F.concat(F.lit("root:x:0:0:root:/root:/bin/bash\nu"), "user_id", F.lit(":$6$abc:19000:0"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("\nw:x:"), "event_id", F.lit(":7:a b:/home/w:/bin/sh"))).otherwise(""), F.lit("\nodd\n"))
+    out = log_lines(spark, sf_dir).select("event_id", redact.redact_passwd(body).alias("r"))
     return out.select("event_id", "r.preview", "r.redactions")
 
 
 def redact_json(spark, sf_dir):
-    """Previews of the events' own JSON properties."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", redact.redact_json(F.col("props")).alias("r"))
-    return events.select("event_id", "r.preview", "r.redactions")
+    """Previews of JSON bodies around the events' own properties, with secrets at several depths."""
+    secret = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(',"password":"p'), "event_id", F.lit('"'))).otherwise("")
+    body = F.concat(F.lit('{"user":"u'), F.col("event_id") % 9, F.lit('"'), secret, F.lit(',"nested":{"token":"t","n":['), F.col("event_id") % 5, F.lit(',{"api_key":"'), "event_id", F.lit('"}]},"props":'), "props", F.lit("}"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", redact.redact_json(body).alias("r"))
+    return rows.select("event_id", "r.preview", "r.redactions")
 
 
 def base64_like(spark, sf_dir):
@@ -208,7 +214,6 @@ parts AS (SELECT dec.*, leader, marked, ans.scope IS NOT NULL AS got, {", ".join
 cls AS (SELECT * REPLACE (CASE WHEN NOT got THEN verdict WHEN disclosure THEN CASE WHEN r_method <> '' OR n_method <> '' THEN 'alert' ELSE 'malicious' END WHEN marked THEN 'alert' ELSE 'allow' END AS verdict, CASE WHEN got THEN 'llm' ELSE via END AS via),
   CASE WHEN NOT got THEN NULL WHEN disclosure THEN 'malicious' WHEN marked THEN 'suspicious' ELSE 'safe' END AS classification, CASE WHEN r_method <> '' THEN r_method ELSE n_method END AS http_method, coalesce(nullif(CASE WHEN r_method <> '' THEN r_status ELSE n_status END, '')::INT, 0) AS http_status FROM parts),
 rt AS (SELECT *, CASE WHEN verdict NOT IN ('alert', 'malicious') THEN 'none' WHEN via = 'policy' THEN 'policy' WHEN via <> 'llm' AND http_method <> '' AND http_status IN (403, 404, 405, 410) THEN 'recon_status' WHEN http_method <> '' AND regexp_matches(n_host, '^[0-9]+([.][0-9]+){{3}}(:.*)?$') AND http_status = 200 THEN 'edge_inferred' WHEN http_method <> '' THEN 'coordinator' ELSE 'finding' END AS route FROM cls)"""
-_SMALL = "'{\n  \"k\": ' || regexp_extract(props, '^[{]\"k\": (-?[0-9]+)[}]$', 1) || '\n}'"
 _VALUE = "CASE event_id % 3 WHEN 0 THEN base64(encode(line)) WHEN 1 THEN sha256(line) ELSE line END"
 
 SQL = {
@@ -229,11 +234,13 @@ c AS (SELECT a.event_id, resp_seq, content_length, body_hash, abs(epoch(ts) - ep
 SELECT event_id, arg_min(resp_seq, (score, -resp_seq)) AS resp_seq, min(score)::DOUBLE AS score, arg_min(content_length, (score, -resp_seq)) AS content_length, arg_min(body_hash, (score, -resp_seq)) AS body_hash, count(*) AS candidates,
   CASE WHEN count(*) = 1 OR count(DISTINCT (body_hash, content_length)) = 1 THEN 'HIGH' ELSE 'LOW' END AS confidence FROM c GROUP BY event_id""",
     "body_formats": f"SELECT event_id, CASE WHEN event_id % 10 = 9 THEN 'html' ELSE ['dotenv', 'passwd', 'json', 'html', 'json', 'unknown'][event_id % 6 + 1] END AS format, CASE WHEN event_id % 10 = 9 THEN 'high' ELSE ['high', 'high', 'high', 'high', 'low', 'none'][event_id % 6 + 1] END AS confidence FROM events",
-    "redact_dotenv": f"SELECT event_id, regexp_replace({_BODY}, '(?m)^((?:export )?[^=#\\n]+)=[^\\n]*', '\\1=[REDACTED]', 'g') AS preview, 2 AS redactions FROM ({LINES}) s WHERE event_id % 6 = 0",
-    "redact_passwd": f"SELECT event_id, 'root:[REDACTED]:0:0:[REDACTED]:[REDACTED]:/bin/bash' || chr(10) || 'u' || user_id || ':[REDACTED]:[REDACTED]:[REDACTED]' || chr(10) || '[REDACTED]' || chr(10) AS preview, 7 AS redactions FROM ({LINES}) s WHERE event_id % 6 = 1",
+    "redact_dotenv": f"SELECT event_id, regexp_replace(b, '(?m)^((?:export )?[^=#\\n]+)=[^\\n]*', '\\1=[REDACTED]', 'g') AS preview, len(regexp_extract_all(b, '(?m)^(?:export )?[^=#\\n]+=')) AS redactions FROM (SELECT event_id, '# settings' || chr(10) || 'DB_USER=app' || event_id % 7 || CASE WHEN event_id % 3 = 0 THEN chr(10) || 'HOST=' || ip ELSE '' END || chr(10) || 'export API_KEY=k' || event_id || chr(10) || 'plain' || chr(10) AS b FROM ({LINES}) s)",
+    "redact_passwd": f"""WITH b AS (SELECT event_id, 'root:x:0:0:root:/root:/bin/bash' || chr(10) || 'u' || user_id || ':$6$abc:19000:0' || CASE WHEN event_id % 2 = 0 THEN chr(10) || 'w:x:' || event_id || ':7:a b:/home/w:/bin/sh' ELSE '' END || chr(10) || 'odd' || chr(10) AS b FROM ({LINES}) s)
+SELECT event_id, regexp_replace(regexp_replace(regexp_replace(b, '(?m)^([^:\\n]+):[^:\\n]*:([0-9]+):([0-9]+):[^:\\n]*:[^:\\n]*:([^:\\n]*)$', '\\1:[REDACTED]:\\2:\\3:[REDACTED]:[REDACTED]:\\4', 'g'), '(?m)^(u[0-9]+):[^:\\n]*:[^:\\n]*:[^:\\n]*$', '\\1:[REDACTED]:[REDACTED]:[REDACTED]', 'g'), '(?m)^odd$', '[REDACTED]', 'g') AS preview, 7 + 3 * (1 - event_id % 2) AS redactions FROM b""",
     "classify_route": with_norm(f", {_LLM} SELECT event_id, verdict, via, classification, route, CASE WHEN via = 'policy' THEN verdict = 'malicious' ELSE route = 'finding' AND verdict = 'malicious' END AS notify FROM rt"),
     "learned_patterns": with_norm(f""", {_LLM}, new AS (SELECT DISTINCT scope, verdict AS bucket, 'hash' AS tier, hash AS value FROM cls WHERE got AND leader = event_id AND NOT (verdict IN ('allow', 'suppress') AND (disclosure OR marked))),
 every AS (SELECT scope, bucket, tier FROM known UNION ALL SELECT scope, bucket, tier FROM new WHERE (scope, bucket, tier, value) NOT IN (SELECT (scope, bucket, tier, value) FROM known WHERE NOT revoked)) SELECT scope, bucket, tier, count(*) AS n FROM every GROUP BY ALL"""),
-    "redact_json": f"SELECT event_id, {_SMALL} AS preview, 0 AS redactions FROM events",
+    "redact_json": f"""SELECT event_id, concat_ws(chr(10), '{{', '  "nested": {{', '    "n": [', '      ' || event_id % 5 || ',', '      {{', '        "api_key": "[REDACTED]"', '      }}', '    ],', '    "token": "[REDACTED]"', '  }},', CASE WHEN event_id % 3 = 0 THEN '  "password": "[REDACTED]",' END,
+  '  "props": {{', '    "k": ' || regexp_extract(props, '^[{{]"k": (-?[0-9]+)[}}]$', 1), '  }},', '  "user": "u' || event_id % 9 || '"', '}}') AS preview, CASE WHEN event_id % 3 = 0 THEN 3 ELSE 2 END AS redactions FROM events""",
     "base64_like": f"SELECT event_id, strlen(v) >= 20 AND NOT regexp_matches(v, '[ \\t\\n]') AND strlen(regexp_replace(v, '[^A-Za-z0-9+/=]', '', 'g')) / strlen(v) > 0.95 AS encoded FROM (SELECT event_id, {_VALUE} AS v FROM ({LINES}) s)",
 }
