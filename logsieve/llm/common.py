@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,3 +108,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         changed = moved.where("was <> label").limit(1).count()
         labels = moved.select("id", "label")
     return labels.select("id", F.col("label").alias("component"))
+
+
+def release() -> None:
+    """Gives memory that a task no longer uses back to the system; workers outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)

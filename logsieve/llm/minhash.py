@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.llm import ngram_join as nj
-from logsieve.llm.common import HOT_ROWS, checked_broadcast, components, cut, join_spread
+from logsieve.llm.common import HOT_ROWS, checked_broadcast, components, cut, join_spread, release
 
 #: Values of one band, and bands: as many of minima as of maxima.
 ROWS, BANDS = 5, 64
@@ -100,6 +100,7 @@ def _signed(width: int, law: nj.Law):
                 bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.binary()), bands], ["doc_id", "n", "key", "bands"])
             pa.default_memory_pool().release_unused()
+        release()
 
     return run
 

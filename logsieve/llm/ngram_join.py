@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsieve.llm.common import HOT_ROWS, checked_broadcast, components, cut, fresh, join_spread
+from logsieve.llm.common import HOT_ROWS, checked_broadcast, components, cut, fresh, join_spread, release
 
 #: Sets above this size are large whatever the cost: the subsets that sets list grow too fast beyond it. (Which side a set is on changes no link.)
 MOST_SMALL = 20
@@ -140,6 +140,7 @@ def _sets(width: int, law: Law, whole: bool):
                 items = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in held])]), pa.int32()), pa.array(np.concatenate([*held, np.zeros(0, np.int64)])))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.binary()), items], ["doc_id", "n", "key", "items"])
             pa.default_memory_pool().release_unused()
+        release()
 
     return run
 
@@ -171,6 +172,7 @@ def _subsets(law: Law):
                             column.append(v)
             kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["c", "subset", "n", "cid"])
+        release()
 
     return run
 
@@ -202,6 +204,8 @@ def _tile(law: Law):
                     break
                 label = new
             edges += [(int(c), int(cids[x])) for c, x in zip(cids, label, strict=True) if c != cids[x]]
+        if pdf["n"].sum() > RANGE_ITEMS:
+            release()
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
     return run

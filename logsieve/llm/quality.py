@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsieve.llm.common import cut
+from logsieve.llm.common import cut, release
 from logsieve.llm.folds import held_out, labelled
 
 POSITIVES, UNLABELLED = 8000, 16000
@@ -144,6 +144,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = [features(t.as_py()) for t in b.column("text")]
         yield pa.RecordBatch.from_arrays([b.column("label").cast(pa.int32()), b.column("row"), pa.array(x, pa.list_(pa.float64()))], ["label", "row", "x"])
+    release()
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None) -> tuple[Model, float]:
@@ -178,6 +179,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             s = model.score(np.array(each).reshape(-1, N_FEATURES))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*b.schema.names, "score"])
             pa.default_memory_pool().release_unused()
+        release()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
     out = docs.select(*kept).mapInArrow(run, f"{schema}, score double")

@@ -11,7 +11,6 @@ changes no result, and a task gives it back when it ends.
 
 from __future__ import annotations
 
-import ctypes
 import os
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -20,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from logsieve.llm.common import release
+
 #: Bytes of the memo of one task, as reckoned by ``_ENTRY`` for each word and the word's and its ids' own.
 MEMO_BYTES = 48 << 20
 #: Words in that memo.
@@ -166,10 +167,3 @@ def encoder(path: str) -> Iterator[WordEncoder]:
     finally:
         found.memo, found.held = {"": b""}, 0
         release()
-
-
-def release() -> None:
-    """Gives memory that a task no longer uses back to the system; workers outlive tasks."""
-    pa.default_memory_pool().release_unused()
-    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-        libc.malloc_trim(0)

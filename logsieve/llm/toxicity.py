@@ -42,8 +42,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logsieve.llm.common import release
 from logsieve.llm.folds import held_out, labelled
-from logsieve.llm.tokens import release
 
 DOCUMENTS = 2500
 BYTES = 24 << 20
