@@ -476,8 +476,8 @@ _LATEST = "lv AS (SELECT event_id, arg_max(verdict, id) AS latest FROM f GROUP B
 _STAMP = "CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.250Z  ' WHEN 1 THEN '2024-13-01T00:00:00Z ' ELSE ' ' END || CASE WHEN event_id % 10 = 2 THEN '' ELSE line END"
 _SEVERITY3 = "CASE event_id % 3 WHEN 0 THEN 'malicious' WHEN 1 THEN 'alert' ELSE 'suspicious' END"
 _ICON = "CASE event_id % 3 WHEN 0 THEN '🚨' WHEN 1 THEN 'ℹ️' ELSE '⚠️' END"
-_SAID = lambda *names: f"[{', '.join(map(t.q, names))}][event_id % {len(names)} + 1]"
-_ROUTED = f""", jl AS (SELECT * REPLACE (CASE WHEN k < 8 AND event_id // 16 % 2 = 0 THEN '10.0.0.' || event_id % 9 || ' ' || normalized ELSE normalized END AS normalized), {_SAID("alert", "malicious", "allow", "alert", "malicious")} AS verdict, {_SAID("llm", "seed", "policy")} AS via, {_SAID("recon_failed", "suspicious", "", "malicious", "recon_success", "safe", "noise")} AS classification FROM norm),
+_SAYS = lambda *names: f"[{', '.join(map(t.q, names))}][event_id % {len(names)} + 1]"
+_ROUTED = f""", jl AS (SELECT * REPLACE (CASE WHEN k < 8 AND event_id // 16 % 2 = 0 THEN '10.0.0.' || event_id % 9 || ' ' || normalized ELSE normalized END AS normalized), {_SAYS("alert", "malicious", "allow", "alert", "malicious")} AS verdict, {_SAYS("llm", "seed", "policy")} AS via, {_SAYS("recon_failed", "suspicious", "", "malicious", "recon_success", "safe", "noise")} AS classification FROM norm),
 jp AS (SELECT *, {", ".join(f"{http.sql_part('line', http.RAW_SHAPES, c)} AS r_{c}, {http.sql_part('normalized', http.NORMALIZED_SHAPES, c)} AS n_{c}" for c in ("method", "path", "status", "host") if c != "host")}, {http.sql_part('normalized', http.NORMALIZED_SHAPES, 'host')} AS n_host FROM jl),
 jr AS (SELECT *, CASE WHEN r_method <> '' THEN r_method ELSE n_method END AS http_method, CASE WHEN r_method <> '' THEN r_path ELSE n_path END AS http_path, coalesce(nullif(CASE WHEN r_method <> '' THEN r_status ELSE n_status END, '')::INT, 0) AS http_status FROM jp),
 jd AS (SELECT *, CASE WHEN verdict = 'allow' THEN 'none' WHEN via = 'policy' THEN 'policy' WHEN classification = 'recon_failed' THEN 'recon' WHEN http_method = '' THEN 'finding' WHEN via <> 'llm' AND http_status IN (403, 404, 405, 410) THEN 'recon_status' WHEN starts_with(n_host, '10.0.0.') AND http_status = 200 THEN 'edge_inferred' ELSE 'coordinator' END AS route FROM jr)"""
