@@ -13,8 +13,8 @@ one partition, or a round frees no bin (its places are then those of the round b
 Every piece carries ``certified``: whether its sequence is proven to be part of a least number of bins for its
 partition's pieces. ``certificate`` sums up a result: its bins and the bound of the whole table.
 
-Defined results: null text counts as empty; an empty document is one piece of length 0 and goes into some
-sequence; rows that repeat are packed each; an empty table gives an empty result. Extra columns of the pieces
+Defined results: null text counts as empty; an empty document is one piece of length 1 (id 0 alone) and goes into
+some sequence; rows that repeat are packed each; an empty table gives an empty result. Extra columns of the pieces
 are kept; the added ones replace columns of the same names, and names that start with ``__pack_`` are this
 operator's own and go.
 """
@@ -39,7 +39,7 @@ PART_PIECES = 50_000
 #: Sequence numbers set aside for a partition; it has no more bins than pieces.
 PART_NUMBERS = 1 << 32
 #: Ids in one batch of pieces.
-BATCH_IDS = 4 << 20
+BATCH_IDS = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 PLACED = "uid long, length long, part long, bin long, offset long, certified boolean, open boolean"
 ADDED = ("sequence_id", "offset", "certified")
@@ -52,24 +52,28 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with encoder(path) as enc:
             for b in batches:
-                ids, n = enc.encode(b.column("text"))
-                ids, n = np.insert(ids, np.cumsum(n), np.uint32(0)).astype("<u4"), n + 1
-                # pieces of each document, and their places in it and among all ids
-                pieces = -(-n // capacity)
-                of = np.repeat(np.arange(len(n)), pieces)
-                piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                start = piece * capacity
-                length = np.minimum(capacity, n[of] - start)
-                at = np.concatenate([[0], np.cumsum(length)])
-                doc = b.column("doc_id").take(pa.array(of))
-                first = 0
-                while first < len(of):
-                    last = max(first + 1, int(np.searchsorted(at, at[first] + BATCH_IDS, "right")) - 1)
-                    rows = slice(first, last)
-                    data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer(4 * (at[first : last + 1] - at[first])), pa.py_buffer(ids[at[first] : at[last]])])
-                    columns = [doc[rows], pa.array(piece[rows], pa.int32()), pa.array(start[rows], pa.int64()), pa.array(length[rows], pa.int64()), data.cast(pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids"])
-                    first = last
+                docs_of = b.column("doc_id")
+                for at_doc, ids, n in enc.slices(b.column("text")):
+                    yield from cut_up(docs_of.slice(at_doc, len(n)), ids, n)
+
+    def cut_up(docs_of: pa.Array, ids: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, n = np.insert(ids, np.cumsum(n), np.uint32(0)).astype("<u4", copy=False), n + 1
+        # pieces of each document, and their places in it and among all ids
+        pieces = -(-n // capacity)
+        of = np.repeat(np.arange(len(n)), pieces)
+        piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = piece * capacity
+        length = np.minimum(capacity, n[of] - start)
+        at = np.concatenate([[0], np.cumsum(length)])
+        doc = docs_of.take(pa.array(of))
+        first = 0
+        while first < len(of):
+            last = max(first + 1, int(np.searchsorted(at, at[first] + BATCH_IDS, "right")) - 1)
+            rows = slice(first, last)
+            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer(4 * (at[first : last + 1] - at[first])), pa.py_buffer(ids[at[first] : at[last]])])
+            columns = [doc[rows], pa.array(piece[rows], pa.int32()), pa.array(start[rows], pa.int64()), pa.array(length[rows], pa.int64()), data.cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids"])
+            first = last
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 

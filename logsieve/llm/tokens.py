@@ -29,7 +29,7 @@ _ENTRY = 200
 #: Longer words are encoded whenever they are met.
 LONG_WORD = 64
 #: Bytes of text whose ids are laid out at a time.
-SLICE = 8 << 20
+SLICE = 2 << 20
 #: Letters whose lower case is one letter and which normalization leaves alone, and marks that no contraction has.
 _PLAIN = "^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[.,;:!?#$%&*]*)$"
 _JOIN = 64
@@ -114,20 +114,20 @@ class WordEncoder:
         own = own + np.where(second >= 0, n[second], 0) if len(n) else own
         return out, own
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in one array of uint32, and the number of ids of each text. Null counts as empty."""
-        ids, counts = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        sizes = np.cumsum(pc.binary_length(texts).to_numpy())
+    def slices(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Texts a slice at a time, so that no more than a slice's ids are held: its first text, all its ids, and the number of ids of each text. Null counts as empty."""
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
         i = 0
         while i < len(texts):
             done = sizes[i - 1] if i else 0
             j = max(i + 1, int(np.searchsorted(sizes, done + SLICE)))
-            x, n = self._slice(texts.slice(i, j - i))
-            ids.append(x)
-            counts.append(n)
+            yield i, *self._slice(pc.fill_null(texts.slice(i, j - i).cast(pa.large_string()), ""))
             i = j
-        return np.concatenate(ids), np.concatenate(counts)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array of uint32, and the number of ids of each text. Null counts as empty."""
+        found = list(self.slices(texts))
+        return np.concatenate([np.zeros(0, "<u4"), *(x for _, x, _ in found)]), np.concatenate([np.zeros(0, np.int64), *(n for _, _, n in found)])
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         split = pc.ascii_split_whitespace(texts)
