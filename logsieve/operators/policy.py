@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from logsieve.functions import http
 from logsieve.functions import text as t
 from logsieve.functions.normalize import unit_base
-from logsieve.operators.patterns import BROADCAST_ROWS
+from logsieve.operators import networks
 
 # The rules in the order in which they are tried. pattern: RE2. action: what a match means.
 RULES = [
@@ -63,53 +63,12 @@ def evaluate(events: DataFrame, trusted: DataFrame | None = None) -> DataFrame:
         "reason": pick(lambda r: _reason(r, groups[r])),
     })
     if trusted is not None:
-        out = with_trust(out, trusted, "source_ip")
+        out = networks.with_trust(out, trusted, "source_ip")
         needs = F.col("rule").isin([r["id"] for r in RULES if r.get("trust")])
         out = out.withColumn("action", F.when(needs & F.col("trusted"), "allow").otherwise(F.col("action"))).drop("trusted")
     return out
 
 
-def ip_number(ip: Column) -> Column:
-    """An IPv4 address as a number; null where it is none."""
-    p = F.split(ip, "\\.")
-    value = sum((F.get(p, i).cast("long") * (1 << (24 - 8 * i)) for i in range(4)), F.lit(0).cast("long"))
-    return F.when(t.matches(ip, http.IPV4), value)
-
-
-def with_trust(events: DataFrame, trusted: DataFrame, column: str) -> DataFrame:
-    """``events`` with ``trusted``: whether the address in ``column`` is listed or lies in a listed network.
-
-    Addresses are compared as numbers. A network of prefix length p becomes an equality on the first p bits. Few
-    networks (counted) are broadcast, one hash table for each prefix length in use, so that the events are not
-    shuffled. Of more, the events' distinct addresses are looked up, each under all its prefixes, and only events
-    that have an address are joined to what is found.
-    """
-    net = trusted.select(F.coalesce(F.nullif("cidr", F.lit("")), F.concat("ip_address", F.lit("/32"))).alias("cidr"))
-    net = net.select(ip_number(F.substring_index("cidr", "/", 1)).alias("_base"), F.substring_index("cidr", "/", -1).try_cast("int").alias("_bits"))
-    net = net.where("_base IS NOT NULL AND _bits BETWEEN 0 AND 32").select(F.floor(F.col("_base") / F.pow(F.lit(2.0), 32 - F.col("_bits"))).cast("long").alias("_net"), "_bits").distinct()
-    if net.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        return _trust_by_address(events, net, column)
-    out = events.withColumn("_n", ip_number(F.col(column)))
-    lengths = sorted(r._bits for r in net.select("_bits").distinct().collect())  # at most 33
-    for bits in lengths:
-        hit = net.where(F.col("_bits") == bits).select("_net", F.lit(True).alias(f"_hit{bits}"))
-        out = out.withColumn("_net", F.floor(F.col("_n") / float(1 << (32 - bits))).cast("long")).join(F.broadcast(hit), "_net", "left").drop("_net")
-    found = F.lit(False)
-    for bits in lengths:
-        found = found | F.col(f"_hit{bits}").isNotNull()
-    return out.withColumn("trusted", found).drop("_n", *[f"_hit{b}" for b in lengths])
-
-
-def _trust_by_address(events: DataFrame, net: DataFrame, column: str) -> DataFrame:
-    number = ip_number(F.col(column))
-    seen = events.select(F.col(column).alias("_ip"), number.alias("_n")).where("_n IS NOT NULL").distinct()
-    prefixes = seen.select("_ip", F.explode(F.transform(F.sequence(F.lit(0), F.lit(32)), lambda b: F.struct(b.alias("_bits"), F.floor(F.col("_n") / F.pow(F.lit(2.0), 32 - b)).cast("long").alias("_net")))).alias("p"))
-    hits = prefixes.select("_ip", "p._bits", "p._net").join(net, ["_bits", "_net"], "left_semi").select("_ip").distinct().withColumn("_hit", F.lit(True))
-    has = events.where(number.isNotNull())
-    known = has.join(hits, F.col(column) == F.col("_ip"), "left").withColumn("trusted", F.coalesce("_hit", F.lit(False))).drop("_ip", "_hit")
-    return known.unionByName(events.where(number.isNull()).withColumn("trusted", F.lit(False)))
-
-
 def findings(evaluated: DataFrame) -> DataFrame:
     """Findings of policy outcomes: none for allow, alerts as they are, escalations as malicious."""
     rows = evaluated.where(F.col("rule").isNotNull() & (F.col("action") != "allow"))

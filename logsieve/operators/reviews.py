@@ -13,6 +13,11 @@ CORRECTIONS = "event_id string, kind string, target string, reason string, at ti
 REASONS = {"failed_probe": "marked as failed probe (no observable impact)", "expected_endpoint": "endpoint expected to return sensitive-looking response by design"}
 
 
+def audit(decisions: DataFrame) -> DataFrame:
+    """``decisions`` as they enter the audit table: whatever they say, nobody has reviewed them yet."""
+    return decisions.withColumn("review_status", F.lit("pending"))
+
+
 def is_hash(c: Column) -> Column:
     """Whether a text is 64 hexadecimal digits."""
     return F.coalesce(c.rlike("^[0-9a-fA-F]{64}\\z"), F.lit(False))

@@ -144,6 +144,29 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str], order: str) ->
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("_new", order)).alias("r")).select(*keys, "r.*").select(*table.columns)
 
 
+def without(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """``table`` without the rows whose keys are in ``gone``; null keys are keys like others."""
+    out = gone.select(*[F.col(k).alias(f"_gone_{k}") for k in keys]).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_gone_{k}"))
+    return table.join(out, same, "left_anti")
+
+
+def loaded_catch_alls(rules: DataFrame) -> DataFrame:
+    """Stored catch-all rules that decisions start with: the benign ones, the last verified first."""
+    return rules.where(F.col("verdict") == "benign").orderBy(F.desc("verified_at"))
+
+
+def pipeline_counters(classified: DataFrame, learned: DataFrame) -> DataFrame:
+    """What the cascade did with ``classified`` (of ``with_classifier``) and how many patterns it ``learned``: counter, n."""
+    counts = {
+        "processed": F.count("*"), "pattern_hits": F.count("tier"), "noise_suppressed": F.count_if(F.col("via") == "noise_filter"), "policy_hits": F.count_if(F.col("via") == "policy"), "llm_calls": F.count_if("leads"),
+    }
+    one = classified.agg(*[c.alias(k) for k, c in counts.items()]).unpivot([], list(counts), "counter", "n")
+    return one.unionByName(learned.agg(F.count("*").alias("n")).withColumn("counter", F.lit("patterns_learned")))
+
+
 def catch_alls(responses: DataFrame, paths: int = 5) -> DataFrame:
     """Fingerprints (host, method, status, body_hash) of GET and HEAD responses that at least ``paths`` different paths share, with up to ten of these paths."""
     rows = responses.where(F.col("method").isin("GET", "HEAD")).groupBy("host", "method", "status", "body_hash", "path").agg(F.count("*").alias("n"))

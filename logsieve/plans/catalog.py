@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logsieve.plans import cases, lines, machines, tables, verdicts
+from logsieve.plans import cases, lines, machines, tables, upkeep, verdicts
 
-_MODULES = (lines, verdicts, tables, cases, machines)
+_MODULES = (lines, verdicts, tables, cases, machines, upkeep)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logsieve.functions import filters, http, redact
 from logsieve.functions import text as t
-from logsieve.operators import classify, policy, sweep
+from logsieve.operators import classify, networks, policy, sweep
 from logsieve.operators import patterns as p
 from logsieve.plans.lines import LINES, with_norm
 from logsieve.sources.log_lines import log_lines
@@ -91,7 +91,7 @@ def policy_findings(spark, sf_dir):
 
 
 def trusted_ip(spark, sf_dir):
-    return policy.with_trust(log_lines(spark, sf_dir), _trusted(spark), "ip").select("event_id", "ip", "trusted")
+    return networks.with_trust(log_lines(spark, sf_dir), _trusted(spark), "ip").select("event_id", "ip", "trusted")
 
 
 def classify_route(spark, sf_dir):

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logsieve.functions import filters
@@ -94,6 +94,19 @@ def discovered(containers: DataFrame, excluded: list[str] | None = None) -> Data
     return out.withColumns({"class": kind, "reason": why}).drop("_tcp")
 
 
+def covered(found: DataFrame, most: int = 16) -> DataFrame:
+    """``found`` (id, name, class, as of ``discovered``, and host) as far as it is watched: of a host's public containers the first ``most`` by name and id, the others are of class dropped_by_cap.
+
+    Containers that are listed twice count once. The first of a host are taken in two steps, so that a large host is spread.
+    """
+    key = found.where(F.col("class") == "public").select("host", "name", "id").distinct().withColumn("_part", F.pmod(F.xxhash64("name", "id"), F.lit(64)))
+    for part in (["host", "_part"], ["host"]):
+        key = key.withColumn("_at", F.row_number().over(Window.partitionBy(*part).orderBy("name", "id"))).where(F.col("_at") <= most)
+    kept = key.select(F.col("host").alias("_host"), F.col("name").alias("_name"), F.col("id").alias("_id"), F.lit(True).alias("_kept"))
+    out = found.join(kept, F.col("host").eqNullSafe(F.col("_host")) & F.col("name").eqNullSafe(F.col("_name")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("class") == "public"), "left")
+    return out.withColumn("class", F.when((F.col("class") == "public") & F.col("_kept").isNull(), "dropped_by_cap").otherwise(F.col("class"))).drop("_host", "_name", "_id", "_kept")
+
+
 def stored_patterns(spark: SparkSession, path: str) -> DataFrame:
     """Patterns of a saved store (JSON: scope to bucket to a list of patterns with type, value, source, reason, revoked): scope, bucket, tier, value, source, reason, revoked, ord."""
     pattern = "struct<type: string, value: string, source: string, reason: string, revoked: boolean>"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from logsieve.functions import answers, redact
 from logsieve.functions import text as t
-from logsieve.operators import evidence, investigate, patterns, policy, reviews, store
+from logsieve.operators import evidence, investigate, networks, patterns, policy, reviews, store
 from logsieve.sources import journal, schemas, tables
 
 ALERT = "event_id long, ts timestamp, method string, path string, host string, user_agent string, status int, bytes long, verdict string, classification string, reason string"
@@ -181,9 +181,9 @@ def test_faults_of_patterns(spark):
 def test_trust_is_the_same_for_few_and_for_many_networks(spark, monkeypatch):
     ev = spark.createDataFrame([(i, x) for i, x in enumerate(["10.1.2.3", "10.2.0.1", "8.8.8.8", "", None, "no", "192.168.0.7"])], "event_id long, ip string")
     nets = spark.createDataFrame([("", "10.1.0.0/16"), ("8.8.8.8", ""), ("192.168.0.7", None), ("", "bad"), ("", "1.2.3.0/x")], "ip_address string, cidr string")
-    few = {r.event_id: r.trusted for r in policy.with_trust(ev, nets, "ip").collect()}
-    monkeypatch.setattr(policy, "BROADCAST_ROWS", 0)
-    assert few == {r.event_id: r.trusted for r in policy.with_trust(ev, nets, "ip").collect()}
+    few = {r.event_id: r.trusted for r in networks.with_trust(ev, nets, "ip").collect()}
+    monkeypatch.setattr(networks, "BROADCAST_ROWS", 0)
+    assert few == {r.event_id: r.trusted for r in networks.with_trust(ev, nets, "ip").collect()}
     assert few == {0: True, 1: False, 2: True, 3: False, 4: False, 5: False, 6: True}
 
 
