@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: A key with more rows than this is joined apart from the others.
 HOT_ROWS = 20_000
+#: Bytes of the rows that a Python worker gets at a time while a cut point is written; Spark's own setting allows 64 MB, of which the worker, Spark and Arrow's pools each hold a copy.
+ARROW_BYTES = 4 << 20
 #: The characters that part words, as a class of a Java regex.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -41,7 +43,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back, so that what follows neither recomputes it nor depends on executors that made it."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, f"{ARROW_BYTES}b")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
