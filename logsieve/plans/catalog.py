@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logsieve.plans import cases, lines, machines, tables, upkeep, verdicts
+from logsieve.plans import cases, lines, machines, tables, upkeep, verdicts, wire
 
-_MODULES = (lines, verdicts, tables, cases, machines, upkeep)
+_MODULES = (lines, verdicts, tables, cases, machines, upkeep, wire)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
