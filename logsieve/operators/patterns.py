@@ -193,16 +193,19 @@ class _Automata:
         return run
 
 
-def learn(known: DataFrame, new: DataFrame) -> DataFrame:
-    """``known`` and those rows of ``new`` (same columns) that repeat no live value of their scope, bucket and tier and fit under CAPS; rows of EXEMPT sources always fit.
+def learn(known: DataFrame, new: DataFrame, caps: dict[str, int] | None = CAPS) -> DataFrame:
+    """``known`` and those rows of ``new`` (same columns) that repeat no live value of their scope, bucket and tier and fit under ``caps``; rows of EXEMPT sources always fit.
 
-    A bucket is as full as it has rows, of whatever source, revoked ones too.
+    A bucket is as full as it has rows, of whatever source, revoked ones too. Without ``caps`` every new value is
+    learned; nothing is put in order then, so that a bucket of any size stays spread.
     """
     key = ["scope", "bucket", "tier", "value"]
     live = known.where(~F.coalesce("revoked", F.lit(False)))
     fresh = new.groupBy(*key).agg(F.min_by(F.struct("source", "reason", "revoked", "ord"), "ord").alias("r")).select(*key, "r.*").join(live.select(*key).distinct(), key, "left_anti")
+    if caps is None:
+        return known.unionByName(fresh.select(*known.columns))
     held = known.groupBy(*key[:3]).agg(F.count("*").alias("_held"))
-    cap = F.coalesce(*[F.when(F.col("tier") == t, n) for t, n in CAPS.items()])
+    cap = F.coalesce(*[F.when(F.col("tier") == t, n) for t, n in caps.items()])
     # new rows take their places in order, those of exempt sources too
     order = Window.partitionBy(*key[:3]).orderBy("ord", "value")
     placed = fresh.withColumn("_n", F.row_number().over(order)).join(held, key[:3], "left")

@@ -3,6 +3,7 @@
 import random
 import time
 
+import duckdb
 import pytest
 
 from logsieve.operators import patterns as p
@@ -66,3 +67,17 @@ def _timed(automata, lines):
     for x in lines:
         automata.search("s", x)
     return time.process_time() - began
+
+
+@pytest.mark.parametrize("name", ["pattern_counts", "pattern_match_many"])
+def test_all_that_lines_taught_counts(spark, monkeypatch, name):
+    from test_oracle import SF, rows
+
+    from logsieve.plans import catalog
+
+    for tier in ("prefix", "contains"):
+        monkeypatch.setitem(p.CAPS, tier, 2)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    got, want = catalog.queries()[name](spark, SF), con.execute(catalog.oracle_sql()[name])
+    assert rows(got.columns, got.collect()) == rows([d[0] for d in want.description], want.fetchall())
