@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.functions import text as t
+from logsieve.sources.tables import apart
 
 # The action that each classification asks for; others ask for an alert.
 ACTIONS = {"safe": "allow", "noise": "suppress", "recon_failed": "suppress", "recon_success": "alert", "suspicious": "alert", "malicious": "malicious"}
@@ -51,14 +52,13 @@ def mended(content: Column) -> Column:
     return F.array_join(F.transform(pieces, one), "")
 
 
-def parsed(content: Column) -> Column:
-    """An answer as a struct: readable, classification, action (as it must be), confidence, reason, pattern_type and pattern (none for alert and malicious).
+def _read(content: Column, bare: Column) -> Column:
+    """The content as a variant: as it is, without its fence, or mended; null where it is none of these. What does not begin like an object is none, and is not parsed, as a parse that fails is slow."""
+    tried = lambda x, begin: F.try_parse_json(F.when(x.rlike(begin), x))
+    return F.coalesce(tried(content, r"^[ \t\r\n]*\{"), tried(bare, r"^\{"), F.try_parse_json(F.when(bare.rlike(r"^\\?\{"), mended(bare))))
 
-    The content is read as it is, else without its fence, else mended; one that is none of these, or no object,
-    is not readable and has empty fields.
-    """
-    bare = without_fence(content)
-    value = F.coalesce(F.try_parse_json(content), F.try_parse_json(bare), F.try_parse_json(mended(bare)))
+
+def _answer(value: Column) -> Column:
     value = F.when(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), value)
     field = {k: F.coalesce(F.try_variant_get(value, f"$.{k}", kind), F.lit(0.0 if kind == "double" else "")) for k, kind in _FIELDS.items()}
     readable = value.isNotNull()
@@ -70,6 +70,22 @@ def parsed(content: Column) -> Column:
     )
 
 
+def parsed(content: Column) -> Column:
+    """An answer as a struct: readable, classification, action (as it must be), confidence, reason, pattern_type and pattern (none for alert and malicious).
+
+    The content is read as it is, else without its fence, else mended; one that is none of these, or no object,
+    is not readable and has empty fields.
+    """
+    return _answer(_read(content, without_fence(content)))
+
+
+def with_parsed(df: DataFrame, content: str, into: str) -> DataFrame:
+    """``df`` with ``parsed`` of the column ``content`` as the struct ``into``, parsed once a row."""
+    df = apart(df.withColumn("_bare", without_fence(F.col(content))))
+    df = apart(df.withColumn("_value", _read(F.col(content), F.col("_bare"))))
+    return apart(df.withColumn(into, _answer(F.col("_value")))).drop("_bare", "_value")
+
+
 # ---- the same in DuckDB SQL ----
 
 

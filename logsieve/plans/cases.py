@@ -130,7 +130,7 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_answers(spark, sf_dir):
-    return _answers(spark, sf_dir).select("event_id", answers.parsed(F.col("content")).alias("a")).select("event_id", "a.*")
+    return answers.with_parsed(_answers(spark, sf_dir), "content", "a").select("event_id", "a.*")
 
 
 def severity_moves(spark, sf_dir):
