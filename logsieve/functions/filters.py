@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.functions import http
 from logsieve.functions import text as t
 from logsieve.functions.normalize import drop_timestamp, sql_drop_timestamp, unit_stem
+from logsieve.sources.tables import apart
 
 # Parts of a line that disclose secrets; nothing that has one is ever suppressed.
 DISCLOSURE = [
@@ -65,9 +66,17 @@ def operational_noise(line: Column) -> Column:
     return ~disclosure(line) & drop_timestamp(line, 30).rlike("|".join(STACK_TRACE))
 
 
-def failed_probe(normalized: Column) -> Column:
-    """Why a normalised line is a probe that found nothing; null where it is not."""
-    status = http.part(normalized, http.NORMALIZED_SHAPES, "status")
+def with_failed_probe(df: DataFrame, normalized: str, into: str, when: Column | None = None) -> DataFrame:
+    """``df`` with ``into``: why a normalised line is a probe that found nothing; null where it is not, or ``when`` does not hold. Its request is searched for once and apart."""
+    line = F.col(normalized) if when is None else F.when(when, F.col(normalized))
+    df = apart(df.withColumn("_words", http.words(line)))
+    df = apart(df.withColumn("_status", http.part_of(F.col("_words"), "status")))
+    return df.withColumn(into, failed_probe(line, F.col("_status"))).drop("_words", "_status")
+
+
+def failed_probe(normalized: Column, status: Column | None = None) -> Column:
+    """Why a normalised line is a probe that found nothing; null where it is not. ``status`` is that of its request, if it is known."""
+    status = http.part(normalized, http.NORMALIZED_SHAPES, "status") if status is None else status
     found = F.when(t.matches(normalized, FILE_NOT_FOUND), NOT_FOUND_REASON).when(status.isin(http.FAILED), F.concat(F.lit(STATUS_REASON[0]), status, F.lit(STATUS_REASON[1])))
     return F.when(~disclosure(normalized), found)
 

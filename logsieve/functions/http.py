@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.functions import text as t
+from logsieve.sources.tables import apart
 
 # The four shapes of a request in a log line, in the order in which they are tried, with the
 # groups of method, path, host and status.
@@ -65,7 +66,8 @@ def part(line: Column, shapes: list, name: str) -> Column:
 
 
 def _struct(found: Column) -> Column:
-    status = F.coalesce(part_of(found, "status").try_cast("int"), F.lit(0))
+    status = part_of(found, "status")
+    status = F.coalesce(F.when(status != "", status).try_cast("int"), F.lit(0))  # a cast that fails is slow
     return F.struct(*[part_of(found, n).alias(n) for n in ("method", "path", "host")], status.alias("status"))
 
 
@@ -76,7 +78,8 @@ def identity(line: Column, shapes: list = NORMALIZED_SHAPES) -> Column:
 
 def with_identity(df: DataFrame, line: str, into: str, shapes: list = NORMALIZED_SHAPES) -> DataFrame:
     """``df`` with ``identity`` of the column ``line`` as the struct ``into``, its shape searched for once a row."""
-    return df.withColumn(f"_{into}", words(F.col(line), shapes)).withColumn(into, _struct(F.col(f"_{into}"))).drop(f"_{into}")
+    found = apart(df.withColumn(f"_{into}", words(F.col(line), shapes)))
+    return apart(found.withColumn(into, _struct(F.col(f"_{into}")))).drop(f"_{into}")
 
 
 def response_bytes(line: Column) -> Column:

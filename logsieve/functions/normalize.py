@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.functions import text as t
+from logsieve.sources.tables import apart
 
 # Patterns (RE2) and placeholders of the normalisers, in the order in which they apply.
 _MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
@@ -122,15 +123,15 @@ def _quoted(line: Column) -> Column:
 
 def _with_access(df: DataFrame, line: Column, into: str) -> DataFrame:
     """``df`` with the access normaliser's result for ``line`` (null for null)."""
-    df = df.withColumn("_x", _quoted(line))
+    df = apart(df.withColumn("_x", _quoted(line)))
     df = df.withColumn("_fields", F.regexp_extract_all("_x", F.lit('"([^"]*)"'), F.lit(1)))
     df = df.withColumn("_at", F.array_position(F.transform("_fields", lambda f: t.matches(f, REQUEST)), True))
     request, host = F.get("_fields", (F.col("_at") - 1).cast("int")), F.when(F.col("_at") > 1, F.get("_fields", (F.col("_at") - 2).cast("int")))
-    df = df.withColumns({"_request": request, "_host": F.nullif(host, F.lit(""))})
+    df = apart(df.withColumns({"_request": request, "_host": F.nullif(host, F.lit(""))}))
     quoted = F.concat(F.lit('"'), "_request", F.lit('"'))
     rest = t.trim(F.substring(F.col("_x"), F.instr("_x", quoted) + F.length("_request") + 2, F.lit(2**31 - 1)))
     df = df.withColumn("_status", F.coalesce(F.get(F.regexp_extract_all(rest, F.lit(t.java(STATUS)), F.lit(1)), F.lit(0)), F.lit("000")))
-    return df.withColumn(into, F.when(F.col("_at") > 0, F.concat_ws(" ", "_host", "_request", "_status")).otherwise(t.collapse(F.col("_x")))).drop("_x", "_fields", "_at", "_request", "_host", "_status")
+    return apart(df).withColumn(into, F.when(F.col("_at") > 0, F.concat_ws(" ", "_host", "_request", "_status")).otherwise(t.collapse(F.col("_x")))).drop("_x", "_fields", "_at", "_request", "_host", "_status")
 
 
 def with_nginx_access(df: DataFrame, line: str, into: str = "normalized") -> DataFrame:
@@ -160,9 +161,9 @@ def postgres(line: Column) -> Column:
 def family(source_type: Column, source_name: Column) -> Column:
     """Which normaliser a source takes: its own name, a family that its name contains (other than its type), its type, or generic."""
     out = F.when(source_name.isin(FAMILIES), source_name)
-    low = F.lower(source_name)
     for f in FAMILIES:
-        out = out.when((source_type != f) & low.contains(f), f)
+        # lower() is slow, so that it is for names that are not in lower case
+        out = out.when((source_type != f) & (source_name.contains(f) | (source_name.rlike(f"(?iu){f}") & F.lower(source_name).contains(f))), f)
     return out.when(source_type.isin(FAMILIES), source_type).otherwise("generic")
 
 
@@ -170,14 +171,17 @@ def with_normalized(df: DataFrame, into: str = "normalized", source_type: str =
     """``df`` with ``into``: the line as its source's normaliser makes it, without collector framing.
 
     Each step is a column of its own, so that nothing is computed twice and only the steps of a line's family run.
+    Families are compiled apart: together they exceed by far the 8000 bytes up to which the JVM compiles a method.
     """
     f, x = F.col("_family"), F.col("_framed")
-    df = df.withColumns({"_family": family(F.col(source_type), F.col(source_name)), "_framed": strip_framing(F.col(line))})
+    df = apart(df.withColumns({"_family": family(F.col(source_type), F.col(source_name)), "_framed": strip_framing(F.col(line))}))
     error = (F.octet_length(x) > 4) & (_byte(x, 5) == "/")
     df = df.withColumn("_access", F.when((f == "nginx") & ~error, x))
-    df = _with_access(df, F.col("_access"), "_access")
-    by = F.when(F.col("_access").isNotNull(), F.col("_access")).when(f == "nginx", nginx_error(x)).when(f == "sshd", sshd(x)).when(f == "syslog", syslog(x)).when(f == "postgres", postgres(x))
-    return df.withColumn(into, by.otherwise(generic(x))).drop("_family", "_framed", "_access")
+    df = apart(_with_access(df, F.col("_access"), "_access"))
+    own = {"nginx": nginx_error, "sshd": sshd, "syslog": syslog, "postgres": postgres}
+    for name, steps in own.items():
+        df = apart(df.withColumn("_access", F.when(F.col("_access").isNull() & (f == name), steps(x)).otherwise(F.col("_access"))))
+    return apart(df.withColumn(into, F.coalesce("_access", F.when(~f.isin(*own), generic(x))))).drop("_family", "_framed", "_access")
 
 
 def line_hash(normalized: Column) -> Column:

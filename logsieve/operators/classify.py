@@ -36,8 +36,9 @@ def deterministic(events: DataFrame, known: DataFrame, trusted: DataFrame | None
     out = apart(out)
     ruled = F.col("rule").isNotNull()
     quiet = ~ruled & ~F.col("disclosure")
-    out = out.withColumn("_noise", F.when(quiet & filters.operational_noise(F.col("line")), NOISE_REASON))
-    out = out.withColumn("_noise", F.coalesce("_noise", F.when(quiet, filters.failed_probe(F.col("normalized")))))
+    out = apart(out.withColumn("_noise", F.when(quiet & filters.operational_noise(F.col("line")), NOISE_REASON)))
+    out = filters.with_failed_probe(out, "normalized", "_probe", quiet & F.col("_noise").isNull())
+    out = out.withColumn("_noise", F.coalesce("_noise", "_probe")).drop("_probe")
     noise = F.col("_noise").isNotNull()
     out = p.match(apart(out), known, ~ruled & ~noise)
     hit = F.col("match").isNotNull() & ~(F.col("disclosure") & F.col("match.bucket").isin("allow", "suppress"))
@@ -53,7 +54,7 @@ def deterministic(events: DataFrame, known: DataFrame, trusted: DataFrame | None
 def by_rules(groups: DataFrame) -> DataFrame:
     """A deterministic stand-in for a model: disclosures are malicious, requests with attack marks suspicious, all else safe."""
     groups = groups.withColumn("_path", http.identity(F.col("normalized"))["path"])
-    groups = groups.withColumn("_marked", (F.col("_path") != "") & filters.attack_marks(F.col("_path")))
+    groups = apart(groups).withColumn("_marked", (F.col("_path") != "") & filters.attack_marks(F.col("_path")))
     marked = F.col("_marked")
     return groups.withColumns({
         "classification": F.when(F.col("disclosure"), "malicious").when(marked, "suspicious").otherwise("safe"),

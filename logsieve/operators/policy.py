@@ -11,6 +11,7 @@ from logsieve.functions import http
 from logsieve.functions import text as t
 from logsieve.functions.normalize import unit_base
 from logsieve.operators import networks
+from logsieve.sources.tables import apart
 
 # The rules in the order in which they are tried. pattern: RE2. action: what a match means.
 RULES = [
@@ -50,7 +51,7 @@ def evaluate(events: DataFrame, trusted: DataFrame | None = None) -> DataFrame:
     ``trusted`` (ip_address, cidr) makes the action of rules that ask for trust ``allow``.
     """
     chain = lambda value: F.coalesce(*[F.when(_applies(r), value(r)) for r in RULES])
-    out = events.withColumn("rule", chain(lambda r: F.lit(r["id"])))
+    out = apart(events.withColumn("rule", chain(lambda r: F.lit(r["id"]))))
     groups = {r["id"]: [t.extract(F.col("line"), r["pattern"], i) if i <= re.compile(r["pattern"]).groups else F.lit("") for i in range(5)] for r in RULES}
     pick = lambda value: F.coalesce(*[F.when(F.col("rule") == r["id"], value(r["id"])) for r in RULES])
     users = {"ssh_login": 2, "useradd": 1, "pam_session": 2}
@@ -60,8 +61,8 @@ def evaluate(events: DataFrame, trusted: DataFrame | None = None) -> DataFrame:
         "username": pick(user),
         "source_ip": pick(lambda r: groups[r][3] if r == "ssh_login" else F.lit("")),
         "auth_method": pick(lambda r: groups[r][1] if r == "ssh_login" else F.lit("")),
-        "reason": pick(lambda r: _reason(r, groups[r])),
     })
+    out = apart(apart(out).withColumn("reason", pick(lambda r: _reason(r, groups[r]))))
     if trusted is not None:
         out = networks.with_trust(out, trusted, "source_ip")
         needs = F.col("rule").isin([r["id"] for r in RULES if r.get("trust")])

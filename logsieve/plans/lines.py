@@ -12,6 +12,8 @@ from logsieve.sources import log_lines as source
 from logsieve.sources.tables import spread
 
 LINES = source.sql()
+#: Documents that one task works on.
+TASK_TEXTS = 2000
 
 
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def normalize_generic(spark, sf_dir):
 
 def normalize_generic_texts(spark, sf_dir):
     """The generic normaliser over all documents, whose letters are not all ASCII."""
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id", TASK_TEXTS)
     return docs.select("doc_id", n.line_hash(n.generic(F.col("text"))).alias("hash"))
 
 
@@ -96,7 +98,7 @@ def bare_ip(spark, sf_dir):
 
 
 def failed_probe(spark, sf_dir):
-    return _columns(spark, sf_dir, "normalized", reason=filters.failed_probe(F.col("normalized")))
+    return filters.with_failed_probe(normalized(spark, sf_dir), "normalized", "reason").select("event_id", "reason")
 
 
 def op_noise(spark, sf_dir):

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Log lines, or rows of like size, that one task works on.
+TASK_ROWS = 1 << 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,10 +30,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` dealt by ``key`` if it has fewer partitions than the cluster has cores, as one small file has; a large table stays as it is read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+def parts(df: DataFrame, rows: int = TASK_ROWS) -> int:
+    """Partitions among which ``df`` (counted) has about ``rows`` rows each, but no fewer than the cluster has cores."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
+def spread(df: DataFrame, key: str, rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` dealt by ``key`` among ``parts``, so that a task's work does not grow with the table, whatever the row groups of its files.
+
+    Filters above stay above (the condition is always true, which Spark does not know): moved below, they would be
+    tried by the few tasks that read the files.
+    """
+    return df.repartition(parts(df, rows), key).where(F.monotonically_increasing_id() >= 0)
 
 
 def apart(df: DataFrame) -> DataFrame:
