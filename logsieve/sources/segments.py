@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logsieve.sources.tables import apart, held
+
 # The methods with which a request begins, the least bytes of one, and the bytes of a segment that are read.
 METHODS = ["GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS", "CONNECT", "TRACE"]
 LEAST_BYTES, SCAN_BYTES = 14, 8192
@@ -32,16 +34,19 @@ def requests(segments: DataFrame) -> DataFrame:
     names are replaced.
     """
     own = ["method", "path", "host", "user_agent", "content_length", "header_len"]
-    rows = segments.drop(*own).where(F.octet_length("payload") >= LEAST_BYTES)
-    rows = rows.withColumn("_text", F.decode(F.substring("payload", 1, SCAN_BYTES), "ISO-8859-1")).where(F.col("_text").rlike(f"^(?:{'|'.join(METHODS)}) ") & F.col("_text").contains("\n"))
-    whole = F.length(F.regexp_extract("_text", r"(?s)^.*?\n\r?\n", 0))
-    rows = rows.withColumn("header_len", whole)
-    head = F.when(whole > 0, F.substring("_text", F.lit(1), whole)).otherwise(F.regexp_extract("_text", r"(?s)^.*\n", 0))
-    rows = rows.withColumn("_lines", F.split(head, r"\r?\n"))
+    rows = segments.drop(*own).where(held(F.octet_length("payload") >= LEAST_BYTES))
+    rows = rows.withColumn("_text", F.decode(F.substring("payload", 1, SCAN_BYTES), "ISO-8859-1")).where(held(F.col("_text").rlike(f"^(?:{'|'.join(METHODS)}) ") & F.col("_text").contains("\n")))
+    # the first empty line ends the head; of a head that does not end, what follows the last line feed is cut
+    upto = lambda x: F.when(F.contains("_text", F.lit(x)), F.length(F.substring_index("_text", x, 1)) + len(x))
+    end = F.least(upto("\n\n"), upto("\n\r\n"))
+    rows = apart(apart(rows).withColumn("header_len", F.coalesce(end, F.lit(0))))
+    whole = F.col("header_len")
+    head = F.when(whole > 0, F.substring("_text", F.lit(1), whole)).otherwise(F.substring(F.col("_text"), F.lit(1), F.length("_text") - F.length(F.substring_index("_text", "\n", -1))))
+    rows = apart(rows.withColumn("_lines", F.split(head, "\n")))  # a carriage return at a line's end goes with the blanks around a value
     first, shape = F.get("_lines", F.lit(0)), r"(?s)^([^ ]*) (.*) HTTP/[^ ]*\z"
-    rows = rows.where(first.rlike(shape))
+    rows = rows.where(held(first.rlike(shape)))
     named = F.transform(F.filter("_lines", lambda x, i: (i > 0) & x.contains(":")), lambda x: F.struct(F.lower(F.substring_index(x, ":", 1)).alias("name"), F.trim(F.substring(x, F.locate(":", x) + 1, F.length(x)), F.lit(_BLANK)).alias("value")))
-    rows = rows.withColumn("_named", named)
+    rows = apart(rows.withColumn("_named", named))
     utf8 = lambda c: F.encode(c, "ISO-8859-1").cast("string")
     last = lambda name: F.coalesce(F.try_element_at(F.filter("_named", lambda x: x["name"] == name), F.lit(-1))["value"], F.lit(""))
     number = lambda v: F.when(v.rlike(r"^[+-]?[0-9]+\z"), v.try_cast("bigint"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Log lines, or rows of like size, that one task works on.
@@ -35,13 +35,17 @@ def parts(df: DataFrame, rows: int = TASK_ROWS) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
 
 
+def held(condition: Column) -> Column:
+    """``condition`` for a filter that stays where it is written. Moved below, it would compute what it reads once more, and before rows are dealt (the number of a row is never negative, which Spark does not know)."""
+    return F.when(F.monotonically_increasing_id() >= 0, condition)
+
+
 def spread(df: DataFrame, key: str, rows: int = TASK_ROWS) -> DataFrame:
     """``df`` dealt by ``key`` among ``parts``, so that a task's work does not grow with the table, whatever the row groups of its files.
 
-    Filters above stay above (the condition is always true, which Spark does not know): moved below, they would be
-    tried by the few tasks that read the files.
+    Filters above stay above: moved below, they would be tried by the few tasks that read the files.
     """
-    return df.repartition(parts(df, rows), key).where(F.monotonically_increasing_id() >= 0)
+    return df.repartition(parts(df, rows), key).where(held(F.lit(True)))
 
 
 def apart(df: DataFrame) -> DataFrame:

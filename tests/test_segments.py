@@ -62,3 +62,17 @@ def test_requests(spark):
     assert [tuple(r) for r in rows.select("id", "method", "path", "host", "user_agent", "content_length", "header_len").orderBy("id").collect()] == [
         (0, "GET", "/café?a b", "two", "x:y", -1, len(texts[0]) - 4), (1, "POST", "/", "", "", 12, len(texts[1])), (2, "PUT", "/", "", "", -2, 0), (3, "GET", "/", "", "", -1, 0),
     ]
+
+
+def test_requests_are_read_after_rows_are_dealt_and_once(spark):
+    from logsieve.plans import catalog
+
+    plan = catalog.queries()["http_requests"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    dealt = plan.index("RepartitionByExpression")
+    assert "X-Pad" in plan[:dealt] and "X-Pad" not in plan[dealt:]
+
+
+def test_heads_end_at_the_first_empty_line_of_either_kind(spark):
+    rows = [b"GET /a HTTP/1.1\r\nHost: x\r\n\r\nHost: y\n\n", b"GET /b HTTP/1.1\nHost: x\n\nHost: y\r\n\r\n", b"GET /c HTTP/1.1\r\nHost: x\r\nUser-", b"GET /d HTTP/1.1\n\r\n\n"]
+    got = s.requests(spark.createDataFrame([(r,) for r in rows], "payload binary")).orderBy("path").collect()
+    assert [(r.path, r.host, r.header_len) for r in got] == [("/a", "x", 28), ("/b", "x", 25), ("/c", "x", 0), ("/d", "", 18)]
