@@ -44,8 +44,10 @@ def http_requests(spark, sf_dir):
 
 def http_responses(spark, sf_dir):
     """Responses out of flows whose segments overlap, repeat and come out of order."""
-    rows = spark.sql(_SEGMENTS.format(r=_RESPONSE.format(l="{lines}", hex="hex", text="STRING")), lines=source.log_lines(spark, sf_dir))
-    found = segments.responses(rows, MAX_BODY)
+    lines = source.log_lines(spark, sf_dir)
+    tasks = lines.rdd.getNumPartitions() * 4  # a line is four segments
+    rows = spark.sql(_SEGMENTS.format(r=_RESPONSE.format(l="{lines}", hex="hex", text="STRING")), lines=lines.repartition(tasks, "user_id"))
+    found = segments.responses(rows, MAX_BODY, tasks)
     return found.select("flow", "n", "status", "content_type", "content_length", F.octet_length("preview").alias("preview_bytes"), "preview_hash")
 
 

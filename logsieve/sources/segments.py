@@ -192,7 +192,7 @@ def _parse(max_body: int):
     return run
 
 
-def responses(segments: DataFrame, max_body: int = 4096) -> DataFrame:
+def responses(segments: DataFrame, max_body: int = 4096, tasks: int | None = None) -> DataFrame:
     """HTTP/1 responses out of ``segments`` (flow string, seq long: TCP's number of the first byte, ts, payload binary; one direction of a connection is a flow).
 
     A row for each response: flow, n (from 1, its place in the flow), ts (of the segment that ended it), status,
@@ -203,10 +203,12 @@ def responses(segments: DataFrame, max_body: int = 4096) -> DataFrame:
     is cut counts as far as it goes. Rows without seq or ts go; rows without a flow are one flow; null payloads are empty.
 
     One shuffle by flow; then each task reads its flows' sorted segments one after the other and holds one head or
-    preview, never a flow. A connection's bytes can only be read in order, so a flow is not split.
+    preview, never a flow. A connection's bytes can only be read in order, so a flow is not split. ``tasks`` is the
+    number of tasks that flows are dealt among, for segments that grow while the session's number stays.
     """
     by_time = Window.partitionBy("flow").orderBy("ts", "seq")
     rows = segments.where("seq IS NOT NULL AND ts IS NOT NULL").select(F.col("flow").cast("string").alias("flow"), F.col("seq").cast("long").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "ts", "payload")
+    rows = rows.repartition(tasks, "flow") if tasks else rows
     rows = rows.withColumn("at", F.pmod(F.col("seq") - F.first("seq").over(by_time) + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31))
     ordered = rows.select("flow", "at", "ts_us", "payload").sortWithinPartitions("flow", "at", "ts_us", F.octet_length("payload").desc())
     out = ordered.mapInArrow(_parse(max_body), RESPONSES)

@@ -76,3 +76,10 @@ def test_heads_end_at_the_first_empty_line_of_either_kind(spark):
     rows = [b"GET /a HTTP/1.1\r\nHost: x\r\n\r\nHost: y\n\n", b"GET /b HTTP/1.1\nHost: x\n\nHost: y\r\n\r\n", b"GET /c HTTP/1.1\r\nHost: x\r\nUser-", b"GET /d HTTP/1.1\n\r\n\n"]
     got = s.requests(spark.createDataFrame([(r,) for r in rows], "payload binary")).orderBy("path").collect()
     assert [(r.path, r.host, r.header_len) for r in got] == [("/a", "x", 28), ("/b", "x", 25), ("/c", "x", 0), ("/d", "", 18)]
+
+
+def test_flows_are_dealt_by_rows(spark):
+    from logsieve.plans import catalog
+
+    plan = catalog.queries()["http_responses"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(", 32\n") == 2  # 8 tasks of log lines, four segments a line
