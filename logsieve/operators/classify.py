@@ -11,12 +11,14 @@ from logsieve.functions import filters, http
 from logsieve.functions import normalize as n
 from logsieve.operators import patterns as p
 from logsieve.operators import policy
-from logsieve.sources.tables import apart, cut
+from logsieve.sources.tables import apart, cut, held
 
 NOISE_REASON = "Deterministic: application stack trace or framework noise"
 #: What a classifier adds to (scope, hash, disclosure, normalized, line): an action of allow, suppress, alert or malicious.
 CLASSIFIED = ["classification", "action", "confidence", "reason"]
 Classifier = Callable[[DataFrame], DataFrame]
+#: Columns of decided events that ``with_classifier`` and ``learned`` read. What else an event has is written at each cut point.
+DECIDED = ["event_id", "scope", "hash", "disclosure", "normalized", "line", "verdict", "tier", "reason", "via"]
 
 
 def prepared(events: DataFrame) -> DataFrame:
@@ -51,10 +53,16 @@ def deterministic(events: DataFrame, known: DataFrame, trusted: DataFrame | None
     }).drop("_policy_reason", "_noise", "match")
 
 
+def _with_marks(rows: DataFrame) -> DataFrame:
+    """``rows`` (normalized) with ``_marked``: whether the request's path has marks of an attack. The request is searched for once and apart."""
+    rows = apart(rows.withColumn("_words", http.words(F.col("normalized"))))
+    rows = apart(rows.withColumn("_path", http.part_of(F.col("_words"), "path")))
+    return apart(rows.withColumn("_marked", (F.col("_path") != "") & filters.attack_marks(F.col("_path")))).drop("_words", "_path")
+
+
 def by_rules(groups: DataFrame) -> DataFrame:
     """A deterministic stand-in for a model: disclosures are malicious, requests with attack marks suspicious, all else safe."""
-    groups = groups.withColumn("_path", http.identity(F.col("normalized"))["path"])
-    groups = apart(groups).withColumn("_marked", (F.col("_path") != "") & filters.attack_marks(F.col("_path")))
+    groups = _with_marks(groups)
     marked = F.col("_marked")
     return groups.withColumns({
         "classification": F.when(F.col("disclosure"), "malicious").when(marked, "suspicious").otherwise("safe"),
@@ -98,11 +106,10 @@ def learned(classified: DataFrame) -> DataFrame:
     confidence of 0.85, an allowed or suppressed line also teaches the wider pattern that the classifier names
     (columns pattern_type and pattern, if there are any), unless it has a fault.
     """
-    path = http.identity(F.col("normalized"))["path"]
     quiet = F.col("verdict").isin("allow", "suppress")
-    rows = classified.where(F.col("leads") & (F.col("confidence") >= 0.7)).withColumn("_path", path)
-    risky = F.col("disclosure") | ((F.col("_path") != "") & filters.attack_marks(F.col("_path")))
-    rows = rows.where(~(quiet & risky))
+    rows = _with_marks(classified.where(F.col("leads") & (F.col("confidence") >= 0.7)))
+    # held, as a filter that is moved below would search for the request once more, in one method with all else
+    rows = rows.where(held(~(quiet & (F.col("disclosure") | F.col("_marked")))))
     common = ["scope", F.col("verdict").alias("bucket")]
     rest = [F.lit("llm").alias("source"), "reason", F.lit(False).alias("revoked"), F.col("event_id").cast("long").alias("ord")]
     out = rows.select(*common, F.lit("hash").alias("tier"), F.col("hash").alias("value"), *rest)

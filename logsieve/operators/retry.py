@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from logsieve.operators import classify
 from logsieve.operators import patterns as p
+from logsieve.sources.tables import cut
 
 #: Seconds before the second attempt; each further wait is twice as long, up to the most.
 WAIT, MOST_WAIT = 60, 3600
@@ -34,9 +35,10 @@ def retried(undecided: DataFrame, known: DataFrame, classifier: classify.Classif
     What answers is named with ``_retry``. As before, no pattern allows or suppresses a line that discloses secrets.
     Rows that get no answer again keep the verdict unknown.
     """
-    rows = p.match(undecided, known)
     hit = F.coalesce(F.col("match").isNotNull() & ~(F.col("disclosure") & F.col("match.bucket").isin("allow", "suppress")), F.lit(False))
-    found = rows.where(hit).withColumns({"verdict": F.col("match.bucket"), "tier": F.col("match.tier"), "reason": F.col("match.reason"), "via": F.concat("match.source", F.lit("_retry"))})
-    asked = classify.with_classifier(rows.where(~hit).drop("match", *classify.CLASSIFIED[::2], "leads"), classifier)
+    # both ways read what was matched
+    rows = cut(p.match(undecided, known).withColumn("_hit", hit), "matched")
+    found = rows.where("_hit").withColumns({"verdict": F.col("match.bucket"), "tier": F.col("match.tier"), "reason": F.col("match.reason"), "via": F.concat("match.source", F.lit("_retry"))})
+    asked = classify.with_classifier(rows.where("NOT _hit").drop("match", "_hit", *classify.CLASSIFIED[::2], "leads"), classifier)
     asked = asked.withColumn("via", F.when(F.col("via") == "llm", "llm_retry").otherwise(F.col("via")))
     return found.select(*undecided.columns).unionByName(asked.select(*undecided.columns))

@@ -14,7 +14,7 @@ from logsieve.plans import tables, verdicts
 from logsieve.plans.lines import LINES, with_norm
 from logsieve.sources import journal
 from logsieve.sources.log_lines import log_lines
-from logsieve.sources.tables import cut, shared_dir
+from logsieve.sources.tables import cut, held, shared_dir
 from logsieve.streaming import changelog
 
 #: Patterns that were learned between the first and the second try.
@@ -107,11 +107,14 @@ def coverage_report(spark, sf_dir):
 def retried_events(spark, sf_dir):
     """Events that a busy classifier left without an answer, after a second try."""
     busy = lambda i: lambda groups: classify.by_rules(groups.where(F.col("leader") % 3 == i))
-    first = cut(classify.with_classifier(verdicts._decided(spark, sf_dir), busy(0)), "first")
-    known = p.learn(p.patterns(spark, verdicts.PATTERNS + LATER), classify.learned(first))
+    # a decided event is neither asked, nor learned from, nor tried again
+    asked = verdicts._decided(spark, sf_dir).select(*classify.DECIDED).where(held(F.col("verdict") == "unknown"))
+    first = cut(classify.with_classifier(asked, busy(0)), "first")
+    # every look-up of patterns reads them
+    known = cut(p.learn(p.patterns(spark, verdicts.PATTERNS + LATER), classify.learned(first)), "known")
     now = F.to_timestamp(F.lit(tables.NOW))
     waiting = retry.deferred(first.where("verdict = 'unknown'"), now)
-    out = retry.retried(retry.due(waiting, now + F.expr("INTERVAL 1 MINUTE")), known, busy(1))
+    out = cut(retry.retried(retry.due(waiting, now + F.expr("INTERVAL 1 MINUTE")), known, busy(1)), "retried")
     again = retry.deferred(out.where("verdict = 'unknown'"), now)
     out = out.where("verdict <> 'unknown'").unionByName(again.select(*out.columns))
     return out.select("event_id", "verdict", "via", "tier", "reason", "attempts", F.unix_seconds("next_at").alias("next_at"))

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from logsieve.plans import catalog
-from logsieve.sources.tables import spread
+from logsieve.operators import classify, retry
+from logsieve.plans import catalog, upkeep
+from logsieve.sources.tables import cut, spread
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +31,22 @@ def test_generated_methods_are_compiled(spark, name):
 
 def test_redact_json_is_dealt_like_the_log_lines(spark):
     assert catalog.queries()["redact_json"](spark, SF).rdd.getNumPartitions() == 8
+
+
+@pytest.mark.parametrize("name", ["retried_events"])
+def test_generated_methods_are_compiled_at_every_cut_point(spark, name, monkeypatch):
+    sizes = []
+
+    def noted(df, *args):
+        stages = df._jdf.queryExecution().debug().codegenToSeq()
+        sizes.extend(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size()))
+        return cut(df, *args)
+
+    for module in (classify, retry, upkeep):
+        monkeypatch.setattr(module, "cut", noted)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        noted(catalog.queries()[name](spark, SF), "result")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes and 0 <= min(sizes) and max(sizes) < 8000, sizes
