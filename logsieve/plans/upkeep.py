@@ -122,7 +122,7 @@ def retried_events(spark, sf_dir):
 
 def pipeline_counters(spark, sf_dir):
     """Counters of the whole cascade."""
-    out = cut(classify.with_classifier(verdicts._decided(spark, sf_dir)), "counted")
+    out = cut(classify.with_classifier(verdicts._decided(spark, sf_dir).select(*classify.DECIDED)), "counted")
     return store.pipeline_counters(out, classify.learned(out))
 
 

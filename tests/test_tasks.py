@@ -33,7 +33,7 @@ def test_redact_json_is_dealt_like_the_log_lines(spark):
     assert catalog.queries()["redact_json"](spark, SF).rdd.getNumPartitions() == 8
 
 
-@pytest.mark.parametrize("name", ["retried_events"])
+@pytest.mark.parametrize("name", ["retried_events", "pipeline_counters"])
 def test_generated_methods_are_compiled_at_every_cut_point(spark, name, monkeypatch):
     sizes = []
 
