@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from logsieve.operators import classify, retry
+from logsieve.operators import classify, investigate, retry, sweep
 from logsieve.plans import catalog, upkeep
 from logsieve.sources.tables import cut, spread
 
@@ -50,3 +50,10 @@ def test_generated_methods_are_compiled_at_every_cut_point(spark, name, monkeypa
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sizes and 0 <= min(sizes) and max(sizes) < 8000, sizes
+
+
+def test_rules_of_decisions_are_made_once(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(investigate, "cut", lambda df, name: names.append(name) or cut(df, name))
+    catalog.queries()["evidence_decisions"](spark, SF)
+    assert names == ["endpoints", "catch-alls", "evidence"]
