@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.operators.evidence import PENALTY, _class, _filled
+from logsieve.sources.tables import release
 
 #: Rows that a task gathers, in whole pages, before it goes through them.
-ROWS = 100_000
+ROWS = 50_000
 #: Pairs of an alert and a length of responses without a request that are looked up at a time.
-LOOKUPS = 500_000
+LOOKUPS = 200_000
 _ROWS = "_bin long, _page string, asks boolean, id long, t long, host string, agent string, status int, length long, body long"
 _FOUND = "event_id long, far long, other boolean, late long, candidates long, least_body long, most_body long"
 _FAR = np.iinfo(np.int64).max
@@ -173,16 +174,22 @@ def _swept(rows: pd.DataFrame, window: int) -> pd.DataFrame:
 def _pages(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        for pdf in batches:
-            held.append(pdf)
-            if sum(map(len, held)) >= ROWS:
-                rows = pd.concat(held, ignore_index=True)
-                last = (rows["_bin"] == rows["_bin"].iat[-1]) & (rows["_page"] == rows["_page"].iat[-1])
-                held = [rows[last]]
-                if not last.all():
-                    yield _swept(rows[~last], window)
-        if held and len(rows := pd.concat(held, ignore_index=True)):
-            yield _swept(rows, window)
+        try:
+            for pdf in batches:
+                held.append(pdf)
+                if sum(map(len, held)) >= ROWS:
+                    rows = pd.concat(held, ignore_index=True)
+                    last = (rows["_bin"] == rows["_bin"].iat[-1]) & (rows["_page"] == rows["_page"].iat[-1])
+                    # a copy, as a part of the frame would keep all of it
+                    held = [rows[last].copy()]
+                    if not last.all():
+                        yield _swept(rows[~last], window)
+                    del rows
+            if held and len(rows := pd.concat(held, ignore_index=True)):
+                yield _swept(rows, window)
+        finally:
+            held.clear()
+            release()
 
     return run
 

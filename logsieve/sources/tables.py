@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +53,10 @@ def spread(df: DataFrame, key: str, rows: int = TASK_ROWS) -> DataFrame:
 def apart(df: DataFrame) -> DataFrame:
     """``df`` with a border for generated code: expressions above and below are compiled apart, and none is moved across. Nothing is shuffled or written (a coalesce to more partitions than there are)."""
     return df.coalesce(1 << 20)
+
+
+def release() -> None:
+    """Gives memory that a task no longer uses back to the system; workers outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)

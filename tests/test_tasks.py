@@ -57,3 +57,9 @@ def test_rules_of_decisions_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(investigate, "cut", lambda df, name: names.append(name) or cut(df, name))
     catalog.queries()["evidence_decisions"](spark, SF)
     assert names == ["endpoints", "catch-alls", "evidence"]
+
+
+def test_a_sweep_gives_memory_back_when_its_task_ends(monkeypatch):
+    given = []
+    monkeypatch.setattr(sweep, "release", lambda: given.append(1))
+    assert list(sweep._pages(1)(iter([]))) == [] and given == [1]
