@@ -5,8 +5,8 @@ its white-space-separated words, one after the other (a tokenizer that keeps whi
 repeat words so much that a batch's distinct words are few: Arrow splits a batch, numbers its words and parts
 them, the library encodes the parts that the task has not met, and numpy lays the ids out in the texts' order.
 A word of Latin letters and a tail of punctuation is two pieces to the pre-tokenizer, so its letters (in lower
-case, as the normalizer makes them) and its tail are looked up apart. The memo is emptied at its bound, which
-changes no result, and a task gives it back when it ends.
+case, as the normalizer makes them) and its tail are looked up apart. What a task met is kept as Arrow strings
+and numbers. This memo is emptied at its bound, which changes no result, and a task gives it back when it ends.
 """
 
 from __future__ import annotations
@@ -21,20 +21,47 @@ import pyarrow.compute as pc
 
 from logsieve.llm.common import release
 
-#: Bytes of the memo of one task, as reckoned by ``_ENTRY`` for each word and the word's and its ids' own.
-MEMO_BYTES = 48 << 20
-#: Words in that memo.
+#: Bytes of each of a task's two memos, as reckoned by ``_ENTRY`` for each word and the word's and its ids' own.
+MEMO_BYTES = 16 << 20
+#: Words in each memo.
 MEMO_WORDS = 200_000
-_ENTRY = 200
+_ENTRY = 40
 #: Longer words are encoded whenever they are met.
 LONG_WORD = 64
 #: Bytes of text whose ids are laid out at a time.
-SLICE = 2 << 20
+SLICE = 1 << 20
+#: Strings that the library encodes at a time; what it returns for one takes some hundred bytes for each id.
+STRINGS = 64
+#: Words whose ids are put in place at a time.
+PLACES = 32_768
 #: Letters whose lower case is one letter and which normalization leaves alone, and marks that no contraction has.
 _PLAIN = "^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[.,;:!?#$%&*]*)$"
 _JOIN = 64
 
 
+class _Memo:
+    """Distinct words, their ids one word after the other, and the number of ids of each; without a Python object for a word."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.words = pa.array([], pa.large_string())
+        self.ids, self.n = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def held(self) -> int:
+        return self.words.nbytes + self.ids.nbytes + _ENTRY * len(self.words)
+
+    def add(self, words: pa.Array, ids: np.ndarray, n: np.ndarray) -> None:
+        """Takes new words, but not long ones."""
+        keep = pc.less_equal(pc.utf8_length(words), LONG_WORD)
+        if not pc.all(keep).as_py():
+            short = np.array(keep.to_pylist(), bool)
+            words, ids, n = words.filter(keep), ids[np.repeat(short, n)], n[short]
+        self.words = pa.concat_arrays([self.words, words])
+        self.ids, self.n = np.concatenate([self.ids, ids]), np.concatenate([self.n, n])
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -55,42 +82,48 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         if self.suffix:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(self.suffix)]] = True
-        self.memo: dict[str, bytes] = {"": b""}
-        self.held = 0
-        if len(self.tokenizer.encode(" a  b\n", add_special_tokens=False).ids) != sum(map(len, self._each(["a", "b"]))) // 4:
+        self.forget()
+        if len(self.tokenizer.encode(" a  b\n", add_special_tokens=False).ids) != len(self._each(["a", "b"])[0]):
             raise ValueError("this tokenizer keeps white space, so that a text's ids are not those of its words")
 
-    def _each(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def forget(self) -> None:
+        """Empties the memos: of words of plain letters, and of others."""
+        self.plain, self.others = _Memo(), _Memo()
 
-    def _plain(self, words: list[str]) -> list[bytes]:
+    def _each(self, words: list[str], at_once: int = STRINGS * _JOIN) -> tuple[np.ndarray, np.ndarray]:
+        ids, n = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), at_once):
+            found = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(words[i : i + at_once], add_special_tokens=False)]
+            ids.append(np.concatenate(found))
+            n.append(np.fromiter(map(len, found), np.int64, len(found)))
+        return np.concatenate(ids), np.concatenate(n)
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of plain letters: many in one string, told apart by the ids that end a word."""
         if not self.suffix or not words:
             return self._each(words)
-        lines = [" ".join(words[i : i + _JOIN]) for i in range(0, len(words), _JOIN)]
-        found = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
+        ids, _ = self._each([" ".join(words[i : i + _JOIN]) for i in range(0, len(words), _JOIN)], STRINGS)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words) or ends[-1] != len(ids):
             return self._each(words)
-        data, cuts = ids.tobytes(), [0, *(ends * 4).tolist()]
-        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return ids, np.diff(ends, prepend=0)
 
-    def _known(self, words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+    def _known(self, words: pa.Array, plain: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, one word after the other, and the number of ids of each."""
-        if self.held > MEMO_BYTES or len(self.memo) > MEMO_WORDS:
-            self.memo, self.held = {"": b""}, 0
-        memo = self.memo
-        if new := [w for w in words if w not in memo]:
-            found = self._plain(new) if plain else self._each(new)
-            memo.update(zip(new, found, strict=True))
-            self.held += sum(map(len, new)) + sum(map(len, found)) + _ENTRY * len(new)
-        blobs = [memo[w] for w in words]
-        for w in new:
-            if len(w) > LONG_WORD:
-                self.held -= len(w) + len(memo.pop(w)) + _ENTRY
-        return np.frombuffer(b"".join(blobs), "<u4"), np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        memo = self.plain if plain else self.others
+        if memo.held() > MEMO_BYTES or len(memo.words) > MEMO_WORDS:
+            memo.clear()
+        words = words.cast(pa.large_string())
+        at = pc.fill_null(pc.index_in(words, value_set=memo.words), -1).to_numpy().astype(np.int64)
+        unmet = at < 0
+        ids, n = memo.ids, memo.n
+        if unmet.any():
+            new = words.filter(pa.array(unmet))
+            found = self._plain(new.to_pylist()) if plain else self._each(new.to_pylist())
+            at[unmet] = len(n) + np.arange(len(new))
+            ids, n = np.concatenate([ids, found[0]]), np.concatenate([n, found[1]])
+            memo.add(new, *found)
+        return ids[_spread((np.cumsum(n) - n)[at], n[at])], n[at]
 
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, one word after the other, and the number of ids of each."""
@@ -99,7 +132,7 @@ class WordEncoder:
         rest = words.filter(pc.invert(parts.is_valid()))
         letters = pc.utf8_lower(parts.field("letters")).filter(parts.is_valid()).dictionary_encode()
         tails = parts.field("tail").filter(parts.is_valid()).dictionary_encode()
-        pools = [self._known(letters.dictionary.to_pylist(), True), self._known(tails.dictionary.to_pylist(), False), self._known(rest.to_pylist(), False)]
+        pools = [self._known(letters.dictionary, True), self._known(tails.dictionary, False), self._known(rest, False)]
         # each word's first and second part as numbers into the pools, one pool after the other
         number = np.cumsum([0, *(len(n) for _, n in pools)])
         first, second = np.empty(len(words), np.int64), np.full(len(words), -1)
@@ -122,6 +155,7 @@ class WordEncoder:
             done = sizes[i - 1] if i else 0
             j = max(i + 1, int(np.searchsorted(sizes, done + SLICE)))
             yield i, *self._slice(pc.fill_null(texts.slice(i, j - i).cast(pa.large_string()), ""))
+            release()
             i = j
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -139,9 +173,9 @@ class WordEncoder:
         each = lengths[which] if len(which) else np.zeros(0, np.int64)
         total = np.concatenate([[0], np.cumsum(each)])
         out = np.empty(int(total[-1]), "<u4")
-        for a in range(0, len(which), 500_000):
-            w, n = which[a : a + 500_000], each[a : a + 500_000]
-            at, end = int(total[a]), int(total[min(a + 500_000, len(which))])
+        for a in range(0, len(which), PLACES):
+            w, n = which[a : a + PLACES], each[a : a + PLACES]
+            at, end = int(total[a]), int(total[min(a + PLACES, len(which))])
             out[at:end] = pool[_spread(starts[w], n)]
         return out, np.diff(total[bounds])
 
@@ -161,9 +195,10 @@ def encoder(path: str) -> Iterator[WordEncoder]:
     if path not in _encoders:
         _encoders.clear()
         _encoders[path] = WordEncoder(path)
+        release()
     found = _encoders[path]
     try:
         yield found
     finally:
-        found.memo, found.held = {"": b""}, 0
+        found.forget()
         release()

@@ -1,3 +1,4 @@
+import tracemalloc
 import uuid
 import zlib
 from collections import defaultdict
@@ -35,6 +36,41 @@ def test_a_full_memo_changes_no_ids(tokenizer, monkeypatch):
         assert enc.encode(pa.array([text]))[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_a_worker_holds_few_bytes_a_word_and_few_encodings_at_a_time():
+    enc = tokens.WordEncoder(tokens.default_path())
+    real, most = enc.tokenizer, []
+
+    class Watched:
+        def encode_batch_fast(self, strings, **options):
+            most.append(sum(len(x.split()) for x in strings))
+            return real.encode_batch_fast(strings, **options)
+
+    enc.tokenizer = Watched()
+    letters = np.random.default_rng(5).integers(97, 123, (60_000, 9)).astype(np.uint8)
+    text = pa.array([b" ".join(x.tobytes() for x in letters).decode()])
+    enc.encode(pa.array(["warm up"]))
+    tracemalloc.start()
+    arrow = pa.total_allocated_bytes()
+    for _, ids, _ in enc.slices(text):
+        n = len(ids)
+    del ids
+    kept = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert max(most) <= 4096 and n > 60_000
+    assert kept <= 4 * n + 60 * 60_000
+    # words met before are not encoded again
+    most.clear()
+    again, _ = enc.encode(text)
+    assert len(again) == n and not most
+
+
+def test_words_longer_than_the_memo_takes_and_others_keep_their_places(tokenizer):
+    enc = tokens.WordEncoder(tokens.default_path())
+    texts = ["alpha " + "q" * 65 + " beta " + "7" * 90 + " z", "beta " + "q" * 65 + "! alpha 7 " + "é" * 64]
+    for _ in range(2):
+        assert enc.encode(pa.array(texts))[0].tolist() == [i for t in texts for i in tokenizer.encode(t, add_special_tokens=False).ids]
+
+
 def held(rows, capacity):
     bins = defaultdict(list)
     for r in rows:
