@@ -6,11 +6,13 @@ import re
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from logsieve.functions import text as t
+from logsieve.operators import substrings
+from logsieve.sources.tables import cut
 
 #: Verdict buckets and match tiers in the order in which they are tried.
 BUCKETS = ["malicious", "alert", "allow", "suppress"]
@@ -21,7 +23,7 @@ SCHEMA = "scope string, bucket string, tier string, value string, source string,
 EXEMPT = ["human", "human_validated", "seeded"]
 CAPS = {"hash": 100_000, "prefix": 1000, "regex": 1000, "contains": 500}
 #: Patterns of a scope up to which an array is as good as an automaton, and bytes of patterns up to which automata are broadcast.
-FEW, AUTOMATA_BYTES = 64, 64 << 20
+FEW, AUTOMATA_BYTES = 64, 16 << 20
 #: Dimensions are broadcast up to this many rows; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -66,7 +68,8 @@ def match(events: DataFrame, known: DataFrame, when: Column | None = None) -> Da
     equi-join. Of the other tiers, bounded by CAPS, a scope of at most FEW patterns travels as one sorted array
     joined by scope. Scopes of more are searched by automata (``_Automata``), so that a line costs its length and not
     the number of patterns; they are broadcast, if their patterns take at most AUTOMATA_BYTES (summed up), else
-    they are arrays as well. Either way gives the same pattern. Values of the regex tier have RE2's meaning.
+    lines and patterns are joined by the texts that patterns must hold (``_joined``). Either way gives the same
+    pattern. Values of the regex tier have RE2's meaning.
     """
     p = F.struct(
         _rank(BUCKETS, "bucket").alias("bucket_rank"), (F.col("scope") == GLOBAL).cast("int").alias("scope_rank"), _rank(TIERS, "tier").alias("tier_rank"),
@@ -74,11 +77,16 @@ def match(events: DataFrame, known: DataFrame, when: Column | None = None) -> Da
     )
     live = _with_java(known.where(~F.coalesce("revoked", F.lit(False)))).select("scope", p.alias("p"))
     hashes = live.where("p.tier = 'hash'").groupBy("scope", F.col("p.value").alias("hash")).agg(F.min("p").alias("p"))
-    arrays = live.where("p.tier <> 'hash'").groupBy("scope").agg(F.sort_array(F.collect_list("p")).alias("ps"))
-    many = arrays.where(F.size("ps") > FEW)
-    size = many.agg(F.sum(F.aggregate("ps", F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.octet_length(x["value"]), F.lit(0)) + 100)).alias("n")).first().n
-    automata = _Automata({r.scope: [tuple(x) for x in r.ps] for r in many.collect()}) if size and size <= AUTOMATA_BYTES else None
-    if automata:
+    rest = live.where("p.tier <> 'hash'")
+    sizes = rest.groupBy("scope").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("p.value"), F.lit(0)).cast("long") + 100).alias("bytes"))
+    many = sizes.where(F.col("n") > FEW)
+    size = many.agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.coalesce(F.bool_or(F.col("scope") == GLOBAL), F.lit(False)).alias("everywhere")).first()
+    automata, joined = None, size.bytes is not None and size.bytes > AUTOMATA_BYTES
+    if joined:
+        events, rest = _joined(events, rest, many.select("scope"), size, when)
+    arrays = rest.groupBy("scope").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    if size.n and not joined:
+        automata = _Automata({r.scope: [tuple(x) for x in r.ps] for r in arrays.where(F.size("ps") > FEW).collect()})
         arrays = arrays.where(F.size("ps") <= FEW)
     own, everywhere = F.col("scope") != GLOBAL, F.col("scope") == GLOBAL
     out = events.withColumn("_global", F.lit(GLOBAL))
@@ -87,16 +95,61 @@ def match(events: DataFrame, known: DataFrame, when: Column | None = None) -> Da
     out = out.join(small(arrays.where(own).withColumnRenamed("ps", "_hs")), "scope", "left")
     out = out.join(F.broadcast(arrays.where(everywhere).select(F.col("scope").alias("_global"), F.col("ps").alias("_gs"))), "_global", "left")  # one row
     n = F.col("normalized")
-    hit = lambda x: F.when(x["tier"] == "prefix", F.startswith(n, x["value"])).when(x["tier"] == "contains", F.contains(n, x["value"])).otherwise(F.regexp_like(n, x["java"]))
-    first = lambda ps: F.get(F.filter(ps, hit), F.lit(0))
+    first = lambda ps: _first(n, ps)
     parts = [F.col("_h"), F.col("_g"), first("_hs"), first("_gs")]
     if automata:
         out = out.withColumn("_auto", automata.searched(live.sparkSession, live.schema["p"].dataType)(F.col("scope"), n if when is None else F.when(when, n)))
         parts += [F.col("_auto.first"), first(F.col("_auto.maybe"))]
+    if joined:
+        parts.append(F.col("_joined"))
     best = F.least(*parts)
     out = out.withColumn("_best", best if when is None else F.when(when, best))
     found = F.when(F.col("_best").isNotNull(), F.struct(*[F.col(f"_best.{c}").alias(c) for c in ("bucket", "tier", "value", "source", "reason")]))
-    return out.withColumn("match", found).drop("_h", "_g", "_hs", "_gs", "_global", "_best", "_auto")
+    return out.withColumn("match", found).drop("_h", "_g", "_hs", "_gs", "_global", "_best", "_auto", "_joined", "_line_id")
+
+
+def _first(n: Column, ps: Column) -> Column:
+    """The first of an array of patterns, of other tiers than hash, that matches."""
+    hit = lambda x: F.when(x["tier"] == "prefix", F.startswith(n, x["value"])).when(x["tier"] == "contains", F.contains(n, x["value"])).otherwise(F.regexp_like(n, x["java"]))
+    return F.get(F.filter(ps, hit), F.lit(0))
+
+
+def _joined(events: DataFrame, rest: DataFrame, many: DataFrame, size: Row, when: Column | None) -> tuple[DataFrame, DataFrame]:
+    """``events``, cut, with ``_joined``: the first matching pattern of ``rest`` (scope, p) in scopes of ``many`` that has a text which lines must hold; and those of ``rest`` that remain to be tried.
+
+    Such texts are the values of the prefix and contains tiers and ``literal`` of a regex. Lines and patterns meet by
+    scope and text, and a regex is tried where its text is found. What remains are the patterns of other scopes and
+    those without a text: of empty values only the first of a tier, and regexes, which are tried on every line of
+    their scope.
+    """
+    n = F.col("normalized") if when is None else F.when(when, F.col("normalized"))
+    events = cut(events.withColumns({"_line_id": F.monotonically_increasing_id(), "_line_text": n.cast("binary")}), "lines")
+    many = small(cut(many, "scopes"))
+    held = rest.join(many, "scope", "left_semi")
+    regexes = held.where("p.tier = 'regex'").withColumn("word", _literal("p.value")).withColumn("start", F.startswith(F.col("p.value"), F.lit("^")))
+    values = held.where("p.tier <> 'regex'").withColumns({"word": F.col("p.value"), "start": F.col("p.tier") == "prefix"})
+    always = values.where("word = ''").groupBy("scope", "start").agg(F.min("p").alias("p"))
+    left = rest.join(many, "scope", "left_anti").unionByName(always.select("scope", "p")).unionByName(regexes.where("word = ''").select("scope", "p"))
+
+    lines = events.where("_line_text IS NOT NULL").select(F.col("_line_id").alias("_id"), "scope", F.col("_line_text").alias("text"))
+    if not size.everywhere:
+        lines = lines.join(many, "scope", "left_semi")
+    by = ["scope", "start", "key"]
+    keyed = lambda words, **first: words.where("word <> ''").groupBy("scope", "start", F.col("word").cast("binary").alias("key")).agg(*[c.alias(k) for k, c in first.items()])
+    # what a line holds counts for its own scope and for all
+    meet = lambda found: found.withColumn("scope", F.explode(F.array("scope", F.lit(GLOBAL)))) if size.everywhere else found
+    values, regexes = keyed(values, p=F.min("p")), keyed(regexes, ps=F.sort_array(F.collect_list("p")))
+    out = meet(substrings.found(lines, values, size.n)).join(values, by).select("_id", "p")
+    if count := regexes.count():
+        tried = meet(substrings.found(lines, regexes, count, whole=True)).join(small(regexes), by)
+        out = out.unionByName(tried.select("_id", _first(F.col("text").cast("string"), F.col("ps")).alias("p")).where("p IS NOT NULL"))
+    best = out.groupBy(F.col("_id").alias("_line_id")).agg(F.min("p").alias("_joined"))
+    return events.drop("_line_text").join(best, "_line_id", "left"), left
+
+
+@F.pandas_udf(StringType())
+def _literal(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else literal(v))
 
 
 @F.pandas_udf(StringType())
